@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import neardup, packing, tokencounts, topk, toxicity
+from fieldloom.llm import fingerprints, neardup, packing, tokencounts, topk, toxicity, warc
 from fieldloom.llm.common import table
 
 
@@ -18,6 +18,16 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, with both likenesses and its near fingerprints."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through legacy archives to WARC files and back."""
+    return warc.pages_through_archives(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 1024 tokens as best fit finds."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), packing.Capacity(tokens=1024))
@@ -45,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_top_k,
+        op2_fingerprints,
+        op3_warc,
         op5_best_fit_packing,
         op7_simhash_near_dedup,
         op9_toxicity,
@@ -62,4 +74,11 @@ ORACLE: dict[str, str] = {
                    from v q join v c on q.id % 100 = 0 and c.id <> q.id),
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
+    "op3_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
+             l as (select d, max(page_id) as last, count(*) as c from p where n >= 1000 group by d)
+        select page_id, n as payload_bytes, p.d as payload_digest,
+               case when l.c > 1 and page_id is distinct from last then 'revisit' else 'response' end as record_type,
+               case when l.c > 1 and page_id is distinct from last then last end as refers_to
+        from p left join l on l.d = p.d and n >= 1000""",
 }
