@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import fingerprints, neardup, packing, tokencounts, topk, toxicity, warc
+import corpus_pipeline
+from fieldloom.llm import fingerprints, licenses, lines, mixing, neardup, packing, tokencounts, topk, toxicity, warc
 from fieldloom.llm.common import table
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best inner products for every vector whose id is divisible by 100, against all others."""
     rows = topk.weighted_terms(table(spark, sf_dir, "embeddings"))
@@ -28,18 +34,34 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_archives(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, which of its lines repeat an earlier line of the corpus."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 1024 tokens as best fit finds."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), packing.Capacity(tokens=1024))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, from its own lines or the nearest directory above it."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.withColumn("path", licenses.repository_path(F.col("doc_id"), F.col("source"))))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at four bits."""
     found = neardup.simhash_components(table(spark, sf_dir, "documents"), radius=4, shingle_words=4)
     return found.select("doc_id", neardup.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probability of every document and whether it is sampled."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -54,11 +76,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        pipeline,
         op1_exact_top_k,
         op2_fingerprints,
         op3_warc,
+        op4_line_dedup,
         op5_best_fit_packing,
+        op6_license_scan,
         op7_simhash_near_dedup,
+        op8_mixing,
         op9_toxicity,
         op10_token_counts,
     )
@@ -74,6 +100,8 @@ ORACLE: dict[str, str] = {
                    from v q join v c on q.id % 100 = 0 and c.id <> q.id),
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
+    "op6_license_scan": licenses.scan_sql(),
+    "op8_mixing": mixing.mix_sql(),
     "op3_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
              l as (select d, max(page_id) as last, count(*) as c from p where n >= 1000 group by d)

@@ -147,7 +147,7 @@ def _logistic(cols, offsets, y, scale, base: float, settings: Settings):
 
 
 def score(docs: DataFrame, model: Model, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 from ``cut`` on) and the columns ``keep``, one row per input row.
+    """``held_out``, ``score`` (0 to 1), ``predicted`` (1 from ``cut`` on) and the columns ``keep`` (by default the id), one row per input row.
 
     Null, empty and very short texts have no n-gram and get the score of the intercept. Whole texts are read
     and nothing is shuffled; the model that tasks receive is bounded by ``max_features``.
@@ -168,7 +168,8 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings(), id_col
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
 
-    slim = _slim(docs, id_col, text_col, *(F.col(c).alias(f"keep_{c}") for c in keep))
-    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    scored = slim.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= settings.cut).cast("int").alias("predicted"), *(F.col(f"keep_{c}").alias(c) for c in keep))
+    keep = keep or (id_col,)
+    slim = _slim(docs, id_col, text_col, *(F.col(c).alias(f"keep_{c}") for c in keep if c != text_col))
+    scored = slim.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields) + ", score double")
+    kept = (F.col("text").cast("string").alias(c) if c == text_col else F.col(f"keep_{c}").alias(c) for c in keep)
+    return scored.select(*kept, held_out("doc_id").alias("held_out"), "score", (F.col("score") >= settings.cut).cast("int").alias("predicted"))
