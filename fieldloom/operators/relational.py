@@ -170,7 +170,7 @@ relational("r02_field_trigger", "Fields whose unused corrections reached five, w
 with c as (select d.template_id, f.field_name, count(*) as total, count(case when not f.used then 1 end) as unused from {feedback} f join {documents} d on d.document_id = f.document_id group by d.template_id, f.field_name)
 select template_id, field_name, case when unused < 5 then 'none' when total % 20 < unused then 'full' else 'incremental' end as action from c""")
 relational("r04_active_jobs", "Jobs to add: failed ones whose template and type have none pending or running.", """
-with a as (select distinct template_id, field_id from {jobs} where status = 'pending' or status = 'running' and job_id % 3 = 0)
+with a as (select distinct template_id, field_id from {jobs} where (status = 'pending' or status = 'running') and job_id % 40 = 0)
 select j.template_id, j.field_id, count(*) as n from {jobs} j anti join a on a.template_id = j.template_id and a.field_id = j.field_id where j.status = 'failed' group by j.template_id, j.field_id""")
 
 
