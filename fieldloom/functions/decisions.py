@@ -88,7 +88,7 @@ def training_trigger(unused: Column, total: Column) -> Column:
 def crf_weight(accuracy: Column, fields: Column) -> Column:
     trust = F.least(F.lit(1.0), fields / 10)
     w = (0.3 + 0.6 * accuracy) * trust + 0.5 * (1 - trust)
-    return F.coalesce(F.greatest(F.lit(0.3), F.least(F.lit(0.9), w)), F.lit(0.5))
+    return F.when(accuracy.isNull(), 0.5).otherwise(F.greatest(F.lit(0.3), F.least(F.lit(0.9), w)))
 
 
 def position_confidence(value: Column, label: Column, before: Column) -> Column:
