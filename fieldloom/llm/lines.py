@@ -8,89 +8,86 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import materialize
 
 NUM, DEN = 4, 5  # the least Jaccard similarity, as a fraction so that all comparisons are of integers
-RARITY_BUCKETS = 1 << 20  # of the table of word counts by hash
+RARITY_BITS = 18  # of a word's hash that choose its place in the rarity table
 BROADCAST_ROWS = 400_000  # lines to verify up to which their places (some 24 bytes a row) are broadcast
-HASH_BITS = 56  # of a word in its token; the bits above hold its rarity
-POS = 1 << 31  # bounds the 31 bits of a posting's token
+OVERLAP = 2  # posting lists that candidates share at least (lines of one word: one)
 LONG_LIST = 32  # entries from which a posting list is joined through its head
 NULL_ID = -(2**63)  # stands for a null id, before all others
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+def _words(line: Column) -> Column:
+    """Lower-cased runs without blanks; empty strings stand where blanks meet."""
+    return F.split(F.lower(line), " ")
 
 
-def word_rarity(docs: DataFrame, text_col: str = "text", buckets: int = RARITY_BUCKETS) -> DataFrame:
-    """One row, ``rarity``: an array of ``buckets`` bytes, four times the binary logarithm of how often words of that hash occur in all texts.
+def word_rarity(docs: DataFrame, text_col: str = "text", bits: int = RARITY_BITS) -> DataFrame:
+    """One row, ``rarity``: for each bucket of word hashes a long that orders words by how often that bucket's occur in all texts.
 
-    Its size is that of ``buckets``, whatever the corpus. Any order of words makes the join exact; where
-    words share a bucket, posting lists only get longer.
+    The table has ``2 ** bits`` numbers whatever the corpus: four times the binary logarithm of the count
+    above 33 bits, and half the range of a hash below, so that adding a word's hash gives a positive number
+    that sorts by rarity, then hash. Any order of words makes the join exact; where words share a bucket,
+    posting lists only get longer.
     """
-    word = docs.select(F.explode(_words(F.col(text_col))).alias("word"))
-    counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).alias("id")).agg(F.count("*").alias("n"))
-    level = F.coalesce(F.least(F.floor(F.log2("n") * 4), F.lit(127)), F.lit(0)).cast("tinyint")
-    every = docs.sparkSession.range(buckets).join(counts, "id", "left").select(F.struct("id", level.alias("level")).alias("x"))
+    word = docs.select(F.explode(_words(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("word"))
+    counts = word.groupBy(F.shiftrightunsigned(F.hash("word"), 32 - bits).alias("bucket")).agg(F.count("*").alias("n"))
+    level = F.coalesce(F.floor(F.log2("n") * 4), F.lit(0))
+    every = docs.sparkSession.range(1 << bits).join(counts, F.col("id") == F.col("bucket"), "left")
+    every = every.select(F.struct("id", (F.shiftleft(level.cast("long"), 33) + (1 << 31)).alias("base")).alias("x"))
     table = every.agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return materialize(table.select(F.transform("x", lambda v: v["level"]).alias("rarity")), "rarity")
+    return materialize(table.select(F.transform("x", lambda v: v["base"]).alias("rarity")), "rarity")
 
 
-def _tokens(line: Column, rarity: Column, buckets: int) -> Column:
-    """A line's distinct words as longs, rarest first: rarity above, word hash below."""
-    mask = (1 << HASH_BITS) - 1
-
-    def token(h: Column) -> Column:
-        level = F.get(rarity, h.bitwiseAND(F.lit(buckets - 1)).cast("int"))
-        return F.shiftleft(level.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
-
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), token)))
-
-
-def _tokenized(lines: DataFrame, rarity: DataFrame, buckets: int) -> DataFrame:
-    """``lines`` plus ``tokens``; the rarity table is a scalar subquery, so rows never carry it."""
-    return lines.withColumn("rarity", rarity.scalar()).select(*lines.columns, _tokens(F.col("line"), F.col("rarity"), buckets).alias("tokens"))
+def _with_tokens(lines: DataFrame, rarity: DataFrame, bits: int) -> DataFrame:
+    """``lines`` plus ``tokens``: distinct word hashes as longs, rarest first. The table is a scalar subquery, so rows never carry it."""
+    empty = F.hash(F.lit(""))
+    ranked = F.transform(F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.hash(w))), empty), lambda h: F.get("rarity", F.shiftrightunsigned(h, 32 - bits)) + h)
+    return lines.withColumn("rarity", rarity.scalar()).select(*lines.columns, F.sort_array(ranked).alias("tokens"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = RARITY_BUCKETS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = RARITY_BITS) -> DataFrame:
     """``doc_id``, ``line_no`` (from 0) of every line that repeats an earlier one: word sets with Jaccard of at least 4/5.
 
-    Lines are the newline-separated parts of a text; their words are lower-cased runs without white space.
+    Lines are the newline-separated parts of a text; their words are lower-cased runs without blanks.
     Earlier is by ``doc_id``, then ``line_no``. A line goes if any earlier line matches it, whether that one
     stays or goes; so of an exact group only the first line stays. Lines without a word never match. Null
     texts have no lines. Rows whose id is null come before all others; rows that repeat an id have its line numbers each,
     and a line number is reported as often as rows have it.
 
-    Lines with equal word sets are one entry of the join from its first shuffle on. An entry's rarest
-    n - ceil(4n/5) + 1 words are its postings; entries that share one are candidates if sizes and positions
-    leave room for the similarity, and are verified on their whole word sets. Entries are joined in two
-    steps: each with the earliest entry of its posting lists, which settles nearly all of a group of near
-    copies, and then those not yet found to be repeats with every earlier one.
+    Equal lines (case aside) are one entry of the join from its first shuffle on. Similar entries share at
+    least ``OVERLAP`` of their rarest n - ceil(4n/5) + ``OVERLAP`` words, their postings; entries that do are
+    candidates if sizes and positions leave room for the similarity, and are verified on their whole word
+    sets, by 64-bit hashes. Entries are joined in two
+    steps: those in long posting lists with the earliest entry of each list, which settles most of a large
+    group of near copies, and then those not yet found to be repeats with all others.
     """
-    rarity = word_rarity(docs, text_col, buckets)
+    rarity = word_rarity(docs, text_col, bits)
     size = F.size("tokens")
-    prefix = F.expr(f"size(tokens) - ceil(size(tokens) * {NUM} / {DEN}) + 1").cast("int")
-    rows = _tokenized(_lines(docs, id_col, text_col), rarity, buckets).where(size > 0)
-    # A posting needs no more than 32 bits of a token: where two share them, verification tells them apart.
-    short = F.transform(F.slice("tokens", F.lit(1), prefix), lambda t: t.bitwiseXOR(F.shiftright(t, 31)).bitwiseAND(F.lit(POS - 1)).cast("int"))
-    rows = materialize(rows.select(_at("doc_id").alias("doc_id"), "line_no", F.xxhash64("tokens").alias("key"), size.alias("n"), short.alias("prefix")), "lines")
+    prefix = F.expr(f"size(tokens) - ceil(size(tokens) * {NUM} / {DEN}) + {OVERLAP}").cast("int")
+    rows = _with_tokens(_lines(docs, id_col, text_col), rarity, bits).where(size > 0)
+    # A posting keeps 31 bits of a word's hash: where two words share them, verification tells them apart.
+    short = F.transform(F.slice("tokens", F.lit(1), prefix), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    rows = materialize(rows.select(_at("doc_id").alias("doc_id"), "line_no", F.xxhash64(F.lower("line")).alias("key"), size.alias("n"), short.alias("prefix")), "lines")
     entries = rows.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     entries = materialize(entries.select("key", "place.doc_id", "place.line_no", "n", "prefix", "copies"), "line-entries")
 
     posting = entries.select("key", F.col("doc_id").alias("doc"), F.col("n").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     long = posting.groupBy("token").agg(F.count("*").alias("size"), F.min("doc").alias("head")).where(F.col("size") > LONG_LIST).select("token", "head")
     long = materialize(long, "line-long")
-    if long.count() <= BROADCAST_ROWS:
-        long = F.broadcast(long)
-    brief, crowded = posting.join(long, "token", "left_anti"), materialize(posting.join(long, "token"), "line-crowded")
-    to_head = _candidates(crowded.where("doc = head").drop("head"), crowded.drop("head"), ordered=False)
-    check = [docs, entries, rarity, id_col, text_col, buckets]
-    gone = materialize(_later(_verified(_candidates(brief, brief).unionByName(to_head).distinct(), *check), entries), "line-gone")
-
-    open_ = crowded.drop("head").join(gone, "key", "left_anti")
-    rest = _candidates(open_, crowded.where("doc <> head").drop("head"), ordered=False)
+    crowded = materialize(posting.join(F.broadcast(long) if long.count() <= BROADCAST_ROWS else long, "token"), "line-crowded")
+    check = [docs, entries, id_col, text_col]
+    heads = _met(crowded.where("doc = head"), crowded, "ka <> kb").select("ka", "kb").distinct()
+    gone = materialize(_later(_verified(heads, *check), entries), "line-gone")
+
+    marks = gone.withColumn("gone", F.lit(True))
+    open_ = entries.join(F.broadcast(marks) if gone.count() <= BROADCAST_ROWS else marks, "key", "left").withColumn("open", F.col("gone").isNull())
+    posting = open_.select("key", "n", "open", F.posexplode("prefix").alias("pos", "token"))
+    # A pair of open entries is met once, from its smaller key; one that is gone is met from the open one.
+    met = _met(posting.where("open"), posting, "(openb and ka < kb) or (not openb and ka <> kb)").groupBy("ka", "kb").agg(F.count("*").alias("shared"), F.max("size").alias("size"))
+    rest = met.where((F.col("shared") >= OVERLAP) | (F.col("size") == 2)).select("ka", "kb")
     gone = gone.unionByName(_later(_verified(rest, *check), entries)).distinct()
 
     state = entries.select("key", "doc_id", "line_no", "copies").join(gone.withColumn("gone", F.lit(True)), "key", "left").where("gone or copies > 1")
@@ -109,20 +106,17 @@ def _later(near: DataFrame, entries: DataFrame) -> DataFrame:
     return near.join(first, "ka").join(second, "kb").select(F.when(F.col("pa") < F.col("pb"), F.col("kb")).otherwise(F.col("ka")).alias("key")).distinct()
 
 
-def _candidates(left: DataFrame, right: DataFrame, ordered: bool = True) -> DataFrame:
-    """``ka`` < ``kb``: entries of both sides that share a posting where sizes and positions leave room for the similarity.
-
-    Sides that differ (not ``ordered``) pair each left entry with the right ones in any order of keys.
-    """
-    a, b = (side.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in (("key", "k"), ("n", "n"), ("pos", "i")))) for side, s in ((left, "a"), (right, "b")))
-    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+def _met(left: DataFrame, right: DataFrame, which: str) -> DataFrame:
+    """``ka``, ``kb``, ``size`` (words of both) for each posting that a left and a right entry share where sizes and positions leave room for the similarity."""
+    a, b = (side.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in (("key", "k"), ("n", "n"), ("pos", "i"), ("open", "open")) if c in side.columns)) for side, s in ((left, "a"), (right, "b")))
+    # The first OVERLAP words that a similar pair has in common leave this much room at least.
+    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + (OVERLAP - 1)
     need = F.expr(f"ceil((na + nb) * {NUM} / {NUM + DEN})")
     fit = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (room >= need)
-    pairs = a.join(b, "token").where("ka < kb" if ordered else "ka <> kb").where(fit)
-    return pairs.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+    return a.join(b, "token").where(which).where(fit).select("ka", "kb", (F.col("na") + F.col("nb")).alias("size"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, entries: DataFrame, rarity: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole word sets are similar enough; only lines in a pair are read again, at their first place."""
     pairs = materialize(pairs, "line-pairs")
     keys = pairs.select(F.col("ka").alias("key")).unionByName(pairs.select(F.col("kb").alias("key"))).distinct()
@@ -130,28 +124,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, entries: DataFrame, rarity: Dat
     few = wanted.count() <= BROADCAST_ROWS
     text = docs.select(_at(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("lines"))
     found = text.join(F.broadcast(wanted) if few else wanted, "doc_id").select("lines", F.explode("wanted").alias("w"))
-    found = found.select(F.col("w.key").alias("key"), F.get("lines", F.col("w.line_no")).alias("line"))
-    sets = _tokenized(found, rarity, buckets).where(F.xxhash64("tokens") == F.col("key")).select("key", "tokens").dropDuplicates(["key"])
-    sets = materialize(sets, "line-sets")
+    found = found.select(F.col("w.key").alias("key"), F.get("lines", F.col("w.line_no")).alias("line")).where(F.xxhash64(F.lower("line")) == F.col("key"))
+    words = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    sets = materialize(found.select("key", words.alias("tokens")).dropDuplicates(["key"]), "line-sets")
     a, b = (sets.select(F.col("key").alias(f"k{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(a, "ka").join(b, "kb").where(both * (NUM + DEN) >= (F.size("ta") + F.size("tb")) * NUM).select("ka", "kb")
 
 
-def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = RARITY_BUCKETS) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = RARITY_BITS) -> DataFrame:
     """``docs`` with the lines that ``duplicate_lines`` finds taken out of the text; all rows and columns stay.
 
     A text that loses all its lines is empty; a null text stays null. Rows whose id is null keep their text.
     """
-    gone = duplicate_lines(docs, id_col, text_col, buckets).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = duplicate_lines(docs, id_col, text_col, bits).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i))
     joined = docs.join(gone, docs[id_col].cast("long") == gone["__doc"], "left")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))).select(*docs.columns)
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = RARITY_BUCKETS) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = RARITY_BITS) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0, ascending, joined by commas) per document id."""
-    gone = duplicate_lines(docs, id_col, text_col, buckets).groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sort_array(F.collect_set("line_no")).alias("x"))
+    gone = duplicate_lines(docs, id_col, text_col, bits).groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sort_array(F.collect_set("line_no")).alias("x"))
     sizes = docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.coalesce(F.sum(F.size(F.split(F.col(text_col), "\n"))), F.lit(0)).alias("n_lines"))
     out = sizes.join(gone, sizes["doc_id"].eqNullSafe(gone["doc_id"]), "left")
     return out.select(sizes["doc_id"], "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("x", ","), F.lit("")).alias("removed"))

@@ -103,11 +103,11 @@ def mix_report(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rou
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that ``mix_report`` samples."""
     plan = sampling_plan(materialize(_celled(docs, id_col, text_col).drop("doc_id"), "mix-docs"), targets, rounds)
-    plan = plan.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), "p")
+    plan = plan.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("p").alias("__p"))
     few = plan.count() <= BROADCAST_CELLS
     cell = {"source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "topic": topic(F.col(text_col))}
     keyed = docs.withColumns({f"__{d}": x for d, x in cell.items()})
-    chosen = keyed.join(F.broadcast(plan) if few else plan, [f"__{d}" for d in DIMENSIONS]).where(uniform(F.col(id_col), seed) < F.col("p"))
+    chosen = keyed.join(F.broadcast(plan) if few else plan, [f"__{d}" for d in DIMENSIONS]).where(uniform(F.col(id_col), seed) < F.col("__p"))
     return chosen.select(*docs.columns)
 
 

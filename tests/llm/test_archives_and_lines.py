@@ -90,17 +90,17 @@ def test_line_dedup_is_exact(spark, monkeypatch, seed, long_list):
     rows = [(10 * i, "\n".join(made[4 * i : 4 * i + 4])) for i in range(len(made) // 4)]
     rows += [(3, ""), (4, None), (5, "\n \n"), (None, made[0]), (7, made[1].upper() + "\n" + made[1])]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, token string")
-    got = [tuple(r) for r in lines.duplicate_lines(df, buckets=1 << 10).collect()]
+    got = [tuple(r) for r in lines.duplicate_lines(df, bits=10).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_lines(rows)
 
 
 def test_line_dedup_rewrites_texts_and_keeps_rows(spark):
     df = spark.createDataFrame([(1, "A b c\nx y", 1), (2, "a b c\nnew one\n\nx y", 2), (3, None, 3), (4, "x y", 4)], "doc_id long, text string, __x int")
-    got = {r["doc_id"]: r["text"] for r in lines.without_duplicate_lines(df, buckets=1 << 10).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.without_duplicate_lines(df, bits=10).collect()}
     assert got == {1: "A b c\nx y", 2: "new one\n", 3: None, 4: ""}
-    report = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in lines.line_report(df, buckets=1 << 10).collect()}
+    report = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in lines.line_report(df, bits=10).collect()}
     assert report == {1: (2, 0, ""), 2: (4, 2, "0,3"), 3: (0, 0, ""), 4: (1, 1, "0")}
-    assert lines.duplicate_lines(df.limit(0), buckets=1 << 10).count() == 0
+    assert lines.duplicate_lines(df.limit(0), bits=10).count() == 0
 
 
 def test_licenses_are_found_and_inherited(spark):
