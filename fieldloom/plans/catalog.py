@@ -1,6 +1,6 @@
 """All registered queries: importing the operator modules fills the registry."""
 
-from fieldloom.operators import evaluation, extraction, metrics, mining, relational, sequence, windows  # noqa: F401
+from fieldloom.operators import evaluation, extraction, metrics, mining, relational, sequence, services, windows  # noqa: F401
 from fieldloom.plans.registry import ORACLE, QUERIES
 from fieldloom.streaming import learning  # noqa: F401
 
