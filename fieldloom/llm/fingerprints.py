@@ -37,18 +37,18 @@ def _terms(text: Column, shingle_words: int) -> Column:
     return F.element_at(F.transform(F.array(words), terms), 1)  # the words are split once
 
 
-def fingerprints(texts: DataFrame, shingle_words: int = 2) -> DataFrame:
-    """``key``, ``hi``, ``lo`` for each distinct ``key`` of (``key``, ``text``) rows; a key stands for one text.
+def fingerprints(texts: DataFrame, shingle_words: int = 2, by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """``by``, ``rows``, ``hi``, ``lo`` for each distinct ``by`` of rows with a ``text``; ``by`` stands for one text.
 
     Every term votes with its weight for the set bits of its hash and against the others; a bit of the
     fingerprint is one where the signed votes are above zero. Two bits' votes share a long, so one hash
     aggregate holds all 128, and partial sums leave each task as one row per text. Texts without a word (null
-    and empty ones too) have no row. Rows repeated under a key multiply all votes alike.
+    and empty ones too) have fingerprint zero. Repeated rows multiply all votes alike; ``rows`` counts them.
     """
-    term = texts.select("key", F.explode(_terms(F.col("text"), shingle_words)).alias("t")).select("key", "t.w", F.col("t.h").alias("hi"))
+    term = texts.select(*by, F.posexplode_outer(_terms(F.col("text"), shingle_words)).alias("at", "t")).select(*by, "at", "t.w", F.col("t.h").alias("hi"))
     term = term.withColumn("lo", F.xxhash64("hi", F.lit(1)))
     sums = [F.sum(F.shiftrightunsigned(x, b).bitwiseAND(F.lit(LANES)) * F.col("w")).alias(f"{x}{b}") for x in WORDS for b in range(32)]
-    votes = term.groupBy("key").agg(F.sum("w").alias("w"), *sums)
+    votes = term.groupBy(*by).agg(F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("rows"), F.sum("w").alias("w"), *sums)
 
     def bits(x: str) -> Column:
         out = F.lit(0).cast("long")
@@ -59,7 +59,7 @@ def fingerprints(texts: DataFrame, shingle_words: int = 2) -> DataFrame:
                 out = out.bitwiseOR(F.when(votes_for * 2 - F.col("w") > 0, F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
         return out
 
-    return votes.select("key", *(bits(x).alias(x) for x in WORDS))
+    return votes.select(*by, "rows", *(bits(x).alias(x) for x in WORDS))
 
 
 def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -150,17 +150,20 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3, shingle_words: int = 2
     half = F.expr("char_length(text) div 2").cast("int")
     kept = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
     edited = rows.select("doc_id", "text", "next_text", F.char_length("text").cast("long").alias("n_chars"), F.concat(kept, F.col("next_text").substr(F.lit(1), half)).alias("edited"))
-    slim = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_key("text").alias("own"), text_key("edited").alias("after"), text_key("next_text").alias("beside"))
-    both = edited.select(F.explode(F.array("text", "edited")).alias("text")).select(text_key("text").alias("key"), "text")
-    fps = materialize(fingerprints(both, shingle_words), "simhash")
-    slim = materialize(slim, "simhash-rows")
+    keys = [F.col("doc_id"), F.col("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), text_key("text").alias("own"), text_key("edited").alias("after"), text_key("next_text").alias("beside")]
+    both = edited.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("*", "x.*")
+    # Both texts and all that is said of a row come out of one pass, so texts are shuffled once.
+    columns = ("doc_id", "n_chars", "edited_sha256", "own", "after", "beside")
+    made = materialize(fingerprints(both, shingle_words, (*columns, "kind")), "simhash")
+    slim = made.where("kind = 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+    fps = made.groupBy(F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("after")).alias("key")).agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"))
 
     out = slim
     for name in ("own", "after", "beside"):
         out = out.join(fps.select(F.col("key").alias(name), *(F.col(w).alias(f"{name}_{w}") for w in WORDS)), name, "left")
         out = out.withColumns({f"{name}_{w}": F.coalesce(f"{name}_{w}", F.lit(0).cast("long")) for w in WORDS})
 
-    pairs = materialize(near_fingerprints(fps.join(slim.select(F.col("own").alias("key")).distinct(), "key", "left_semi"), radius), "simhash-near")
+    pairs = materialize(near_fingerprints(made.where("kind = 0"), radius), "simhash-near")
     ends = pairs.select(F.col("hi_a").alias("own_hi"), F.col("lo_a").alias("own_lo")).unionByName(pairs.select(F.col("hi_b").alias("own_hi"), F.col("lo_b").alias("own_lo")))
     out = out.join(ends.groupBy("own_hi", "own_lo").agg(F.count("*").alias("n_near")), ["own_hi", "own_lo"], "left")
     fp = {name: tuple(F.col(f"{name}_{w}") for w in WORDS) for name in ("own", "after", "beside")}
