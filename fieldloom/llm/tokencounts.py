@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # stands for the blank before a word, as in the vocabulary
-MAX_NODES = 300_000  # of a trie; a fuller one is dropped and begun anew
+MAX_NODES = 1_000_000  # of a trie, some 300 bytes each; a fuller one is dropped and begun anew
+NONE = object()  # no piece ends so
 
 
 def default_vocabulary() -> str:
@@ -36,8 +37,8 @@ class ForwardTrie:
     """A trie of pre-tokens; each node holds the best score of its prefix and that path's token count."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # Every end of a piece, with the score of those that are pieces: a walk back from a node stops where no piece goes on.
+        self.ends: dict[str, float | None] = {piece[k:]: None for piece in scores for k in range(len(piece))} | scores
         self.unknown = min(scores.values(), default=0.0) - 10.0  # of a character that no piece covers
         self.reset()
 
@@ -50,16 +51,18 @@ class ForwardTrie:
         """Tokens of ``word`` on its best path. Nodes that earlier words share are walked, not scored again."""
         if self.nodes > MAX_NODES:
             self.reset()
-        piece, scores, node = SPACE + word, self.scores, self.root
+        piece, ends, node = SPACE + word, self.ends, self.root
         best, tokens = [0.0], [0]
         for end in range(1, len(piece) + 1):
             char = piece[end - 1]
             child = node.get(char)
             if child is None:
                 top, count = best[end - 1] + self.unknown, tokens[end - 1] + 1
-                for start in range(max(0, end - self.longest), end):
-                    score = scores.get(piece[start:end])
-                    if score is not None and best[start] + score > top:
+                for start in range(end - 1, -1, -1):
+                    score = ends.get(piece[start:end], NONE)
+                    if score is NONE:
+                        break
+                    if score is not None and best[start] + score >= top:
                         top, count = best[start] + score, tokens[start] + 1
                 child = node[char] = {"": (top, count)}
                 self.nodes += 1
