@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import materialize
 
-ORDERS = (3, 4, 5)  # bytes of an n-gram
+ORDERS = (3, 4, 5, 6)  # bytes of an n-gram
 BITS = 20  # of an n-gram's bucket
 SMOOTHING = 1.0  # added to every count
 MIX = 1 << 64, 0x9E3779B97F4A7C15, 0x100000001B3  # modulus and multipliers of the rolling hash
@@ -21,8 +21,8 @@ class Settings:
     """``max_rows`` bounds the labelled rows that training reads, ``max_features`` the buckets it keeps."""
 
     max_rows: int = 16_000
-    max_features: int = 1 << 14
-    min_rows: int = 2
+    max_features: int = 1 << 11
+    min_rows: int = 3
     penalty: float = 0.5
     rounds: int = 150
     cut: float = 0.3
