@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import materialize
 
 NUM, DEN = 4, 5  # the least Jaccard similarity, as a fraction so that all comparisons are of integers
-RARITY_BITS = 18  # of a word's hash that choose its place in the rarity table
+RARITY_BITS = 20  # of a word's hash that choose its place in the rarity table
 BROADCAST_ROWS = 400_000  # lines to verify up to which their places (some 24 bytes a row) are broadcast
 OVERLAP = 2  # posting lists that candidates share at least (lines of one word: one)
 LONG_LIST = 32  # entries from which a posting list is joined through its head
@@ -74,17 +74,17 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = rows.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     entries = materialize(entries.select("key", "place.doc_id", "place.line_no", "n", "prefix", "copies"), "line-entries")
 
-    posting = entries.select("key", F.col("doc_id").alias("doc"), F.col("n").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    long = posting.groupBy("token").agg(F.count("*").alias("size"), F.min("doc").alias("head")).where(F.col("size") > LONG_LIST).select("token", "head")
-    long = materialize(long, "line-long")
-    crowded = materialize(posting.join(F.broadcast(long) if long.count() <= BROADCAST_ROWS else long, "token"), "line-crowded")
+    # Postings are dealt by word once; a word that one entry has can't be shared, and most of the rarest are such.
+    posting = entries.select("key", F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    lists = posting.groupBy("token").agg(F.count("*").alias("size"), F.min("doc").alias("head")).where("size > 1")
+    posting = materialize(posting.join(lists.hint("merge"), "token"), "line-postings")
+    crowded = posting.where(F.col("size") > LONG_LIST)
     check = [docs, entries, id_col, text_col]
     heads = _met(crowded.where("doc = head"), crowded, "ka <> kb").select("ka", "kb").distinct()
     gone = materialize(_later(_verified(heads, *check), entries), "line-gone")
 
     marks = gone.withColumn("gone", F.lit(True))
-    open_ = entries.join(F.broadcast(marks) if gone.count() <= BROADCAST_ROWS else marks, "key", "left").withColumn("open", F.col("gone").isNull())
-    posting = open_.select("key", "n", "open", F.posexplode("prefix").alias("pos", "token"))
+    posting = posting.join(F.broadcast(marks) if gone.count() <= BROADCAST_ROWS else marks, "key", "left").select("key", "n", "pos", "token", F.col("gone").isNull().alias("open"))
     # A pair of open entries is met once, from its smaller key; one that is gone is met from the open one.
     met = _met(posting.where("open"), posting, "(openb and ka < kb) or (not openb and ka <> kb)").groupBy("ka", "kb").agg(F.count("*").alias("shared"), F.max("size").alias("size"))
     rest = met.where((F.col("shared") >= OVERLAP) | (F.col("size") == 2)).select("ka", "kb")
