@@ -37,3 +37,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Workspace:
+    """Intermediate tables that go when their last reader has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialize``."""
+        self.paths.append(new_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        """Delete all tables kept so far; nothing that is still to be computed may read them."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, self.paths):
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []

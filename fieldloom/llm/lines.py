@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import Workspace, materialize
 
 NUM, DEN = 4, 5  # the least Jaccard similarity, as a fraction so that all comparisons are of integers
 RARITY_BITS = 20  # of a word's hash that choose its place in the rarity table
@@ -20,7 +20,7 @@ def _words(line: Column) -> Column:
     return F.split(F.lower(line), " ")
 
 
-def word_rarity(docs: DataFrame, text_col: str = "text", bits: int = RARITY_BITS) -> DataFrame:
+def word_rarity(docs: DataFrame, text_col: str = "text", bits: int = RARITY_BITS, keep=materialize) -> DataFrame:
     """One row, ``rarity``: for each bucket of word hashes a long that orders words by how often that bucket's occur in all texts.
 
     The table has ``2 ** bits`` numbers whatever the corpus: four times the binary logarithm of the count
@@ -34,7 +34,7 @@ def word_rarity(docs: DataFrame, text_col: str = "text", bits: int = RARITY_BITS
     every = docs.sparkSession.range(1 << bits).join(counts, F.col("id") == F.col("bucket"), "left")
     every = every.select(F.struct("id", (F.shiftleft(level.cast("long"), 33) + (1 << 31)).alias("base")).alias("x"))
     table = every.agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return materialize(table.select(F.transform("x", lambda v: v["base"]).alias("rarity")), "rarity")
+    return keep(table.select(F.transform("x", lambda v: v["base"]).alias("rarity")), "rarity")
 
 
 def _with_tokens(lines: DataFrame, rarity: DataFrame, bits: int) -> DataFrame:
@@ -64,24 +64,25 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     steps: those in long posting lists with the earliest entry of each list, which settles most of a large
     group of near copies, and then those not yet found to be repeats with all others.
     """
-    rarity = word_rarity(docs, text_col, bits)
+    work = Workspace(docs.sparkSession)
+    rarity = word_rarity(docs, text_col, bits, work.keep)
     size = F.size("tokens")
     prefix = F.expr(f"size(tokens) - ceil(size(tokens) * {NUM} / {DEN}) + {OVERLAP}").cast("int")
     rows = _with_tokens(_lines(docs, id_col, text_col), rarity, bits).where(size > 0)
     # A posting keeps 31 bits of a word's hash: where two words share them, verification tells them apart.
     short = F.transform(F.slice("tokens", F.lit(1), prefix), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    rows = materialize(rows.select(_at("doc_id").alias("doc_id"), "line_no", F.xxhash64(F.lower("line")).alias("key"), size.alias("n"), short.alias("prefix")), "lines")
+    rows = work.keep(rows.select(_at("doc_id").alias("doc_id"), "line_no", F.xxhash64(F.lower("line")).alias("key"), size.alias("n"), short.alias("prefix")), "lines")
     entries = rows.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
-    entries = materialize(entries.select("key", "place.doc_id", "place.line_no", "n", "prefix", "copies"), "line-entries")
+    entries = work.keep(entries.select("key", "place.doc_id", "place.line_no", "n", "prefix", "copies"), "line-entries")
 
     # Postings are dealt by word once; a word that one entry has can't be shared, and most of the rarest are such.
     posting = entries.select("key", F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     lists = posting.groupBy("token").agg(F.count("*").alias("size"), F.min("doc").alias("head")).where("size > 1")
-    posting = materialize(posting.join(lists.hint("merge"), "token"), "line-postings")
+    posting = work.keep(posting.join(lists.hint("merge"), "token"), "line-postings")
     crowded = posting.where(F.col("size") > LONG_LIST)
-    check = [docs, entries, id_col, text_col]
+    check = [work, docs, entries, id_col, text_col]
     heads = _met(crowded.where("doc = head"), crowded, "ka <> kb").select("ka", "kb").distinct()
-    gone = materialize(_later(_verified(heads, *check), entries), "line-gone")
+    gone = work.keep(_later(_verified(heads, *check), entries), "line-gone")
 
     marks = gone.withColumn("gone", F.lit(True))
     posting = posting.join(F.broadcast(marks) if gone.count() <= BROADCAST_ROWS else marks, "key", "left").select("key", "n", "pos", "token", F.col("gone").isNull().alias("open"))
@@ -93,7 +94,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state = entries.select("key", "doc_id", "line_no", "copies").join(gone.withColumn("gone", F.lit(True)), "key", "left").where("gone or copies > 1")
     state = state.select("key", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
     found = rows.select("doc_id", "line_no", "key").join(state, "key").where("gone or doc_id <> first_doc or line_no <> first_line")
-    return found.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "line_no")
+    found = materialize(found.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "line_no"), "line-repeats")
+    work.clear()
+    return found
 
 
 def _at(id_col: str) -> Column:
@@ -116,17 +119,17 @@ def _met(left: DataFrame, right: DataFrame, which: str) -> DataFrame:
     return a.join(b, "token").where(which).where(fit).select("ka", "kb", (F.col("na") + F.col("nb")).alias("size"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, work: Workspace, docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole word sets are similar enough; only lines in a pair are read again, at their first place."""
-    pairs = materialize(pairs, "line-pairs")
+    pairs = work.keep(pairs, "line-pairs")
     keys = pairs.select(F.col("ka").alias("key")).unionByName(pairs.select(F.col("kb").alias("key"))).distinct()
-    wanted = materialize(entries.join(keys, "key").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")), "line-wanted")
+    wanted = work.keep(entries.join(keys, "key").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")), "line-wanted")
     few = wanted.count() <= BROADCAST_ROWS
     text = docs.select(_at(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("lines"))
     found = text.join(F.broadcast(wanted) if few else wanted, "doc_id").select("lines", F.explode("wanted").alias("w"))
     found = found.select(F.col("w.key").alias("key"), F.get("lines", F.col("w.line_no")).alias("line")).where(F.xxhash64(F.lower("line")) == F.col("key"))
     words = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    sets = materialize(found.select("key", words.alias("tokens")).dropDuplicates(["key"]), "line-sets")
+    sets = work.keep(found.select("key", words.alias("tokens")).dropDuplicates(["key"]), "line-sets")
     a, b = (sets.select(F.col("key").alias(f"k{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(a, "ka").join(b, "kb").where(both * (NUM + DEN) >= (F.size("ta") + F.size("tb")) * NUM).select("ka", "kb")
