@@ -17,16 +17,16 @@ from fieldloom.functions.text import default_pattern, strict_norm
 from fieldloom.plans.registry import query
 from fieldloom.sources.relations import Relations
 
-WORDS_SQL = """, t as (select doc_id as document_id, unnest(string_split_regex(trim(text), '\\s+')) as word, generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) - 1 as idx from documents where n_chars <= 1200),
+WORDS_SQL = """, t as (select doc_id as document_id, unnest(string_split_regex(trim(text), '\\s+')) as word, generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) - 1 as idx from documents),
 words as (select document_id, idx, word, 50 * (idx % 10) as x0, 50 * (idx % 10) + 40 as x1, 12 * (idx // 10) as top, 12 * (idx // 10) + 10 as bottom from t),
-loc as (select doc_id as document_id, k as field, 100 * (k % 3) as x0, 12 * k as top, 12 * k + 10 as bottom, case when k < 3 then 12 * (k + 2) end as next_top from documents, (values (0), (1), (2), (3)) v(k) where n_chars <= 1200)"""
+loc as (select doc_id as document_id, k as field, 100 * (k % 3) as x0, 12 * k as top, 12 * k + 10 as bottom, case when k < 3 then 12 * (k + 2) end as next_top from documents, (values (0), (1), (2), (3)) v(k))"""
 
 
 class Layout:
-    """Word boxes and field locations of the shorter documents of a relation set: ten words a line, four fields a document."""
+    """Word boxes and field locations of the documents of a relation set: ten words a line, four fields a document."""
 
     def __init__(self, r: Relations):
-        self.docs = r.table("documents").where("n_chars <= 1200").select(F.col("doc_id").alias("document_id"), "text")
+        self.docs = r.table("documents").select(F.col("doc_id").alias("document_id"), "text")
 
     @cached_property
     def words(self) -> DataFrame:
@@ -155,7 +155,8 @@ def j24_overlaps(r: Relations) -> DataFrame:
 @query()
 def e02_rule_candidates(r: Relations) -> DataFrame:
     """Rule-based values: learned patterns by priority, the default pattern of the field's name where none matches."""
-    learned = r.patterns.where("is_active and match_rate >= 0.7").select("pattern", "priority").distinct().orderBy(F.desc("priority"), "pattern").limit(8).select(F.collect_list("pattern").alias("p"))
+    best = r.patterns.where("is_active and match_rate >= 0.7").groupBy("pattern").agg(F.max("priority").alias("priority"))
+    learned = best.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("k"), "pattern"))), lambda x: x["pattern"]))
     rows = r.facts.select("document_id", "field_name", "truth").withColumn("patterns", learned.scalar())
     hit = F.get(F.filter("patterns", lambda p: F.rlike("truth", p)), 0)
     out = rows.withColumn("hit", hit).withColumn("base", default_pattern(F.col("field_name")))

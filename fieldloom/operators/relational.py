@@ -57,10 +57,10 @@ select d.document_id, l.latest, f.field_name from {documents} d left join l on l
 relational("j09_top_one_per_document", "The most confident field of each document.", """
 with k as (select document_id, field_name, confidence, row_number() over (partition by document_id order by confidence desc, position) as rn from {facts})
 select d.document_id, k.field_name, k.confidence from {documents} d left join k on k.document_id = d.document_id and k.rn = 1""")
-relational("j10_newer_than_last_job", "Feedback newer than the template's last completed job, or than 2000 where there is none.", """
-with l as (select template_id, max(created_at) as done from {jobs} where status = 'completed' and job_id % 997 = 0 group by template_id)
+relational("j10_newer_than_last_job", "Feedback newer than the last that its template's training used, less a grace of 100 days, or than 2000 where there is none.", """
+with l as (select d.template_id, max(f.created_at) as done from {feedback} f join {documents} d on d.document_id = f.document_id where f.used group by d.template_id)
 select d.template_id, count(*) as fresh from {feedback} f join {documents} d on d.document_id = f.document_id left join l on l.template_id = d.template_id
-where f.created_at > coalesce(l.done, timestamp '2000-01-01 00:00:00') group by d.template_id""")
+where not f.used and f.created_at > coalesce(l.done - interval '100' day, timestamp '2000-01-01 00:00:00') group by d.template_id""")
 relational("j11_fields_to_learn", "Fields with at least five corrections since they were last used.", """
 with l as (select field_name, max(created_at) as done from {feedback} where used group by field_name)
 select f.field_name, count(*) as n from {feedback} f left join l on l.field_name = f.field_name
@@ -169,8 +169,9 @@ select pattern_id, field_config, row_number() over (partition by field_config or
 relational("r02_field_trigger", "Fields whose unused corrections reached five, with what the trigger asks for.", """
 with c as (select d.template_id, f.field_name, count(*) as total, count(case when not f.used then 1 end) as unused from {feedback} f join {documents} d on d.document_id = f.document_id group by d.template_id, f.field_name)
 select template_id, field_name, case when unused < 5 then 'none' when total % 20 < unused then 'full' else 'incremental' end as action from c""")
-relational("r04_active_jobs", "Jobs to add: failed ones whose template and type have none pending or running.", """
-with a as (select distinct template_id, field_id from {jobs} where (status = 'pending' or status = 'running') and job_id % 40 = 0)
+relational("r04_active_jobs", "Failed jobs to add again: those of keys whose newest job is neither pending nor running.", """
+with k as (select template_id, field_id, status, row_number() over (partition by template_id, field_id order by created_at desc, job_id desc) as rn from {jobs}),
+     a as (select template_id, field_id from k where rn = 1 and status in ('pending', 'running'))
 select j.template_id, j.field_id, count(*) as n from {jobs} j anti join a on a.template_id = j.template_id and a.field_id = j.field_id where j.status = 'failed' group by j.template_id, j.field_id""")
 
 

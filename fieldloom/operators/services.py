@@ -22,7 +22,7 @@ relational("k03_strategy_counters", "Counters per template, strategy and field,
 select d.template_id, a.strategy, a.field_name, count(*) as total, count(case when a.value = f.truth then 1 end) as correct, count(case when a.value = f.truth then 1 end) / cast(count(*) as double) as accuracy
 from {attempts} a join {documents} d on d.document_id = a.document_id join {facts} f on f.document_id = a.document_id and f.field_name = a.field_name where a.success group by d.template_id, a.strategy, a.field_name""")
 relational("p06_in_list", "Feedback of a list of documents, as a semi-join with the list.", """
-select feedback_id, field_name from {feedback} f semi join (select document_id from {documents} where document_id % 97 = 0) d on d.document_id = f.document_id""")
+select feedback_id, field_name from {feedback} f semi join (select document_id from {documents} where template_id = 5 and status = 'pending') d on d.document_id = f.document_id""")
 relational("p16_success_rate", "Success in percent with two decimals, zero without use.", """
 select pattern_id, case when usage_count > 0 then round(cast(100 as double) * success_count / usage_count, 2) else cast(0 as double) end as rate from {patterns}""")
 relational("p28_multiline", "Fields whose values span lines, by lengths.", """
@@ -155,7 +155,7 @@ def a61_feature_importance(r: Relations) -> DataFrame:
 
 @query(""", o as (select document_id, idx, word, row_number() over (partition by document_id order by top, idx) as rn, top, x0 from (
   select doc_id as document_id, unnest(string_split_regex(trim(text), '\\s+')) as word, generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) - 1 as idx, 12 * ((generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) - 1) // 10) as top,
-  50 * ((generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) - 1) % 10) as x0 from documents where n_chars <= 1200) x)
+  50 * ((generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) - 1) % 10) as x0 from documents) x)
 select document_id, idx, (rn - 1) % 10 < 5 as opens, regexp_matches(word, '[.,]$') and lead(word) over (partition by document_id order by idx) is not null as goes_on from o""")
 def w18_group_flags(r: Relations) -> DataFrame:
     """The first five words of each line, and words after which a value may go on."""
