@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
@@ -28,6 +30,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_once(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet and let go of its shuffle files: what reads the result reads the table."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -35,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     again, by every later use.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write_once(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,7 +61,7 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """As ``materialize``."""
         self.paths.append(new_path(self.spark, name))
-        df.write.parquet(self.paths[-1])
+        write_once(df, self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def clear(self) -> None:
