@@ -1,4 +1,4 @@
-"""License scans: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest ancestor directory; DataFrame functions only."""
+"""License scans: sparse TF-IDF cosine of lines, blocks and files to templates, then inheritance from the nearest ancestor directory; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldloom.llm.common import materialize
 
 THRESHOLD = 0.6
 BROADCAST_ROWS = 200_000  # licensed directories (some 60 bytes each) up to which they are broadcast
+COMMON_SHARE = 1000  # words in more than one of so many rows are broadcast: at most so many times a row's mean number of words
 SPLIT = r"[^\p{L}\p{N}]+"
 
 # The notices by which files and headers name these licenses.
@@ -48,27 +48,33 @@ def template_terms(templates: list[tuple[str, str]]) -> list[dict[str, int]]:
     return out
 
 
-def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of rows, and in how many of them each of ``terms`` occurs; whole texts, all rows."""
-    found = docs.select(F.explode(F.array_intersect(_words(F.col(text_col)), F.array(*map(F.lit, terms)))).alias("term"))
-    counts = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}
-    return docs.count(), counts
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term``, ``df``: in how many rows each word occurs; all words, whole texts, all rows."""
+    found = docs.select(F.explode(F.array_distinct(_words(F.col(text_col)))).alias("term"))
+    return found.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _units(text: Column) -> Column:
+    """A text's lines, its blocks (runs of lines between lines without a word) and the text itself."""
+    blocks = F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    return F.array_distinct(F.concat(F.split(text, "\n"), blocks, F.array(text)))
 
 
 def line_scores(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``license``, ``score``: of each document with a line at cosine ``threshold`` or more, the best (ties: first name).
+    """``doc_id``, ``license``, ``score``: of each document with a line, block or whole text at cosine ``threshold`` or more, the best (ties: first name).
 
     Terms are lower-cased runs of letters and digits; weights are counts times ln((1 + rows) / (1 + df)) + 1
-    with df over all rows. A term in no template counts with df 0 in a line's norm, so other prose on the
-    line lowers its score. Only lines with an anchor term are scored: without one of a template's anchors,
-    its heaviest terms, no cosine reaches the threshold, whatever else the line holds. Null texts have no
-    line; null ids take part as one document.
+    with df over all rows, of every word. Only units with an anchor term are scored: without one of a
+    template's anchors, its heaviest terms, no cosine reaches the threshold, whatever else the unit holds.
+    Frequencies of common words are broadcast, those of the others meet the units' words in an equi-join, so
+    no key of that join holds more than a small share of the rows. Null texts have no unit; null ids take part
+    as one document.
     """
     spark, bags = docs.sparkSession, template_terms(templates)
     terms = sorted({t for bag in bags for t in bag})
-    rows, df = document_frequencies(docs, terms, text_col)
+    rows, every = docs.count(), materialize(document_frequencies(docs, text_col), "license-df")
+    df = {r["term"]: r["df"] for r in every.where(F.col("term").isin(terms)).collect()}
     idf = {t: math.log((1 + rows) / (1 + df.get(t, 0))) + 1 for t in terms}
-    unknown = math.log(1 + rows) + 1
     weights, anchors = [], set()
     for number, bag in enumerate(bags):
         vector = {t: n * idf[t] for t, n in bag.items()}
@@ -80,20 +86,24 @@ def line_scores(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
             anchors.add(t)
             rest -= vector[t] ** 2
         weights += [(number, templates[number][0], t, vector[t] / norm) for t in vector]
-    # Both tables are bounded by the templates' words.
+    # Bounded by the templates' words.
     table = F.broadcast(spark.createDataFrame(weights, "template int, license string, term string, weight double"))
-    known = F.broadcast(spark.createDataFrame(list(idf.items()), T.StructType([T.StructField("term", T.StringType()), T.StructField("idf", T.DoubleType())])))
 
     marks = F.array(*map(F.lit, sorted(anchors)))
-    hit = docs.where(F.arrays_overlap(_words(F.col(text_col)), marks)).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-    lines = hit.select("doc_id", F.array_sort(_words(F.col("line"))).alias("words")).where(F.arrays_overlap("words", marks)).distinct()
-    lines = materialize(lines.select("doc_id", F.xxhash64("words").alias("line"), "words"), "license-lines")
-    counts = lines.select("doc_id", "line", F.explode("words").alias("term")).groupBy("doc_id", "line", "term").agg(F.count("*").alias("n"))
-    heavy = counts.join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    heavy = materialize(heavy.select("doc_id", "line", "term", "x"), "license-terms")
-    norms = heavy.groupBy("doc_id", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = heavy.join(table, "term").groupBy("doc_id", "line", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    same = (dots["line"] == norms["line"]) & dots["doc_id"].eqNullSafe(norms["doc_id"])
+    hit = docs.where(F.arrays_overlap(_words(F.col(text_col)), marks)).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_units(F.col(text_col))).alias("unit"))
+    units = hit.select("doc_id", F.array_sort(_words(F.col("unit"))).alias("words")).where(F.arrays_overlap("words", marks))
+    units = units.select("doc_id", F.xxhash64("words").alias("unit"), "words").dropDuplicates(["doc_id", "unit"])
+    units = materialize(units, "license-units")
+    counts = units.select("doc_id", "unit", F.explode("words").alias("term")).groupBy("doc_id", "unit", "term").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "license-counts")
+    often = F.col("df") * COMMON_SHARE > rows
+    common = F.broadcast(every.where(often))
+    known = counts.join(common, "term").unionByName(counts.join(common, "term", "left_anti").join(every.where(~often), "term"))
+    heavy = known.select("doc_id", "unit", "term", (F.col("n") * (F.log(F.lit(1 + rows) / (1 + F.col("df"))) + 1)).alias("x"))
+    heavy = materialize(heavy, "license-terms")
+    norms = heavy.groupBy("doc_id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = heavy.join(table, "term").groupBy("doc_id", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    same = (dots["unit"] == norms["unit"]) & dots["doc_id"].eqNullSafe(norms["doc_id"])
     scored = dots.join(norms, same).select(dots["doc_id"], "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("x"))
     return best.select("doc_id", "x.license", (-F.col("x.minus")).alias("score"))
