@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,9 @@ from fieldloom.llm.common import materialize
 WORDS = ("hi", "lo")  # a fingerprint is two longs
 BITS = 64 * len(WORDS)
 LANES = 0x0000000100000001  # two 32-bit counters in one long
+# Bits within which fingerprints are near. Texts at cosine c differ in about 128 * arccos(c) / pi bits; one word changed in
+# a hundred leaves c = 0.98 of two-word terms and 8 bits on average, of which this radius holds nine pairs in ten.
+RADIUS = 12
 BUCKET_ROWS, MAX_BUCKETS = 2_000, 10_000
 
 
@@ -71,35 +76,51 @@ def fingerprint_hex(hi: Column, lo: Column) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(x)), 16, "0") for x in (hi, lo)))
 
 
-def _masks(radius: int, spare: int) -> list[tuple[int, int]]:
-    """Signed bit masks of each table: ``spare`` of ``radius + spare`` blocks, moved nowhere but kept in place."""
-    blocks = radius + spare
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
+def _masks(radius: int, spare: int, parts: int) -> list[list[tuple[int, int]]]:
+    """Signed bit masks of each part's tables: ``spare`` blocks of the part, moved nowhere but kept in place.
+
+    Two fingerprints within the radius are, in one part at least, within that part's share of the radius: the
+    shares add up to ``radius - parts + 1``, so exceeding each of them takes more than ``radius`` bits. A part
+    has as many blocks as its share and ``spare`` more.
+    """
+    parts = min(parts, radius + 1)
     out = []
-    for chosen in combinations(range(blocks), spare):
-        bits = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
-        out.append(tuple(x - (1 << 64) if x >> 63 else x for x in (bits >> 64, bits & ((1 << 64) - 1))))
+    for part in range(parts):
+        start, end = BITS * part // parts, BITS * (part + 1) // parts
+        blocks = (radius - parts + 1 + part) // parts + spare
+        edges = [start + (end - start) * k // blocks for k in range(blocks + 1)]
+        tables = []
+        for chosen in combinations(range(blocks), spare):
+            bits = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
+            tables.append(tuple(x - (1 << 64) if x >> 63 else x for x in (bits >> 64, bits & ((1 << 64) - 1))))
+        out.append(tables)
     return out
 
 
-def near_fingerprints(fps: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
+def near_fingerprints(fps: DataFrame, radius: int = RADIUS, spare: int = 4, parts: int = 3) -> DataFrame:
     """All pairs of distinct fingerprints within ``radius`` bits: ``hi_a``, ``lo_a``, ``hi_b``, ``lo_b``, ``distance``.
 
-    The bits are cut into ``radius + spare`` blocks; two fingerprints within the radius agree in at least
-    ``spare`` of them, so each choice of ``spare`` blocks is a table keyed by those blocks, and every pair
-    meets in one table at least. A pair is made only in the first table where it meets, and then verified.
-    Equal fingerprints are one entry, so copies make no pairs; nulls take no part.
+    The bits are cut into ``parts``, each with a share of the radius, and those into blocks; two fingerprints
+    within a part's share agree in at least ``spare`` of its blocks, so each choice of ``spare`` blocks is a
+    table keyed by those blocks, and every pair meets in one table at least (``_masks``). At the defaults
+    there are 140 tables, keyed by 21 bits or more. A pair is made only in the first table where it meets,
+    and then verified. A part's tables are joined and let go before the next part's are made. Equal
+    fingerprints are one entry, so copies make no pairs; nulls take no part.
     """
-    masks = _masks(radius, spare)
-    distinct = fps.select(*WORDS).where("hi is not null and lo is not null").distinct()
-    entry = [F.struct(F.lit(t).alias("t"), F.col("hi").bitwiseAND(F.lit(h)).alias("kh"), F.col("lo").bitwiseAND(F.lit(low)).alias("kl")) for t, (h, low) in enumerate(masks)]
-    tables = distinct.select(*WORDS, F.explode(F.array(*entry)).alias("k")).select(*WORDS, "k.*")
-    a, b = (tables.select(F.col("hi").alias(f"hi_{s}"), F.col("lo").alias(f"lo_{s}"), "t", "kh", "kl") for s in "ab")
-    pairs = a.join(b, ["t", "kh", "kl"]).where("hi_a < hi_b or (hi_a = hi_b and lo_a < lo_b)")
-    dh, dl = F.col("hi_a").bitwiseXOR(F.col("hi_b")), F.col("lo_a").bitwiseXOR(F.col("lo_b"))
-    first = F.coalesce(*(F.when((dh.bitwiseAND(F.lit(h)) == 0) & (dl.bitwiseAND(F.lit(low)) == 0), F.lit(t)) for t, (h, low) in enumerate(masks)))
-    pairs = pairs.withColumn("distance", F.bit_count(dh) + F.bit_count(dl)).where((F.col("distance") <= radius) & (F.col("t") == first))
-    return pairs.select("hi_a", "lo_a", "hi_b", "lo_b", "distance")
+    distinct = materialize(fps.select(*WORDS).where("hi is not null and lo is not null").distinct(), "simhash-distinct")
+    masks = [mask for tables in _masks(radius, spare, parts) for mask in tables]
+    every = F.from_json(F.lit(json.dumps([{"t": t, "h": h, "l": low} for t, (h, low) in enumerate(masks)])), "array<struct<t:int,h:bigint,l:bigint>>")
+    found, t = [], 0
+    for tables in _masks(radius, spare, parts):
+        entry = distinct.select(*WORDS, F.explode(F.slice(every, t + 1, len(tables))).alias("m"))
+        key = F.xxhash64("m.t", F.col("hi").bitwiseAND(F.col("m.h")), F.col("lo").bitwiseAND(F.col("m.l")))
+        a, b = (entry.select(F.col("hi").alias(f"hi_{s}"), F.col("lo").alias(f"lo_{s}"), key.alias("key"), F.col("m.t").alias("t")) for s in "ab")
+        dh, dl = F.col("hi_a").bitwiseXOR(F.col("hi_b")), F.col("lo_a").bitwiseXOR(F.col("lo_b"))
+        pairs = a.join(b, ["key", "t"]).where("hi_a < hi_b or (hi_a = hi_b and lo_a < lo_b)").withColumn("distance", F.bit_count(dh) + F.bit_count(dl)).where(F.col("distance") <= radius)
+        met = F.exists(every, lambda m: (m["t"] < F.col("t")) & (dh.bitwiseAND(m["h"]) == 0) & (dl.bitwiseAND(m["l"]) == 0))
+        found.append(materialize(pairs.where(~met).select("hi_a", "lo_a", "hi_b", "lo_b", "distance"), "simhash-near"))
+        t += len(tables)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _bucket_of(value: Column, bounds: list[int]) -> Column:
@@ -136,7 +157,7 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return every.withColumn("next_text", F.lead("text").over(beside)).where("guest = 0").select("doc_id", "text", "next_text")
 
 
-def edited_fingerprints(docs: DataFrame, radius: int = 3, shingle_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, shingle_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text and its edited text, one row per input row.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many, or all, of
@@ -163,7 +184,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3, shingle_words: int = 2
         out = out.join(fps.select(F.col("key").alias(name), *(F.col(w).alias(f"{name}_{w}") for w in WORDS)), name, "left")
         out = out.withColumns({f"{name}_{w}": F.coalesce(f"{name}_{w}", F.lit(0).cast("long")) for w in WORDS})
 
-    pairs = materialize(near_fingerprints(made.where("kind = 0"), radius), "simhash-near")
+    pairs = near_fingerprints(made.where("kind = 0"), radius)
     ends = pairs.select(F.col("hi_a").alias("own_hi"), F.col("lo_a").alias("own_lo")).unionByName(pairs.select(F.col("hi_b").alias("own_hi"), F.col("lo_b").alias("own_lo")))
     out = out.join(ends.groupBy("own_hi", "own_lo").agg(F.count("*").alias("n_near")), ["own_hi", "own_lo"], "left")
     fp = {name: tuple(F.col(f"{name}_{w}") for w in WORDS) for name in ("own", "after", "beside")}
