@@ -52,12 +52,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has none of, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Workspace:
-    """Intermediate tables that go when their last reader has been written."""
+    """Intermediate tables that go when the block that made them ends, whether it succeeds or not."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """As ``materialize``."""
         self.paths.append(new_path(self.spark, name))

@@ -2,153 +2,259 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Workspace, materialize
+from fieldloom.llm.common import Workspace, fresh_names, materialize
 
 NUM, DEN = 4, 5  # the least Jaccard similarity, as a fraction so that all comparisons are of integers
-RARITY_BITS = 20  # of a word's hash that choose its place in the rarity table
-BROADCAST_ROWS = 400_000  # lines to verify up to which their places (some 24 bytes a row) are broadcast
-OVERLAP = 2  # posting lists that candidates share at least (lines of one word: one)
-LONG_LIST = 32  # entries from which a posting list is joined through its head
+TABLE_BITS = 22  # of a word's hash that choose its place in the rarity table: 4 MB whatever the corpus
+STEPS = 2  # of rarity in each doubling of a word's count
+HASH = (1 << 56) - 1  # a token is a word's rarity above these bits of its hash
+LIST = 64  # lines that a posting list is expected to have at most; a key takes more words beyond it
+WIDE = 400  # words from which lines are keyed by neighbouring words
+CROWD = 16  # lines from which a group meets its heads first
+HEADS = 8  # parts of a group whose first lines are heads
+BROADCAST_ROWS = 400_000  # documents with lines to verify up to which their places (some 40 bytes a row) are broadcast
 NULL_ID = -(2**63)  # stands for a null id, before all others
+PARITY = ("odd", "odder")  # 128 bits, of which each token turns one: lines that differ in few words differ in few of them
+PLACE = ("doc", "text_key", "line_no")  # where a line stands; its order says which of two lines is earlier
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased runs without blanks; empty strings stand where blanks meet."""
-    return F.split(F.lower(line), " ")
+def _words(lowered: Column) -> Column:
+    """Runs without blanks of a lower-cased text; empty strings stand where blanks meet."""
+    return F.split(lowered, " ")
 
 
-def word_rarity(docs: DataFrame, text_col: str = "text", bits: int = RARITY_BITS, keep=materialize) -> DataFrame:
-    """One row, ``rarity``: for each bucket of word hashes a long that orders words by how often that bucket's occur in all texts.
+def word_rarity(docs: DataFrame, text_col: str = "text", bits: int = TABLE_BITS, keep=materialize) -> DataFrame:
+    """One row, ``rarity``: for each bucket of word hashes a byte that grows with the count of that bucket's words in all texts.
 
-    The table has ``2 ** bits`` numbers whatever the corpus: four times the binary logarithm of the count
-    above 33 bits, and half the range of a hash below, so that adding a word's hash gives a positive number
-    that sorts by rarity, then hash. Any order of words makes the join exact; where words share a bucket,
-    posting lists only get longer.
+    The byte is ``STEPS`` times the binary logarithm, rounded down, and zero for one occurrence or none. The
+    table has ``2 ** bits`` bytes whatever the corpus and is put together from pieces of 64. Any order of
+    words makes the join exact; where words share a bucket, keys only take more words than they need.
     """
-    word = docs.select(F.explode(_words(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("word"))
-    counts = word.groupBy(F.shiftrightunsigned(F.hash("word"), 32 - bits).alias("bucket")).agg(F.count("*").alias("n"))
-    level = F.coalesce(F.floor(F.log2("n") * 4), F.lit(0))
-    every = docs.sparkSession.range(1 << bits).join(counts, F.col("id") == F.col("bucket"), "left")
-    every = every.select(F.struct("id", (F.shiftleft(level.cast("long"), 33) + (1 << 31)).alias("base")).alias("x"))
-    table = every.agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return keep(table.select(F.transform("x", lambda v: v["base"]).alias("rarity")), "rarity")
+    word = docs.select(F.explode(_words(F.lower(F.replace(F.col(text_col), F.lit("\n"), F.lit(" "))))).alias("word"))
+    counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - bits).alias("bucket")).agg(F.count("*").alias("n"))
+    level = F.coalesce(F.floor(F.log2("n") * STEPS), F.lit(0)).cast("tinyint")
+    part = F.struct(F.col("bucket").bitwiseAND(63).cast("int").alias("at"), level.alias("level"))
+    pieces = counts.groupBy(F.shiftright("bucket", 6).alias("piece")).agg(F.map_from_entries(F.collect_list(part)).alias("levels"))
+    every = docs.sparkSession.range(1 << bits - 6).join(pieces, F.col("id") == F.col("piece"), "left")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda at: F.coalesce(F.try_element_at("levels", at), F.lit(0).cast("tinyint")))
+    table = every.select("id", dense.alias("levels")).agg(F.flatten(F.sort_array(F.collect_list(F.struct("id", "levels")))["levels"]).alias("rarity"))
+    return keep(table, "rarity")
+
+
+def _level(token: Column) -> Column:
+    return F.shiftright(token, 56).cast("int")
 
 
 def _with_tokens(lines: DataFrame, rarity: DataFrame, bits: int) -> DataFrame:
-    """``lines`` plus ``tokens``: distinct word hashes as longs, rarest first. The table is a scalar subquery, so rows never carry it."""
-    empty = F.hash(F.lit(""))
-    ranked = F.transform(F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.hash(w))), empty), lambda h: F.get("rarity", F.shiftrightunsigned(h, 32 - bits)) + h)
-    return lines.withColumn("rarity", rarity.scalar()).select(*lines.columns, F.sort_array(ranked).alias("tokens"))
+    """``lines`` plus ``tokens``: distinct words as longs, rarest first. The table is a scalar subquery, so rows never carry it."""
+    level = lambda h: F.coalesce(F.get("rarity", F.shiftrightunsigned(h, 64 - bits).cast("int")), F.lit(0).cast("tinyint"))
+    token = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
+    hashes = F.array_remove(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return lines.withColumn("rarity", rarity.scalar()).select(*lines.columns, F.sort_array(F.array_distinct(F.transform(hashes, token))).alias("tokens"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    return docs.select(*_place_of(id_col, text_col), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line_no", "line"))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = RARITY_BITS) -> DataFrame:
-    """``doc_id``, ``line_no`` (from 0) of every line that repeats an earlier one: word sets with Jaccard of at least 4/5.
+def _place_of(id_col: str, text_col: str) -> list[Column]:
+    """What says which row a line is in: the id and the text. Rows equal in both are one place."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key")]
 
-    Lines are the newline-separated parts of a text; their words are lower-cased runs without blanks.
-    Earlier is by ``doc_id``, then ``line_no``. A line goes if any earlier line matches it, whether that one
-    stays or goes; so of an exact group only the first line stays. Lines without a word never match. Null
-    texts have no lines. Rows whose id is null come before all others; rows that repeat an id have its line numbers each,
-    and a line number is reported as often as rows have it.
-
-    Equal lines (case aside) are one entry of the join from its first shuffle on. Similar entries share at
-    least ``OVERLAP`` of their rarest n - ceil(4n/5) + ``OVERLAP`` words, their postings; entries that do are
-    candidates if sizes and positions leave room for the similarity, and are verified on their whole word
-    sets, by 64-bit hashes. Entries are joined in two
-    steps: those in long posting lists with the earliest entry of each list, which settles most of a large
-    group of near copies, and then those not yet found to be repeats with all others.
-    """
-    work = Workspace(docs.sparkSession)
-    rarity = word_rarity(docs, text_col, bits, work.keep)
-    size = F.size("tokens")
-    prefix = F.expr(f"size(tokens) - ceil(size(tokens) * {NUM} / {DEN}) + {OVERLAP}").cast("int")
-    rows = _with_tokens(_lines(docs, id_col, text_col), rarity, bits).where(size > 0)
-    # A posting keeps 31 bits of a word's hash: where two words share them, verification tells them apart.
-    short = F.transform(F.slice("tokens", F.lit(1), prefix), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    rows = work.keep(rows.select(_at("doc_id").alias("doc_id"), "line_no", F.xxhash64(F.lower("line")).alias("key"), size.alias("n"), short.alias("prefix")), "lines")
-    entries = rows.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
-    entries = work.keep(entries.select("key", "place.doc_id", "place.line_no", "n", "prefix", "copies"), "line-entries")
-
-    # Postings are dealt by word once; a word that one entry has can't be shared, and most of the rarest are such.
-    posting = entries.select("key", F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    lists = posting.groupBy("token").agg(F.count("*").alias("size"), F.min("doc").alias("head")).where("size > 1")
-    posting = work.keep(posting.join(lists.hint("merge"), "token"), "line-postings")
-    crowded = posting.where(F.col("size") > LONG_LIST)
-    check = [work, docs, entries, id_col, text_col]
-    heads = _met(crowded.where("doc = head"), crowded, "ka <> kb").select("ka", "kb").distinct()
-    gone = work.keep(_later(_verified(heads, *check), entries), "line-gone")
 
-    marks = gone.withColumn("gone", F.lit(True))
-    posting = posting.join(F.broadcast(marks) if gone.count() <= BROADCAST_ROWS else marks, "key", "left").select("key", "n", "pos", "token", F.col("gone").isNull().alias("open"))
-    # A pair of open entries is met once, from its smaller key; one that is gone is met from the open one.
-    met = _met(posting.where("open"), posting, "(openb and ka < kb) or (not openb and ka <> kb)").groupBy("ka", "kb").agg(F.count("*").alias("shared"), F.max("size").alias("size"))
-    rest = met.where((F.col("shared") >= OVERLAP) | (F.col("size") == 2)).select("ka", "kb")
-    gone = gone.unionByName(_later(_verified(rest, *check), entries)).distinct()
+def _lacked() -> Column:
+    """How many of its ``n`` words a line that is similar to this one lacks at most."""
+    return F.expr(f"n - (n * {NUM} + {DEN - 1}) div {DEN}").cast("int")
 
-    state = entries.select("key", "doc_id", "line_no", "copies").join(gone.withColumn("gone", F.lit(True)), "key", "left").where("gone or copies > 1")
-    state = state.select("key", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    found = rows.select("doc_id", "line_no", "key").join(state, "key").where("gone or doc_id <> first_doc or line_no <> first_line")
-    found = materialize(found.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "line_no"), "line-repeats")
-    work.clear()
-    return found
 
+def _differ() -> Column:
+    """In how many words a similar line, of 5n / 4 words at most, and this one differ at most: a ninth of all their words."""
+    return F.expr(f"(n + n * {DEN} div {NUM}) * {DEN - NUM} div {NUM + DEN}").cast("int")
 
-def _at(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
+def _repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """``doc``, ``text_key``, ``line_no`` of every line that repeats an earlier one, as often as rows have it."""
+    with Workspace(docs.sparkSession) as work:
+        rarity = word_rarity(docs, text_col, bits, work.keep)
+        n = F.size("tokens")
+        # A condition on the tokens would have them made twice.
+        rows = _with_tokens(_lines(docs, id_col, text_col).where(F.trim("line") != ""), rarity, bits)
+        parity = [F.expr(f"aggregate(tokens, 0L, (bits, t) -> if(t & 64 = {half}, bits ^ shiftleft(1L, cast(t & 63 as int)), bits))").alias(p) for p, half in zip(PARITY, (0, 64))]
+        rows = rows.select(*PLACE, F.xxhash64("line").alias("key"), n.alias("n"), *parity, "tokens")
+        head = F.greatest(F.when(F.col("n") <= WIDE, _lacked() + 3).otherwise(0), F.when(F.col("n") * DEN >= WIDE * NUM, _differ() * 2 + 2).otherwise(0))
+        rows = work.keep(rows.select(*PLACE, "key", "n", *PARITY, F.slice("tokens", F.lit(1), head).alias("head")), "lines")
+        entries = rows.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", *PARITY, "head")))
+        entries = work.keep(entries.select("key", "place.*", "copies", "n", *PARITY, "head"), "line-entries")
 
-def _later(near: DataFrame, entries: DataFrame) -> DataFrame:
-    """The later entry of each pair, by place."""
-    first, second = (entries.select(F.col("key").alias(f"k{s}"), F.struct("doc_id", "line_no").alias(f"p{s}")) for s in "ab")
-    return near.join(first, "ka").join(second, "kb").select(F.when(F.col("pa") < F.col("pb"), F.col("kb")).otherwise(F.col("ka")).alias("key")).distinct()
+        check = [work, docs, entries, id_col, text_col]
+        gone = work.keep(_later(_crowded(entries, work), *check), "line-gone")
+        rest = _later(_met(postings(entries, gone)), *check)
+        gone = gone.unionByName(rest).distinct()
 
+        state = entries.select("key", *(F.col(c).alias(f"first_{c}") for c in PLACE), "copies").join(gone.withColumn("gone", F.lit(True)), "key", "left")
+        state = state.where("gone or copies > 1").drop("copies")
+        found = rows.select(*PLACE, "key").join(state, "key").where("gone or doc <> first_doc or text_key <> first_text_key or line_no <> first_line_no")
+        return materialize(found.select(*PLACE), "line-repeats")
 
-def _met(left: DataFrame, right: DataFrame, which: str) -> DataFrame:
-    """``ka``, ``kb``, ``size`` (words of both) for each posting that a left and a right entry share where sizes and positions leave room for the similarity."""
-    a, b = (side.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in (("key", "k"), ("n", "n"), ("pos", "i"), ("open", "open")) if c in side.columns)) for side, s in ((left, "a"), (right, "b")))
-    # The first OVERLAP words that a similar pair has in common leave this much room at least.
-    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + (OVERLAP - 1)
-    need = F.expr(f"ceil((na + nb) * {NUM} / {NUM + DEN})")
-    fit = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (room >= need)
-    return a.join(b, "token").where(which).where(fit).select("ka", "kb", (F.col("na") + F.col("nb")).alias("size"))
 
+def _crowded(entries: DataFrame, work: Workspace) -> DataFrame:
+    """``ka``, ``kb``: the entries of large groups, each with a few first entries and the most copied entry of its group.
 
-def _verified(pairs: DataFrame, work: Workspace, docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose whole word sets are similar enough; only lines in a pair are read again, at their first place."""
-    pairs = work.keep(pairs, "line-pairs")
-    keys = pairs.select(F.col("ka").alias("key")).unionByName(pairs.select(F.col("kb").alias("key"))).distinct()
-    wanted = work.keep(entries.join(keys, "key").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")), "line-wanted")
+    A group shares two neighbours among its words that many lines hold, so it is made of near copies and of
+    little else. What is settled here need not be met by others of its group again; what is not is met as
+    any other line. Nothing depends on which groups these are.
+    """
+    often = F.filter(F.slice("head", F.lit(1), _lacked() + 3), lambda t: _level(t) > _steps(LIST))
+    pair = lambda k: F.xxhash64(F.get("often", F.lit(k)), F.get("often", F.lit(k + 1)))
+    member = entries.where(F.col("n") <= WIDE).select("key", *PLACE, "n", *PARITY, "copies", often.alias("often"))
+    member = member.select("key", *PLACE, "n", *PARITY, "copies", F.explode(F.array(*(F.when(F.size("often") >= k + 2, pair(k)) for k in (0, 2, 4)))).alias("group")).where("group is not null")
+    crowds = work.keep(member.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD).select("group"), "line-crowds")
+    member = work.keep(member.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds, "group"), "line-members")
+    fields = {"kb": "key", "nb": "n", **{f"{p}b": p for p in PARITY}}
+    told = F.struct(*PLACE, *(F.col(c).alias(x) for x, c in fields.items()))
+    part = F.pmod(F.xxhash64("key"), F.lit(HEADS))
+    early = member.groupBy("group", part.alias("part")).agg(F.min(told).alias("head")).select("group", "head")
+    common = member.groupBy("group").agg(F.min(F.struct(-F.col("copies"), told.alias("head"))).alias("x")).select("group", "x.head")
+    heads = early.unionByName(common).select("group", *(f"head.{x}" for x in fields)).distinct()
+    a = member.select("group", F.col("key").alias("ka"), F.col("n").alias("na"), *(F.col(p).alias(f"{p}a") for p in PARITY))
+    return a.join(heads, "group").where("ka <> kb").where(_alike()).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
+
+
+def _steps(count: float) -> int:
+    """The rarity of a word with that count."""
+    return math.floor(math.log2(count) * STEPS)
+
+
+def _room() -> Column:
+    """Words in which lines of ``na`` and ``nb`` words may differ: the sizes less twice the overlap that the similarity needs."""
+    return F.expr(f"na + nb - 2 * (((na + nb) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN})")
+
+
+def _alike() -> Column:
+    """What sizes and parities of two similar lines satisfy: the length filter, and no more odd bits than words may differ."""
+    odd = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in PARITY), F.lit(0))
+    return (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (odd <= _room())
+
+
+def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """``token`` and what the join asks of a line: ``key``, ``doc``, ``n``, ``odd``, ``odder``, ``miss``, ``wide``, ``open``.
+
+    Similar lines x and y share at least k of the first lacked + k words of both, words by rarity, for every
+    k up to their overlap. A posting's key is their first shared word, if few lines have it; the first two,
+    if few lines are expected to have both; else the first three (lines of two words, which match only such
+    lines, stop at two, those of one word at one). So each line emits every choice of that many of its first
+    words, most of them single rare ones. A word that occurs once in the corpus can't be shared. ``miss`` is
+    how many words before the key's last one are not in the key: none of them is shared.
+
+    Lines of ``WIDE`` words or more, and of at least 4/5 of that for each other's sake, are keyed by
+    neighbours instead, as choices would grow with the square of their words: if x and y differ in D words,
+    then among the first 2D + 2 words of both together at least D + 2 are shared, so two of these are
+    neighbours in both. ``miss`` is then the place of the first of the two.
+    """
+    lines_ = max(1, entries.count())
+    often, paired = _steps(LIST), _steps(LIST * lines_)
+    marks = gone.withColumn("gone", F.lit(True))
+    open_ = entries.join(F.broadcast(marks) if gone.count() <= BROADCAST_ROWS else marks, "key", "left")
+    base = open_.select("key", "doc", "n", *PARITY, F.col("gone").isNull().alias("open"), "head")
+    kept = ("key", "doc", "n", *PARITY, "open")
+    no = F.array(F.lit(-1).cast("long"))
+    one = base.where(F.col("n") <= WIDE).select(*kept, "head", _lacked().alias("d"), F.posexplode(F.slice("head", F.lit(1), _lacked() + 1)).alias("i", "t")).where(_level(F.col("t")) > 0)
+    few = (_level(F.col("t")) <= often) | (F.col("n") == 1)
+    two = one.select(*kept, "head", "d", "i", "t", F.posexplode(F.when(few, no).otherwise(F.slice("head", F.col("i") + 2, F.col("d") + 1 - F.col("i")))).alias("j", "u"))
+    few = (F.col("u") < 0) | (_level(F.col("t")) + _level(F.col("u")) <= paired) | (F.col("n") == 2)
+    at = F.col("i") + F.col("j") + 1
+    three = two.select(*kept, "i", "j", "t", "u", F.posexplode(F.when(few, no).otherwise(F.slice("head", at + 2, F.col("d") + 2 - at))).alias("k", "v"))
+    narrow = three.select(F.xxhash64("t", "u", "v").alias("token"), *kept, (F.col("i") + F.col("j") + F.col("k")).alias("miss"), F.lit(False).alias("wide"))
+
+    wide = base.where(F.col("n") * DEN >= WIDE * NUM).select(*kept, "head", F.posexplode(F.slice("head", F.lit(1), _differ() * 2 + 1)).alias("miss", "t"))
+    wide = wide.withColumn("u", F.get("head", F.col("miss") + 1)).where(F.col("u").isNotNull() & (_level(F.col("t")) > 0) & (_level(F.col("u")) > 0))
+    return narrow.unionByName(wide.select(F.xxhash64("t", "u", F.lit(-2).cast("long")).alias("token"), *kept, "miss", F.lit(True).alias("wide")))
+
+
+def _met(posting: DataFrame) -> DataFrame:
+    """``ka``, ``kb``: entries that share a key, one of them not yet found to be a repeat, where sizes, parities and positions leave room for the similarity."""
+    names = {"key": "k", "doc": "d", "n": "n", **{p: p for p in PARITY}, "miss": "m", "wide": "w", "open": "open"}
+    # The shorter of two similar lines lacks at most a ninth of its words, so its key is among fewer of them.
+    index = posting.where(F.col("wide") | (F.col("miss") * (NUM + DEN) <= F.col("n") * (DEN - NUM)))
+    a, b = (side.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in names.items())) for s, side in (("a", posting), ("b", index)))
+    # What is gone still counts as an earlier line of those that are not.
+    once = F.expr("((opena and (openb or db <= da)) or (openb and da <= db)) and (na > nb or (na = nb and ka < kb))")
+    fit = F.when(F.col("wa"), F.abs(F.col("ma") - F.col("mb"))).otherwise(F.col("ma") + F.col("mb")) <= _room()
+    return a.join(b, "token").where(once & _alike() & fit).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
+
+
+def _later(pairs: DataFrame, work: Workspace, docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key``: the later entry of each pair whose whole word sets are similar enough.
+
+    Only lines in a pair are read again, at their first place, and compared by 64-bit word hashes.
+    """
+    pairs = work.keep(pairs.distinct(), "line-pairs")
+    keys = work.keep(pairs.select(F.col("ka").alias("key")).unionByName(pairs.select(F.col("kb").alias("key"))).distinct(), "line-keys")
+    lines_ = entries.select("key", *PLACE).join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key")
+    wanted = work.keep(lines_.groupBy("doc", "text_key").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")), "line-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    text = docs.select(_at(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("lines"))
-    found = text.join(F.broadcast(wanted) if few else wanted, "doc_id").select("lines", F.explode("wanted").alias("w"))
-    found = found.select(F.col("w.key").alias("key"), F.get("lines", F.col("w.line_no")).alias("line")).where(F.xxhash64(F.lower("line")) == F.col("key"))
+    text = docs.select(*_place_of(id_col, text_col), F.col(text_col).alias("text")).where("text is not null")
+    found = text.join(F.broadcast(wanted) if few else wanted, ["doc", "text_key"]).select("doc", "text_key", F.split(F.lower("text"), "\n").alias("lines"), F.explode("wanted").alias("w"))
+    found = found.select(F.col("w.key").alias("key"), F.struct("doc", "text_key", "w.line_no").alias("place"), F.get("lines", F.col("w.line_no")).alias("line")).where(F.xxhash64("line") == F.col("key"))
     words = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    sets = work.keep(found.select("key", words.alias("tokens")).dropDuplicates(["key"]), "line-sets")
-    a, b = (sets.select(F.col("key").alias(f"k{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "ka").join(b, "kb").where(both * (NUM + DEN) >= (F.size("ta") + F.size("tb")) * NUM).select("ka", "kb")
+    sets = work.keep(found.select("key", "place", words.alias("words")).dropDuplicates(["key"]), "line-sets")
+    a, b = (sets.select(F.col("key").alias(f"k{s}"), F.col("place").alias(f"p{s}"), F.col("words").alias(f"w{s}")) for s in "ab")
+    both = F.size(F.array_intersect("wa", "wb"))
+    similar = pairs.join(a, "ka").join(b, "kb").where(both * (NUM + DEN) >= (F.size("wa") + F.size("wb")) * NUM)
+    return similar.select(F.when(F.col("pa") < F.col("pb"), F.col("kb")).otherwise(F.col("ka")).alias("key")).distinct()
+
+
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = TABLE_BITS) -> DataFrame:
+    """``doc_id``, ``line_no`` (from 0) of every line that repeats an earlier one: word sets with Jaccard of at least 4/5.
+
+    Lines are the newline-separated parts of a text; their words are lower-cased runs without blanks.
+    Earlier is by ``doc_id``, then (where rows share an id) by a hash of the text, then ``line_no``. A line
+    goes if any earlier line matches it, whether that one stays or goes; so of an exact group only the first
+    line stays. Lines without a word never match. Null texts have no lines. Rows whose id is null come before
+    all others. Rows equal in id and text share their places, so they do not repeat each other, and a line
+    number is reported as often as rows have it. An empty table gives an empty table; columns other than id
+    and text are not read.
+
+    Equal lines (case aside) are one entry of the join from its first shuffle on. Entries that share a key of
+    rare words (``postings``) are candidates if sizes, word parities and positions leave room for the
+    similarity, and are verified on their whole word sets, by 64-bit hashes. Before that, entries of large
+    groups of near copies meet a few heads of their group only (``_crowded``); those not found to be repeats
+    then meet all others.
+    """
+    found = _repeats(docs, id_col, text_col, bits)
+    return found.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "line_no")
+
+
+def _with_repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, str]:
+    """``docs`` plus a column, named in the result's second part, with the numbers of each row's lines that repeat others; null: none."""
+    doc, key, gone = fresh_names(docs, "doc", "text_key", "gone")
+    lists = _repeats(docs, id_col, text_col, bits).groupBy(F.col("doc").alias(doc), F.col("text_key").alias(key)).agg(F.sort_array(F.collect_set("line_no")).alias(gone))
+    at, text_key = _place_of(id_col, text_col)
+    return docs.withColumns({doc: at, key: text_key}).join(lists, [doc, key], "left").drop(doc, key), gone
 
 
-def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = RARITY_BITS) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = TABLE_BITS) -> DataFrame:
     """``docs`` with the lines that ``duplicate_lines`` finds taken out of the text; all rows and columns stay.
 
-    A text that loses all its lines is empty; a null text stays null. Rows whose id is null keep their text.
+    Lines go from the row they stand in, also where rows share an id or have none. A text that loses all its
+    lines is empty; a null text stays null.
     """
-    gone = duplicate_lines(docs, id_col, text_col, bits).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__doc"], "left")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))).select(*docs.columns)
-
-
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = RARITY_BITS) -> DataFrame:
-    """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0, ascending, joined by commas) per document id."""
-    gone = duplicate_lines(docs, id_col, text_col, bits).groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sort_array(F.collect_set("line_no")).alias("x"))
-    sizes = docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.coalesce(F.sum(F.size(F.split(F.col(text_col), "\n"))), F.lit(0)).alias("n_lines"))
-    out = sizes.join(gone, sizes["doc_id"].eqNullSafe(gone["doc_id"]), "left")
-    return out.select(sizes["doc_id"], "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("x", ","), F.lit("")).alias("removed"))
+    joined, gone = _with_repeats(docs, id_col, text_col, bits)
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = TABLE_BITS) -> DataFrame:
+    """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0, ascending, joined by commas), one row per input row."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    joined, gone = _with_repeats(slim, "doc_id", "text", bits)
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return joined.select(
+        "doc_id", n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed")
+    )

@@ -1,11 +1,10 @@
-"""WARC round trips, line dedup, licences and mixing."""
+"""WARC round trips, licences and mixing."""
 
 import hashlib
-import random
 
 import pytest
 
-from fieldloom.llm import licenses, lines, mixing, warc
+from fieldloom.llm import licenses, mixing, warc
 
 PAGES = [
     (1, "http://a/x y", "<p>" + "a" * 2000, "z"),
@@ -62,47 +61,6 @@ def test_warc_records_read_back():
         list(warc.parse_warc(one[:-1]))
 
 
-def brute_lines(rows):
-    seen, out = [], set()
-    order = sorted(((-(2**63) if i is None else i), k, frozenset(line.lower().split())) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")))
-    for i, k, words in order:
-        if words:
-            if any(5 * len(words & w) >= 4 * len(words | w) for w in seen):
-                out.add((None if i == -(2**63) else i, k))
-            seen.append(words)
-    return out
-
-
-@pytest.mark.parametrize("seed,long_list", [(1, 32), (2, 3), (3, 1)])
-def test_line_dedup_is_exact(spark, monkeypatch, seed, long_list):
-    monkeypatch.setattr(lines, "LONG_LIST", long_list)
-    rnd = random.Random(seed)
-    vocabulary = [f"w{i}" for i in range(60)]
-    made = []
-    for _ in range(40):
-        base = rnd.sample(vocabulary, rnd.randint(1, 14))
-        for _ in range(rnd.randint(1, 6)):
-            line = list(base)
-            for _ in range(rnd.randint(0, 3)):
-                line[rnd.randrange(len(line))] = rnd.choice(vocabulary)
-            made.append(" ".join(line))
-    rnd.shuffle(made)
-    rows = [(10 * i, "\n".join(made[4 * i : 4 * i + 4])) for i in range(len(made) // 4)]
-    rows += [(3, ""), (4, None), (5, "\n \n"), (None, made[0]), (7, made[1].upper() + "\n" + made[1])]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, token string")
-    got = [tuple(r) for r in lines.duplicate_lines(df, bits=10).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_lines(rows)
-
-
-def test_line_dedup_rewrites_texts_and_keeps_rows(spark):
-    df = spark.createDataFrame([(1, "A b c\nx y", 1), (2, "a b c\nnew one\n\nx y", 2), (3, None, 3), (4, "x y", 4)], "doc_id long, text string, __x int")
-    got = {r["doc_id"]: r["text"] for r in lines.without_duplicate_lines(df, bits=10).collect()}
-    assert got == {1: "A b c\nx y", 2: "new one\n", 3: None, 4: ""}
-    report = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in lines.line_report(df, bits=10).collect()}
-    assert report == {1: (2, 0, ""), 2: (4, 2, "0,3"), 3: (0, 0, ""), 4: (1, 1, "0")}
-    assert lines.duplicate_lines(df.limit(0), bits=10).count() == 0
-
-
 def test_licenses_are_found_and_inherited(spark):
     rows = [
         (1, "r/LICENSE", "Released under the MIT License."),
