@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a folder
-    under the machine's temporary folder stands in.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs in one process
+    (master ``local``, as in tests) a folder under the machine's temporary folder stands in.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -41,17 +47,6 @@ def write_once(df: DataFrame, path: str) -> None:
         conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The lineage ends at files that outlive any executor, and what was computed once is read, not computed
-    again, by every later use.
-    """
-    path = new_path(df.sparkSession, name)
-    write_once(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` has none of, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -64,26 +59,54 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
 
 
 class Workspace:
-    """Intermediate tables that go when the block that made them ends, whether it succeeds or not."""
+    """Intermediate tables that go when the ``with`` block that made them ends, whether it succeeds or not.
+
+    ``materialize`` writes for the innermost open block; ``give`` writes for the block around it, so a result
+    outlives the tables it was made of. Outside all blocks tables stay until the folder is cleared.
+    """
+
+    _open: list[Workspace] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Workspace:
+        self._open.append(self)
         return self
 
     def __exit__(self, *_) -> None:
+        self._open.remove(self)
         self.clear()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """As ``materialize``."""
-        self.paths.append(new_path(self.spark, name))
-        write_once(df, self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
-
-    def clear(self) -> None:
-        """Delete all tables kept so far; nothing that is still to be computed may read them."""
+        """As ``materialize``, for this block."""
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        write_once(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def give(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialize``, for the block around this one."""
+        around = self._open[: self._open.index(self)]
+        return (around[-1] if around else Workspace(self.spark)).keep(df, name)
+
+    def drop(self, paths: list[str]) -> None:
+        """Delete some of the tables; nothing that is still to be computed may read them."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in map(jvm.org.apache.hadoop.fs.Path, self.paths):
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
             path.getFileSystem(conf).delete(path, True)
-        self.paths = []
+        self.paths = [p for p in self.paths if p not in paths]
+
+    def clear(self) -> None:
+        """Delete all tables kept so far."""
+        self.drop(self.paths)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    The lineage ends at files that outlive any executor, and what was computed once is read, not computed
+    again, by every later use.
+    """
+    open_ = Workspace._open
+    return (open_[-1] if open_ else Workspace(df.sparkSession)).keep(df, name)

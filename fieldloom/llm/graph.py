@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import Workspace
 
 
 def _hook(edges: DataFrame) -> DataFrame:
@@ -30,19 +30,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nothing; an empty table gives an empty table. Every round is written to the shared folder, so lost
     executors cost no more than one round.
     """
-    now = materialize(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-        .distinct(),
-        "cc",
-    )
-    mark = None
-    for _ in range(max_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or seen[0] == 0:
-            break
-        mark = seen
-        now = materialize(_fold(_hook(now)), "cc")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    with Workspace(edges.sparkSession) as work:
+        now, mark = work.keep(edges.distinct(), "cc"), None
+        for _ in range(max_rounds):
+            seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if seen == mark or seen[0] == 0:
+                break
+            mark, done = seen, list(work.paths)
+            now = work.keep(_fold(_hook(now)), "cc")
+            work.drop(done)
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        return work.give(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "cc-roots")

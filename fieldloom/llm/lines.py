@@ -13,7 +13,8 @@ NUM, DEN = 4, 5  # the least Jaccard similarity, as a fraction so that all compa
 TABLE_BITS = 22  # of a word's hash that choose its place in the rarity table: 4 MB whatever the corpus
 STEPS = 2  # of rarity in each doubling of a word's count
 HASH = (1 << 56) - 1  # a token is a word's rarity above these bits of its hash
-LIST = 64  # lines that a posting list is expected to have at most; a key takes more words beyond it
+LIST = 512  # lines that a posting list is expected to have at most; a key takes more words beyond it
+OFTEN = 64  # occurrences from which a word may be that of a large group
 WIDE = 400  # words from which lines are keyed by neighbouring words
 CROWD = 16  # lines from which a group meets its heads first
 HEADS = 8  # parts of a group whose first lines are heads
@@ -83,11 +84,12 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFram
         rarity = word_rarity(docs, text_col, bits, work.keep)
         n = F.size("tokens")
         # A condition on the tokens would have them made twice.
-        rows = _with_tokens(_lines(docs, id_col, text_col).where(F.trim("line") != ""), rarity, bits)
+        lines_ = _lines(docs, id_col, text_col).where(F.trim("line") != "")
+        rows = _with_tokens(lines_, rarity, bits)
         parity = [F.expr(f"aggregate(tokens, 0L, (bits, t) -> if(t & 64 = {half}, bits ^ shiftleft(1L, cast(t & 63 as int)), bits))").alias(p) for p, half in zip(PARITY, (0, 64))]
         rows = rows.select(*PLACE, F.xxhash64("line").alias("key"), n.alias("n"), *parity, "tokens")
         head = F.greatest(F.when(F.col("n") <= WIDE, _lacked() + 3).otherwise(0), F.when(F.col("n") * DEN >= WIDE * NUM, _differ() * 2 + 2).otherwise(0))
-        rows = work.keep(rows.select(*PLACE, "key", "n", *PARITY, F.slice("tokens", F.lit(1), head).alias("head")), "lines")
+        rows = rows.select(*PLACE, "key", "n", *PARITY, F.slice("tokens", F.lit(1), head).alias("head"))
         entries = rows.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", *PARITY, "head")))
         entries = work.keep(entries.select("key", "place.*", "copies", "n", *PARITY, "head"), "line-entries")
 
@@ -98,8 +100,8 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFram
 
         state = entries.select("key", *(F.col(c).alias(f"first_{c}") for c in PLACE), "copies").join(gone.withColumn("gone", F.lit(True)), "key", "left")
         state = state.where("gone or copies > 1").drop("copies")
-        found = rows.select(*PLACE, "key").join(state, "key").where("gone or doc <> first_doc or text_key <> first_text_key or line_no <> first_line_no")
-        return materialize(found.select(*PLACE), "line-repeats")
+        found = lines_.select(*PLACE, F.xxhash64("line").alias("key")).join(state, "key").where("gone or doc <> first_doc or text_key <> first_text_key or line_no <> first_line_no")
+        return work.give(found.select(*PLACE), "line-repeats")
 
 
 def _crowded(entries: DataFrame, work: Workspace) -> DataFrame:
@@ -109,7 +111,7 @@ def _crowded(entries: DataFrame, work: Workspace) -> DataFrame:
     little else. What is settled here need not be met by others of its group again; what is not is met as
     any other line. Nothing depends on which groups these are.
     """
-    often = F.filter(F.slice("head", F.lit(1), _lacked() + 3), lambda t: _level(t) > _steps(LIST))
+    often = F.filter(F.slice("head", F.lit(1), _lacked() + 3), lambda t: _level(t) > _steps(OFTEN))
     pair = lambda k: F.xxhash64(F.get("often", F.lit(k)), F.get("often", F.lit(k + 1)))
     member = entries.where(F.col("n") <= WIDE).select("key", *PLACE, "n", *PARITY, "copies", often.alias("often"))
     member = member.select("key", *PLACE, "n", *PARITY, "copies", F.explode(F.array(*(F.when(F.size("often") >= k + 2, pair(k)) for k in (0, 2, 4)))).alias("group")).where("group is not null")
@@ -179,13 +181,13 @@ def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
 def _met(posting: DataFrame) -> DataFrame:
     """``ka``, ``kb``: entries that share a key, one of them not yet found to be a repeat, where sizes, parities and positions leave room for the similarity."""
     names = {"key": "k", "doc": "d", "n": "n", **{p: p for p in PARITY}, "miss": "m", "wide": "w", "open": "open"}
-    # The shorter of two similar lines lacks at most a ninth of its words, so its key is among fewer of them.
-    index = posting.where(F.col("wide") | (F.col("miss") * (NUM + DEN) <= F.col("n") * (DEN - NUM)))
-    a, b = (side.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in names.items())) for s, side in (("a", posting), ("b", index)))
+    # The shorter of two similar lines lacks at most a ninth of its words, so its key is among fewer of them. Both sides read one shuffle.
+    short = F.col("wb") | (F.col("mb") * (NUM + DEN) <= F.col("nb") * (DEN - NUM))
+    a, b = (posting.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in names.items())) for s in "ab")
     # What is gone still counts as an earlier line of those that are not.
     once = F.expr("((opena and (openb or db <= da)) or (openb and da <= db)) and (na > nb or (na = nb and ka < kb))")
     fit = F.when(F.col("wa"), F.abs(F.col("ma") - F.col("mb"))).otherwise(F.col("ma") + F.col("mb")) <= _room()
-    return a.join(b, "token").where(once & _alike() & fit).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
+    return a.join(b, "token").where(once & short & _alike() & fit).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
 
 
 def _later(pairs: DataFrame, work: Workspace, docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
