@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm import graph
+from fieldloom.llm.common import Workspace, materialize
 
 WORDS = ("hi", "lo")  # a fingerprint is two longs
 BITS = 64 * len(WORDS)
 LANES = 0x0000000100000001  # two 32-bit counters in one long
 # Bits within which fingerprints are near. Texts at cosine c differ in about 128 * arccos(c) / pi bits; one word changed in
-# a hundred leaves c = 0.98 of two-word terms and 8 bits on average, of which this radius holds nine pairs in ten.
-RADIUS = 12
-BUCKET_ROWS, MAX_BUCKETS = 2_000, 10_000
+# a hundred leaves c = 0.98 of two-word terms and 8 bits on average.
+RADIUS = 8
+BUCKET_ROWS, MAX_BUCKETS = 2_000, 50_000
 
 
 def text_key(text: str = "text") -> Column:
@@ -97,15 +99,15 @@ def _masks(radius: int, spare: int, parts: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def near_fingerprints(fps: DataFrame, radius: int = RADIUS, spare: int = 4, parts: int = 3) -> DataFrame:
+def near_fingerprints(fps: DataFrame, radius: int = RADIUS, spare: int = 2, parts: int = 2) -> DataFrame:
     """All pairs of distinct fingerprints within ``radius`` bits: ``hi_a``, ``lo_a``, ``hi_b``, ``lo_b``, ``distance``.
 
     The bits are cut into ``parts``, each with a share of the radius, and those into blocks; two fingerprints
     within a part's share agree in at least ``spare`` of its blocks, so each choice of ``spare`` blocks is a
     table keyed by those blocks, and every pair meets in one table at least (``_masks``). At the defaults
-    there are 140 tables, keyed by 21 bits or more. A pair is made only in the first table where it meets,
-    and then verified. A part's tables are joined and let go before the next part's are made. Equal
-    fingerprints are one entry, so copies make no pairs; nulls take no part.
+    there are 25 tables, keyed by 21 bits or more. A pair is made only in the first table where it meets,
+    and then verified. Equal fingerprints are one entry, so copies make no pairs; nulls take no part. As many
+    pairs come out as there are: of large groups of near copies, ``near_groups`` says who belongs together.
     """
     distinct = materialize(fps.select(*WORDS).where("hi is not null and lo is not null").distinct(), "simhash-distinct")
     masks = [mask for tables in _masks(radius, spare, parts) for mask in tables]
@@ -123,6 +125,43 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS, spare: int = 4, part
     return reduce(DataFrame.unionByName, found)
 
 
+def table_sizes(rows: int, radius: int = RADIUS, parts: int = 2) -> int:
+    """The least ``spare`` for which all keys of the block tables have a bit more than ``rows`` has, or 4."""
+    def bits(spare: int) -> int:
+        ones = [sum((x & (2**64 - 1)).bit_count() for x in mask) for tables in _masks(radius, spare, parts) for mask in tables]
+        return min(ones)
+
+    return next((spare for spare in (2, 3) if bits(spare) > rows.bit_length()), 4)
+
+
+def near_groups(fps: DataFrame, radius: int = RADIUS, parts: int = 2) -> DataFrame:
+    """``hi``, ``lo``, ``near_group`` for each distinct fingerprint of ``fps`` (``hi``, ``lo``, ``doc_id``).
+
+    A group is what links of at most ``radius`` bits connect, named by its least ``doc_id`` (null if it has
+    none). Links are found in permuted block tables as by ``near_fingerprints``, but only between groups
+    that neighbours in the tables have not joined yet (``graph.linked_components``), so a large group makes
+    no pairs of all its members. Keys take more blocks where there are more fingerprints; the links are the same.
+    """
+    with Workspace(fps.sparkSession) as work:
+        nodes = fps.groupBy(*WORDS).agg(F.min("doc_id").alias("first_id")).select(*WORDS, F.xxhash64(*WORDS).alias("node"), "first_id")
+        nodes = work.keep(nodes, "simhash-distinct")
+        masks = [mask for tables in _masks(radius, table_sizes(nodes.count(), radius, parts), parts) for mask in tables]
+        every = F.from_json(F.lit(json.dumps([{"t": t, "h": h, "l": low} for t, (h, low) in enumerate(masks)])), "array<struct<t:int,h:bigint,l:bigint>>")
+
+        def index(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+            entry = df.select(*columns, F.explode(every).alias("m"))
+            key = F.xxhash64("m.t", F.col("hi").bitwiseAND(F.col("m.h")), F.col("lo").bitwiseAND(F.col("m.l")))
+            # Neighbours are near in bits that the key lacks: the leading ones of either word.
+            sub = F.shiftrightunsigned("hi", 60) * 16 + F.shiftrightunsigned("lo", 60)
+            return entry.select(*columns, key.alias("key"), sub.alias("sub"))
+
+        def near(a: str, b: str) -> Column:
+            return sum((F.bit_count(F.col(f"{w}{a}").bitwiseXOR(F.col(f"{w}{b}"))) for w in WORDS), F.lit(0)) <= radius
+
+        groups = graph.linked_components(nodes, WORDS, index, near)
+        return work.give(nodes.join(groups, "node").select(*WORDS, F.col("component_id").alias("near_group")), "simhash-groups")
+
+
 def _bucket_of(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending ``bounds`` are at most ``value``, looked up in two steps of about the root of their number."""
     step = max(1, math.isqrt(len(bounds)))
@@ -132,29 +171,34 @@ def _bucket_of(value: Column, bounds: list[int]) -> Column:
 
 
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``text``, ``next_text``: the text of the next document by descending id, after the last the first.
+    """``doc_id``, ``text``, ``next_id``, ``next_text``: the next document by descending id, after the last the first.
 
-    Null texts are empty. Null ids come last; equal ids are ordered by text, descending. A single row is its
-    own next. The ids are cut at quantiles into buckets of about ``BUCKET_ROWS`` rows; every bucket also
+    Null texts are empty. Null ids come last; equal ids are ordered by a hash of the text, then the text,
+    descending. A single row is its own next. The ids are cut at quantiles into buckets of about
+    ``BUCKET_ROWS`` rows, an id (or none) that many rows share into ranges of the hash; every bucket also
     receives the first row of the one after it, so one shuffle puts each text beside its neighbour and no
-    bucket holds more than its share.
+    bucket holds more than its share, unless a row itself is repeated that often.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63))))
+    rows = rows.withColumns({"at": F.coalesce("doc_id", F.lit(-(2**63))), "hash": text_key()})
     n = rows.count()
     parts = min(MAX_BUCKETS, n // BUCKET_ROWS)
-    bounds = sorted({int(x) for x in rows.select(F.percentile_approx("at", [k / parts for k in range(1, parts)], 100 * parts).alias("x")).first()["x"]}) if parts > 1 else []
-    place = _bucket_of(F.col("at"), bounds) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", place)
-    # One id per bucket, at most MAX_BUCKETS.
-    heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max("at").alias("head")).collect()}
+    cuts = [int(x) for x in rows.select(F.percentile_approx("at", [k / parts for k in range(1, parts)], 20 * parts).alias("x")).first()["x"]] if parts > 1 else []
+    shared = {at: n for at, n in Counter(cuts).items() if n > 1}
+    bucket = _bucket_of(F.col("at"), sorted(set(cuts))) if cuts else F.lit(0)
+    many = F.try_element_at(F.create_map(*(F.lit(x) for pair in shared.items() for x in pair)), F.col("at")) if shared else F.lit(None).cast("int")
+    part = F.when(many.isNull(), F.lit(MAX_BUCKETS)).otherwise(F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * many)).cast("int")
+    rows = rows.withColumn("bucket", F.struct(bucket.alias("range"), part.alias("part")))
+    # One place per bucket, at most twice MAX_BUCKETS.
+    heads = {tuple(r["bucket"]): tuple(r["head"]) for r in rows.groupBy("bucket").agg(F.max(F.struct("at", "hash")).alias("head")).collect()}
     order = sorted(heads, reverse=True)
-    guests = [(heads[after], before) for before, after in zip(order, [*order[1:], *order[:1]])]
-    guests = docs.sparkSession.createDataFrame(guests, "at long, host int")
-    visiting = rows.join(F.broadcast(guests), "at").select("doc_id", "text", "at", F.col("host").alias("bucket"), F.lit(1).alias("guest"))
-    every = rows.select("doc_id", "text", "at", "bucket", F.lit(0).alias("guest")).unionByName(visiting)
-    beside = Window.partitionBy("bucket").orderBy("guest", F.desc("at"), F.desc("text"))
-    return every.withColumn("next_text", F.lead("text").over(beside)).where("guest = 0").select("doc_id", "text", "next_text")
+    guests = [(*heads[after], before) for before, after in zip(order, [*order[1:], *order[:1]])]
+    guests = docs.sparkSession.createDataFrame(guests, "at long, hash long, host struct<range:int,part:int>")
+    visiting = rows.join(F.broadcast(guests), ["at", "hash"]).groupBy("host", "doc_id", "at", "hash").agg(F.max("text").alias("text"))
+    own = rows.select("doc_id", "text", "at", "hash", "bucket", F.lit(0).alias("guest"))
+    every = own.unionByName(visiting.select("doc_id", "text", "at", "hash", F.col("host").alias("bucket"), F.lit(1).alias("guest")))
+    beside = Window.partitionBy("bucket").orderBy("guest", F.desc("at"), F.desc("hash"), F.desc("text"))
+    return every.withColumns({f"next_{c}": F.lead(x).over(beside) for c, x in (("id", "doc_id"), ("text", "text"))}).where("guest = 0").select("doc_id", "text", "next_id", "next_text")
 
 
 def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, shingle_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,38 +207,43 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, shingle_words: in
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many, or all, of
     the next document's first ones (``with_next_text``). Columns: ``doc_id``, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint`` (32 hex digits; zeros for a text without a word), ``near_edited``,
-    ``near_next`` (share of equal bits) and ``n_near``, how many other fingerprints of the corpus lie within
-    ``radius`` bits of this one. Repeated rows stay rows; an empty table gives an empty table; columns other
-    than id and text are not read.
+    ``near_next`` (share of equal bits) and ``near_group``, the least id of the documents that links of at
+    most ``radius`` bits connect with this one, its own included (null where none of them has an id).
+    Repeated rows stay rows; an empty table gives an empty table; columns other than id and text are not read.
     """
-    rows = with_next_text(docs, id_col, text_col)
-    half = F.expr("char_length(text) div 2").cast("int")
-    kept = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
-    edited = rows.select("doc_id", "text", "next_text", F.char_length("text").cast("long").alias("n_chars"), F.concat(kept, F.col("next_text").substr(F.lit(1), half)).alias("edited"))
-    keys = [F.col("doc_id"), F.col("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), text_key("text").alias("own"), text_key("edited").alias("after"), text_key("next_text").alias("beside")]
-    both = edited.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("*", "x.*")
-    # Both texts and all that is said of a row come out of one pass, so texts are shuffled once.
-    columns = ("doc_id", "n_chars", "edited_sha256", "own", "after", "beside")
-    made = materialize(fingerprints(both, shingle_words, (*columns, "kind")), "simhash")
-    slim = made.where("kind = 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
-    fps = made.groupBy(F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("after")).alias("key")).agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"))
-
-    out = slim
-    for name in ("own", "after", "beside"):
-        out = out.join(fps.select(F.col("key").alias(name), *(F.col(w).alias(f"{name}_{w}") for w in WORDS)), name, "left")
-        out = out.withColumns({f"{name}_{w}": F.coalesce(f"{name}_{w}", F.lit(0).cast("long")) for w in WORDS})
-
-    pairs = near_fingerprints(made.where("kind = 0"), radius)
-    ends = pairs.select(F.col("hi_a").alias("own_hi"), F.col("lo_a").alias("own_lo")).unionByName(pairs.select(F.col("hi_b").alias("own_hi"), F.col("lo_b").alias("own_lo")))
-    out = out.join(ends.groupBy("own_hi", "own_lo").agg(F.count("*").alias("n_near")), ["own_hi", "own_lo"], "left")
-    fp = {name: tuple(F.col(f"{name}_{w}") for w in WORDS) for name in ("own", "after", "beside")}
-    return out.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        fingerprint_hex(*fp["own"]).alias("fingerprint"),
-        fingerprint_hex(*fp["after"]).alias("edited_fingerprint"),
-        likeness(fp["own"], fp["after"]).alias("near_edited"),
-        likeness(fp["own"], fp["beside"]).alias("near_next"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-    )
+    with Workspace(docs.sparkSession) as work:
+        rows = with_next_text(docs, id_col, text_col)
+        half = F.expr("char_length(text) div 2").cast("int")
+        kept = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
+        edited = rows.select("doc_id", "text", "next_id", "next_text", F.char_length("text").cast("long").alias("n_chars"), F.concat(kept, F.col("next_text").substr(F.lit(1), half)).alias("edited"))
+        keys = [F.col("doc_id"), F.col("next_id"), F.col("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), text_key("text").alias("own"), text_key("next_text").alias("beside")]
+        both = edited.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("*", "x.*")
+        # Both texts and all that is said of a row come out of one pass, so texts are shuffled once.
+        columns = ("doc_id", "next_id", "n_chars", "edited_sha256", "own", "beside")
+        made = work.keep(fingerprints(both, shingle_words, (*columns, "kind")), "simhash")
+        of = {0: "own", 1: "edited"}
+        pair = [F.max(F.when(F.col("kind") == k, F.col(w))).alias(f"{name}_{w}") for k, name in of.items() for w in WORDS]
+        slim = made.groupBy(*columns).agg(F.max(F.when(F.col("kind") == 0, F.col("rows"))).alias("rows"), *pair)
+        slim = work.keep(slim.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows", "col"), "simhash-rows")
+
+        # The next row is looked up by id and text; where both are this row's own, it has the same fingerprint.
+        at = lambda c: F.coalesce(c, F.lit(-(2**63)))
+        same = F.col("next_id").eqNullSafe(F.col("doc_id")) & (F.col("beside") == F.col("own"))
+        known = slim.select(at("doc_id").alias("at"), F.col("own").alias("text_of"), *(F.col(f"own_{w}").alias(f"next_{w}") for w in WORDS)).distinct()
+        out = slim.withColumns({"at": F.when(~same, at("next_id")), "text_of": F.when(~same, F.col("beside"))}).join(known, ["at", "text_of"], "left")
+        out = work.keep(out.select(*slim.columns, *(F.when(same, F.col(f"own_{w}")).otherwise(F.col(f"next_{w}")).alias(f"next_{w}") for w in WORDS)), "simhash-next")
+
+        groups = near_groups(slim.select("doc_id", *(F.col(f"own_{w}").alias(w) for w in WORDS)), radius)
+        out = out.join(groups.select(*(F.col(w).alias(f"own_{w}") for w in WORDS), "near_group"), [f"own_{w}" for w in WORDS])
+        fp = {name: tuple(F.col(f"{name}_{w}") for w in WORDS) for name in ("own", "edited", "next")}
+        out = out.select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            fingerprint_hex(*fp["own"]).alias("fingerprint"),
+            fingerprint_hex(*fp["edited"]).alias("edited_fingerprint"),
+            likeness(fp["own"], fp["edited"]).alias("near_edited"),
+            likeness(fp["own"], fp["next"]).alias("near_next"),
+            "near_group",
+        )
+        return work.give(out, "simhash-out")

@@ -1,8 +1,10 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds."""
+"""Connected components: of an edge table, by alternating large-star and small-star rounds, and of an index of posting lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import Workspace
@@ -43,3 +45,35 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         else:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         return work.give(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "cc-roots")
+
+
+def linked_components(nodes: DataFrame, payload: tuple[str, ...], index: Callable[[DataFrame, tuple[str, ...]], DataFrame], near: Callable[[str, str], Column]) -> DataFrame:
+    """``node``, ``root``, ``component_id`` for distinct ``node`` with ``first_id``: the component and the least ``first_id`` in it.
+
+    ``index(df, columns)`` makes a row per node and posting list: those columns, ``key`` and ``sub`` (a further
+    cut of long lists). Any two nodes that ``near`` links (a condition on the payload columns with either
+    suffix) share a key. Lists can be long where thousands of near copies meet, and then hold mostly pairs
+    that are connected already. So neighbours in each list, by payload, are linked first; pairs are made only
+    between members of a list that those links leave in different components. No link between components is
+    lost, and no list is expanded in full.
+    """
+    with Workspace(nodes.sparkSession) as work:
+        beside = Window.partitionBy("key", "sub").orderBy(*payload)
+        chain = index(nodes, ("node", *payload)).select("node", *(F.col(c).alias(f"{c}_a") for c in payload), F.lag("node").over(beside).alias("prev"), *(F.lag(c).over(beside).alias(f"{c}_b") for c in payload))
+        first = connected_components(chain.where(F.col("prev").isNotNull() & near("_a", "_b")).select(F.col("node").alias("a"), F.col("prev").alias("b")))
+
+        labelled = nodes.join(first, "node", "left").select("node", *payload, "first_id", F.coalesce("root", "node").alias("label"))
+        labelled = work.keep(labelled, "link-labels")
+        lists = index(labelled, (*payload, "label")).drop("sub")
+        sizes = lists.groupBy("key", "label").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("main"))
+        mixed = work.keep(lists.join(mixed, "key"), "link-mixed")
+        other = mixed.where("label <> main").select("key", F.col("label").alias("la"), *(F.col(c).alias(f"{c}_a") for c in payload))
+        every = mixed.select("key", "main", F.col("label").alias("lb"), *(F.col(c).alias(f"{c}_b") for c in payload))
+        links = other.join(every, "key").where("la <> lb and (lb = main or la < lb)").where(near("_a", "_b"))
+        second = connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+        rooted = labelled.join(second.withColumnRenamed("node", "label"), "label", "left").select("node", "first_id", F.coalesce("root", "label").alias("root"))
+        rooted = work.keep(rooted, "link-roots")
+        least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        return work.give(rooted.join(least, "root").select("node", "root", "component_id"), "linked")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import Workspace, fresh_names, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
 TEMPERATURE = 0.9  # exponent of a value's present share in its default target
-BROADCAST_CELLS = 200_000  # cells (some 60 bytes each) up to which their probabilities are broadcast
+BUDGET = 0.9  # expected share of all tokens that the sample has
+SMALL_CELLS = 200_000  # cells (some 60 bytes each) up to which they are raked in one task and their probabilities broadcast
 SEED = "mix-1"
 
 
@@ -38,30 +39,46 @@ def tempered_targets(cells: DataFrame, dimension: str, temperature: float = TEMP
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (``tokens`` per combination of the dimensions) plus ``weight``, scaled until each dimension has its target shares.
 
-    One round scales to each dimension in turn; after ``rounds`` the last dimension is met exactly and the
-    others as closely as fitting has come. Each step sums the cells by one dimension before it joins, so a
-    value that holds most cells is no hot group. A value without a target gets weight zero.
+    One round scales to each dimension in turn by a window sum over its values; after ``rounds`` the last
+    dimension is met exactly and the others as closely as fitting has come. Counted as few, the cells are
+    raked in one task and one job; beyond ``SMALL_CELLS`` each step is shuffled by its dimension and each
+    round written. A value without a target gets weight zero.
     """
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    now = materialize(cells.withColumn("total", total.scalar()).withColumn("weight", F.col("tokens") / F.col("total")).drop("total"), "rake")
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for dimension, target in targets.items():
+        now = now.join(target.select(F.col("value").alias(dimension), F.col("share").alias(f"share_{dimension}")), dimension, "left")
+    now = materialize(now, "rake")
+    small = now.count() <= SMALL_CELLS
+    now = now.coalesce(1) if small else now
     for _ in range(rounds):
-        for dimension, target in targets.items():
-            margin = now.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("margin"))
-            scale = margin.join(target, "value", "left").select(F.col("value").alias(dimension), F.when(F.col("margin") > 0, F.coalesce("share", F.lit(0.0)) / F.col("margin")).otherwise(0.0).alias("scale"))
-            now = now.join(scale, dimension).withColumn("weight", F.col("weight") * F.col("scale")).select(*cells.columns, "weight")
-        now = materialize(now, "rake")
-    return now
+        for dimension in targets:
+            margin = F.sum("weight").over(Window.partitionBy(dimension))
+            now = now.withColumn("margin", margin).withColumn("weight", F.when(F.col("margin") > 0, F.col("weight") * F.coalesce(f"share_{dimension}", F.lit(0.0)) / F.col("margin")).otherwise(0.0))
+        now = now if small else materialize(now, "rake")
+    return materialize(now.select(*cells.columns, "weight"), "raked")
 
 
-def probabilities(raked: DataFrame) -> DataFrame:
-    """``raked`` plus ``p``: weight over present share, scaled so that the most wanted cell is kept whole.
+def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """``raked`` plus ``p``: weight over tokens, scaled so that the expected tokens are ``budget`` of all, and 1 at most.
 
-    Expected tokens of the sample then have the raked shares exactly. Cells without tokens get zero, unless
-    no cell has any; then all are kept.
+    Cells that would need more than all their tokens are kept whole, and the others are scaled up for what
+    these lack, until no more cell does. Below that bound, expected tokens have the raked shares exactly.
+    Cells without tokens or weight get zero, unless no cell has any; then all are kept. The driver gets a few
+    sums for each step, no cells.
     """
     f = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    top = raked.agg(F.max(f).alias("top"))
-    return raked.withColumn("top", top.scalar()).withColumn("p", F.when(F.col("top") > 0, f / F.col("top")).otherwise(1.0)).drop("top")
+    scale, whole = 0.0, -1
+    while True:
+        full = f * scale >= 1
+        got = raked.agg(
+            F.sum("tokens").alias("tokens"), F.count_if(full).alias("whole"),
+            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("kept"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("rest"),
+        ).first()
+        if not got["tokens"] or not got["rest"] or got["whole"] == whole:
+            break
+        scale, whole = (budget * got["tokens"] - got["kept"]) / got["rest"], got["whole"]
+    none = not raked.where(f > 0).limit(1).count()
+    return raked.withColumn("p", F.lit(1.0) if none else F.least(F.lit(1.0), f * scale))
 
 
 def uniform(id_col: Column, seed: str = SEED) -> Column:
@@ -70,48 +87,56 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def _celled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    values = {d: F.coalesce(F.col(d).cast("string"), F.lit("unknown")) for d in ("source", "lang")}
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *(v.alias(d) for d, v in values.items()), topic(F.col(text_col)).alias("topic"), tokens(F.col(text_col)).alias("tokens"))
+def _cell(text_col: str, topics: Column | None) -> dict[str, Column]:
+    """A document's place: source, language and topic; nulls of any count as "unknown"."""
+    named = lambda x: F.coalesce(x.cast("string"), F.lit("unknown"))
+    return {"source": named(F.col("source")), "lang": named(F.col("lang")), "topic": topic(F.col(text_col)) if topics is None else named(topics)}
 
 
-def sampling_plan(slim: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def sampling_plan(slim: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """``source``, ``lang``, ``topic``, ``p`` for every cell of ``slim`` (dimensions and ``tokens``)."""
-    cells = materialize(slim.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    targets = targets or {d: materialize(tempered_targets(cells, d), "targets") for d in DIMENSIONS}
-    return materialize(probabilities(rake(cells, targets, rounds)).select(*DIMENSIONS, "p"), "cells-p")
+    with Workspace(slim.sparkSession) as work:
+        cells = work.keep(slim.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
+        targets = targets or {d: tempered_targets(cells, d) for d in DIMENSIONS}
+        return work.give(probabilities(rake(cells, targets, rounds), budget).select(*DIMENSIONS, "p"), "cells-p")
 
 
-def _with_p(slim: DataFrame, plan: DataFrame) -> DataFrame:
-    few = plan.count() <= BROADCAST_CELLS
-    return slim.join(F.broadcast(plan) if few else plan, list(DIMENSIONS))
+def _small(plan: DataFrame) -> DataFrame:
+    return F.broadcast(plan) if plan.count() <= SMALL_CELLS else plan
 
 
-def mix_report(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix_report(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, budget: float = BUDGET,
+    topics: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """``doc_id``, ``source``, ``lang``, ``topic``, ``tokens``, ``p``, ``sampled``, one row per input row.
 
-    Cells are source by language by topic; nulls of the first two count as "unknown". Targets are tables of
-    ``value`` and ``share`` per dimension, by default tempered present shares. A document is sampled where
-    its id's number is below its cell's ``p``; equal ids share the number. Null and empty texts have no
-    tokens; an empty table gives an empty table.
+    Cells are source by language by topic; nulls count as "unknown". ``topics`` is a column of the caller's;
+    without it ``topic`` marks texts by a few signs. Targets are tables of ``value`` and ``share`` per
+    dimension, by default tempered present shares. A document is sampled where its id's number is below its
+    cell's ``p``; equal ids share the number, and so do null ones. Null and empty texts have no tokens; an
+    empty table gives an empty table; other columns are not read.
     """
-    slim = materialize(_celled(docs, id_col, text_col), "mix-docs")
-    out = _with_p(slim, sampling_plan(slim, targets, rounds))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(x.alias(d) for d, x in _cell(text_col, topics).items()), tokens(F.col(text_col)).alias("tokens"))
+    slim = materialize(slim, "mix-docs")
+    out = slim.join(_small(sampling_plan(slim, targets, rounds, budget)), list(DIMENSIONS))
     return out.select("doc_id", *DIMENSIONS, "tokens", "p", (uniform(F.col("doc_id"), seed) < F.col("p")).alias("sampled"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that ``mix_report`` samples."""
-    plan = sampling_plan(materialize(_celled(docs, id_col, text_col).drop("doc_id"), "mix-docs"), targets, rounds)
-    plan = plan.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("p").alias("__p"))
-    few = plan.count() <= BROADCAST_CELLS
-    cell = {"source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "topic": topic(F.col(text_col))}
-    keyed = docs.withColumns({f"__{d}": x for d, x in cell.items()})
-    chosen = keyed.join(F.broadcast(plan) if few else plan, [f"__{d}" for d in DIMENSIONS]).where(uniform(F.col(id_col), seed) < F.col("__p"))
-    return chosen.select(*docs.columns)
+def mix(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = SEED, budget: float = BUDGET,
+    topics: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix_report`` samples, with all their columns, whatever these are named."""
+    cell = _cell(text_col, topics)
+    plan = sampling_plan(docs.select(*(x.alias(d) for d, x in cell.items()), tokens(F.col(text_col)).alias("tokens")), targets, rounds, budget)
+    names = dict(zip((*DIMENSIONS, "p"), fresh_names(docs, *DIMENSIONS, "p")))
+    plan = plan.select(*(F.col(c).alias(x) for c, x in names.items()))
+    keyed = docs.withColumns({names[d]: x for d, x in cell.items()})
+    return keyed.join(_small(plan), [names[d] for d in DIMENSIONS]).where(uniform(F.col(id_col), seed) < F.col(names["p"])).select(*docs.columns)
 
 
-def mix_sql(rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: str = SEED, documents: str = "documents") -> str:
+def mix_sql(rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: str = SEED, budget: float = BUDGET, documents: str = "documents", steps: int = 12) -> str:
     """``mix_report`` in DuckDB SQL."""
     low = "lower(coalesce(text, ''))"
     signs = " or ".join(f"contains({low}, '{run}')" for run in ("###", "%%%", "&&&", "$$$", "***"))
@@ -122,7 +147,7 @@ def mix_sql(rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: str =
                  len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) as tokens
           from {documents})""",
         "c as (select source, lang, topic, cast(sum(tokens) as bigint) as tokens from d group by all)",
-        "r0 as (select *, tokens / (select cast(sum(tokens) as double) from c) as weight from c)",
+        "r0 as (select *, cast(tokens as double) as weight from c)",
     ]
     for dim in DIMENSIONS:
         ctes.append(f"m_{dim} as (select {dim} as value, pow(cast(sum(tokens) as double), {temperature}) as mass from c group by all having mass > 0)")
@@ -138,6 +163,12 @@ def mix_sql(rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: str =
             )
             n += 1
     ctes.append(f"f as (select *, case when tokens > 0 then weight / tokens else 0.0 end as f from r{n})")
-    ctes.append("p as (select source, lang, topic, case when (select max(f) from f) > 0 then f / (select max(f) from f) else 1.0 end as p from f)")
+    ctes.append(f"s0 as (select {budget} * sum(tokens) / nullif(sum(weight), 0) as scale from f)")
+    for k in range(steps):  # more than the cells kept whole take; a further step changes nothing
+        ctes.append(
+            f"""s{k + 1} as materialized (select coalesce(({budget} * sum(tokens) - coalesce(sum(tokens) filter (where f * scale >= 1), 0))
+                  / nullif(sum(weight) filter (where f * scale < 1), 0), any_value(scale)) as scale from f, s{k})"""
+        )
+    ctes.append(f"p as (select source, lang, topic, case when (select max(f) from f) > 0 then least(1.0, f * scale) else 1.0 end as p from f, s{steps})")
     u = f"cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '/{seed}'), 1, 8)) as bigint) / 4294967296.0"
     return f"with {', '.join(ctes)} select doc_id, source, lang, topic, tokens, p, {u} < p as sampled from d join p using (source, lang, topic)"

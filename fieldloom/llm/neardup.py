@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
-from fieldloom.llm.graph import connected_components
+from fieldloom.llm import graph
+from fieldloom.llm.common import Workspace, fresh_names, materialize
 
 SEED = 42  # of the shingle hash
 BYTES = 8  # of a fingerprint
+BROADCAST_ROWS = 300_000  # rows that go up to which their places (some 40 bytes each) are broadcast
+WIDE_ROWS = 4_000_000  # fingerprints from which keys have all the bytes that are sure to agree
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed long), one row per input row.
+    """``doc_id``, ``fp`` (the 64 bits as a signed long), ``text_key`` (a hash of the text), one row per input row.
 
     Words are runs without ASCII white space, A-Z lowered; shingles of ``shingle_words`` words (fewer words:
     the whole sequence) hash by XXH64, and a bit is set where over half of the hashes have it. Null, empty
@@ -46,24 +48,25 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
 
         for batch in batches:
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "text_key"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return slim.mapInArrow(run, "doc_id long, fp long, text_key long")
 
 
-def position_sets(radius: int) -> list[tuple[int, ...]]:
+def position_sets(radius: int, wide: bool = False) -> list[tuple[int, ...]]:
     """Sets of byte positions that index a fingerprint.
 
     Two fingerprints within ``radius`` bits agree in at least ``BYTES - radius`` bytes, so they agree in all
     positions of at least one set. From four guaranteed bytes on, three positions make a key; the triples are
     those of a Turan design (three groups of positions; within a group, or two of a group and one of the
-    next), of which every four positions contain one.
+    next), of which every four positions contain one. ``wide`` sets have all the guaranteed positions, so that
+    keys stay rare among very many fingerprints.
     """
     sure = BYTES - radius
     if sure < 1:
         raise ValueError(f"no byte is guaranteed to agree within {radius} bits")
-    if sure < 4:
+    if sure < 4 or wide:
         return list(combinations(range(BYTES), sure))
     group = [0, 0, 0, 1, 1, 1, 2, 2]
 
@@ -78,51 +81,33 @@ def _byte(fp: str, position: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), 56 - 8 * position).bitwiseAND(F.lit(255))
 
 
-def _postings(fps: DataFrame, sets: list[tuple[int, ...]], *more: str) -> DataFrame:
-    """A row per fingerprint and position set: ``key`` holds the set's number and its bytes."""
-    keys = []
-    for number, positions in enumerate(sets):
-        key = F.lit(number).cast("long")
-        for p in positions:
-            key = key * 256 + _byte("fp", p)
-        spare = next((p for p in range(BYTES) if p not in positions), 0)
-        keys.append(F.struct(key.alias("key"), _byte("fp", spare).alias("sub")))
-    return fps.select("fp", *more, F.explode(F.array(*keys)).alias("x")).select("fp", *more, "x.key", "x.sub")
-
+def linked_components(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """``fp``, ``root``, ``component_id`` for distinct ``fp`` with ``first_id``: the component and the least ``first_id`` in it.
 
-def _within(a: str, b: str, radius: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    A link joins fingerprints that differ in at most ``radius`` bits. The index has a posting list for each
+    set of byte positions and their bytes (``position_sets``); of two members, the shared positional bytes
+    are tallied, and pairs that reach the guaranteed count are verified by their bits. Which pairs meet at
+    all is said by ``graph.linked_components``. From ``WIDE_ROWS`` fingerprints on keys have more bytes, so
+    that unrelated ones seldom share a list; the links found are the same.
+    """
+    sets, sure = position_sets(radius, fps.count() > WIDE_ROWS), BYTES - radius
 
+    def index(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        keys = []
+        for number, positions in enumerate(sets):
+            key = F.lit(number).cast("long")
+            for p in positions:
+                key = key * 256 + _byte("fp", p)
+            spare = next((p for p in range(BYTES) if p not in positions), 0)
+            keys.append(F.struct(key.alias("key"), _byte("fp", spare).alias("sub")))
+        return df.select(*columns, F.explode(F.array(*keys)).alias("x")).select(*columns, "x.*")
 
-def linked_components(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """``fp``, ``component_id`` for distinct ``fp`` with ``first_id``: the least ``first_id`` reachable over links.
+    def near(a: str, b: str) -> Column:
+        tally = sum(((_byte(f"fp{a}", p) == _byte(f"fp{b}", p)).cast("int") for p in range(BYTES)), F.lit(0))
+        return (tally >= sure) & (F.bit_count(F.col(f"fp{a}").bitwiseXOR(F.col(f"fp{b}"))) <= radius)
 
-    A link joins fingerprints that differ in at most ``radius`` bits. Posting lists of the index can be long
-    where thousands of near copies share bytes, and then hold mostly pairs that are connected already. So
-    neighbours in each posting list, ordered by fingerprint, are linked first; pairs are made only between
-    members of a list that those links leave in different components, tallied by shared bytes, kept from the
-    guaranteed count on and verified. No link between components is lost, and no list is expanded in full.
-    """
-    sets, sure = position_sets(radius), BYTES - radius
-    near = Window.partitionBy("key", "sub").orderBy("fp")
-    chain = _postings(fps, sets).withColumn("prev", F.lag("fp").over(near)).where(F.col("prev").isNotNull() & _within("fp", "prev", radius))
-    first = materialize(connected_components(chain.select(F.col("fp").alias("a"), F.col("prev").alias("b"))), "fp-first")
-
-    labelled = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("label"))
-    labelled = materialize(labelled, "fp-labels")
-    index = _postings(labelled.select("fp", "label"), sets, "label").drop("sub")
-    sizes = index.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("main"))
-    mixed = materialize(index.join(mixed, "key"), "fp-mixed")
-    other = mixed.where("label <> main").select("key", F.col("fp").alias("fa"), F.col("label").alias("la"))
-    shared = sum(((_byte("fa", p) == _byte("fb", p)).cast("int") for p in range(BYTES)), F.lit(0))
-    pairs = other.join(mixed.select("key", "main", F.col("fp").alias("fb"), F.col("label").alias("lb")), "key").where("la <> lb and (lb = main or fa < fb)")
-    links = pairs.withColumn("tally", shared).where((F.col("tally") >= sure) & _within("fa", "fb", radius))
-    second = connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-
-    rooted = labelled.join(second.withColumnRenamed("node", "label"), "label", "left").select("fp", "first_id", F.coalesce("root", "label").alias("root"))
-    rooted = materialize(rooted, "fp-roots")
-    return rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
+    found = graph.linked_components(fps.select("fp", F.col("fp").alias("node"), "first_id"), ("fp",), index, near)
+    return found.select(F.col("node").alias("fp"), "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, radius: int = 4, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,8 +119,41 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle_words: int = 4,
     gives an empty table. Columns other than id and text are not read.
     """
     fps = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fp-docs")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    return fps.join(linked_components(materialize(distinct, "fp-distinct"), radius), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_components_of(fps, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def _components_of(fps: DataFrame, radius: int) -> DataFrame:
+    with Workspace(fps.sparkSession) as work:
+        distinct = work.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-distinct")
+        return work.give(linked_components(distinct, radius), "fp-components")
+
+
+def without_near_copies(docs: DataFrame, radius: int = 4, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``simhash_components``; all columns stay.
+
+    The row with the least id stays (null ids last), of several with that id the one whose text has the least
+    hash, and one of rows equal in id and text. So null, empty and blank texts, all of fingerprint zero, leave
+    one row. An empty table gives an empty table. Columns may have any names.
+    """
+    with Workspace(docs.sparkSession) as work:
+        fps = work.keep(fingerprints(docs, shingle_words, id_col, text_col), "fp-docs")
+        rows = work.keep(fps.join(_components_of(fps, radius), "fp").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies")), "fp-rows")
+        best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("best"))
+        judged = rows.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
+        judged = work.give(judged.where("not stays or copies > 1").select("doc_id", "text_key", "stays").distinct(), "fp-judged")
+    names = fresh_names(docs, "id", "text_key")
+    keyed = docs.withColumns({names[0]: F.col(id_col).cast("long"), names[1]: F.xxhash64(text_col)})
+
+    def listed(stays: bool) -> tuple[DataFrame, object]:
+        some = judged.where(F.col("stays") == stays).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+        few = some.count() <= BROADCAST_ROWS
+        return (F.broadcast(some) if few else some), F.col(names[0]).eqNullSafe(F.col("gone_id")) & (F.col(names[1]) == F.col("gone_key"))
+
+    kept = keyed.join(*listed(False), "left_anti")
+    if judged.where("stays").limit(1).count():  # rows equal in id and text, of which one stays
+        again = kept.join(*listed(True), "left_semi").dropDuplicates(names)
+        kept = kept.join(*listed(True), "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:

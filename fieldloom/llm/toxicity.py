@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import materialize
 
-ORDERS = (3, 4, 5, 6)  # bytes of an n-gram
+ORDERS = (3, 4, 5, 6)  # code points of an n-gram
 BITS = 20  # of an n-gram's bucket
 SMOOTHING = 1.0  # added to every count
 MIX = 1 << 64, 0x9E3779B97F4A7C15, 0x100000001B3  # modulus and multipliers of the rolling hash
@@ -38,10 +38,11 @@ class Model:
 
 
 def buckets(text: bytes):
-    """Bucket of every n-gram of a text's lower-cased UTF-8 bytes, edges marked by blanks, repeats included."""
+    """Bucket of every n-gram of a UTF-8 text's lower-cased code points, edges marked by blanks, repeats included."""
     import numpy as np
 
-    x = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint64) + np.uint64(1)
+    points = f" {text.decode('utf-8', 'replace').lower()} ".encode("utf-32-le", "surrogatepass")
+    x = np.frombuffer(points, np.uint32).astype(np.uint64) + np.uint64(1)
     found, h = [], x
     for n in range(2, max(ORDERS) + 1):
         if len(x) < n:
@@ -60,12 +61,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, label_
     """``doc_id``, ``text``, ``y``: at most ``max_rows`` labelled documents, chosen by a hash of the id.
 
     Held-out rows (crc32 of the id's decimal text mod 4 is 2) are never among them. Null labels and null ids
-    are skipped; of several labels of one id the largest counts.
+    are skipped; of several labels of one id the largest counts, of several texts the least.
     """
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
     # Bounded by max_rows, so it is broadcast.
-    return _slim(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = _slim(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("row"))
+    return rows.select("doc_id", "row.text", "row.y")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -173,3 +175,14 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings(), id_col
     scored = slim.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields) + ", score double")
     kept = (F.col("text").cast("string").alias(c) if c == text_col else F.col(f"keep_{c}").alias(c) for c in keep)
     return scored.select(*kept, held_out("doc_id").alias("held_out"), "score", (F.col("score") >= settings.cut).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``cut``, with all their columns, whatever these are named.
+
+    Rows are judged one by one: repeated ones go or stay together, null and empty texts have the score of the
+    intercept, null ids are scored like others. An empty table gives an empty table.
+    """
+    names = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns)))))
+    scored = score(docs.toDF(*names.values()), model, settings, names[id_col], names[text_col], keep=tuple(names.values()))
+    return scored.where("predicted = 0").select(*(F.col(x).alias(c) for c, x in names.items()))

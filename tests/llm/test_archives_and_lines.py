@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import licenses, mixing, warc
 
@@ -90,9 +91,27 @@ def test_raking_meets_the_targets(spark):
         assert abs(sum(r["weight"] for r in raked if r[dim] == value) - share) < 1e-6
 
 
-def test_mixing_of_nulls_repeats_and_nothing(spark):
-    df = spark.createDataFrame([(1, "a b", None, "s", 0.5), (1, "a b", None, "s", 0.5), (2, None, "en", None, 0.5), (None, "", "en", "s", 0.5)], "doc_id long, text string, lang string, source string, p double")
-    rows = mixing.mix_report(df).collect()
-    assert len(rows) == 4 and len({r["sampled"] for r in rows if r["doc_id"] == 1}) == 1
-    assert mixing.mix(df).columns == df.columns
+def test_the_budget_is_met_and_no_cell_is_asked_for_more_than_it_has(spark):
+    cells = [("a", 1000, 0.5), ("b", 100, 0.3), ("c", 10, 0.15), ("d", 5, 0.05), ("e", 0, 0.0)]
+    raked = spark.createDataFrame(cells, "source string, tokens long, weight double")
+    for budget in (0.2, 0.6, 0.9, 1.0):
+        p = {r["source"]: r["p"] for r in mixing.probabilities(raked, budget).collect()}
+        assert abs(sum(n * p[c] for c, n, _ in cells) - budget * 1115) < 1e-6 and all(0 <= x <= 1 for x in p.values())
+        free = [(n * p[c] / w) for c, n, w in cells if n and p[c] < 1]
+        assert max(free, default=0) - min(free, default=0) < 1e-6
+    none = spark.createDataFrame([("a", 0, 0.0)], "source string, tokens long, weight double")
+    assert mixing.probabilities(none).first()["p"] == 1.0
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_mixing_of_nulls_repeats_and_nothing(spark, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SMALL_CELLS", small)
+    names = "doc_id long, text string, lang string, source string, p double, topic string, __topic string, tokens int"
+    rows = [(1, "a b", None, "s"), (1, "a b", None, "s"), (2, None, "en", None), (None, "", "en", "s"), (3, "x " * 30_000, "en", "t")]
+    df = spark.createDataFrame([(*r, 0.5, "mine", "own", 7) for r in rows], names)
+    got = mixing.mix_report(df).collect()
+    assert len(got) == 5 and len({r["sampled"] for r in got if r["doc_id"] == 1}) == 1
+    kept = mixing.mix(df, budget=1.0)
+    assert kept.columns == df.columns and {(r["topic"], r["__topic"], r["p"]) for r in kept.collect()} == {("mine", "own", 0.5)}
+    assert {r["topic"] for r in mixing.mix_report(df, topics=F.col("topic")).collect()} == {"mine"}
     assert mixing.mix_report(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0

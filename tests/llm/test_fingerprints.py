@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from itertools import combinations
 
 import pytest
@@ -89,9 +90,10 @@ def test_next_text_and_edited_text(spark, monkeypatch):
     rnd = random.Random(1)
     rows = [(i * i, "".join(rnd.choice("ab é😀") for _ in range(rnd.randint(0, 30)))) for i in range(57)] + [(-4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next_text(df).collect()}
+    near = {r["doc_id"]: (r["next_id"], r["next_text"]) for r in fingerprints.with_next_text(df).collect()}
     order = sorted(((i, t or "") for i, t in rows), reverse=True)
-    assert got == {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
+    assert near == {i: order[(k + 1) % len(order)] for k, (i, _) in enumerate(order)}
+    got = {i: t for i, (_, t) in near.items()}
     texts = dict(order)
     result = fingerprints.edited_fingerprints(df).collect()
     assert len(result) == len(rows)
@@ -105,6 +107,63 @@ def test_next_text_and_edited_text(spark, monkeypatch):
             assert r["fingerprint"] == r["edited_fingerprint"] and r["near_edited"] == 1
 
 
+def reference_votes(text):
+    """The 128-bit fingerprint: two-word terms vote with their code points."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    runs = [words[i : i + 2] for i in range(len(words) - 1)] or ([words] if words else [])
+    votes = [0] * 128
+    for run in runs:
+        hi = 42
+        for w in run if len(words) > 1 else [" ".join(run)]:
+            hi = xxhash.xxh64_intdigest(w.encode(), hi)
+        lo = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), xxhash.xxh64_intdigest(hi.to_bytes(8, "little"), 42))
+        for bit in range(64):
+            votes[64 + bit] += sum(map(len, run)) * (1 if hi >> bit & 1 else -1)
+            votes[bit] += sum(map(len, run)) * (1 if lo >> bit & 1 else -1)
+    return sum(1 << bit for bit, v in enumerate(votes) if v > 0)
+
+
+@pytest.mark.parametrize("bucket_rows", [4, 2000])
+def test_the_query_equals_brute_force(spark, monkeypatch, bucket_rows):
+    """Nulls, shared and missing ids, repeated rows, copies, near copies, a very long text and columns of the query's own names."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket_rows)
+    rnd = random.Random(bucket_rows)
+    vocabulary = ["".join(rnd.choice("aeioulmnrsté") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    rows = [(5 * i, " ".join(rnd.choices(vocabulary, k=rnd.randint(1, 120)))) for i in range(60)]
+    base = rnd.choices(vocabulary, k=400)
+    for i in range(25):
+        copy = list(base)
+        for at in rnd.sample(range(400), i % 3):
+            copy[at] = rnd.choice(vocabulary)
+        rows.append((1000 + i, " ".join(copy)))
+    rows += [(2000, None), (2001, ""), (2002, " \n\t "), (2003, "One"), (2004, rows[3][1]), (7, "shared a b"), (7, "shared c d"), (7, rows[9][1])]
+    rows += [(None, f"none {i} x") for i in range(9)] + [(3000, "twice the same row")] * 2 + [(3001, " ".join(rnd.choices(vocabulary, k=40_000)))]
+    names = "doc_id long, text string, next_id long, hi string, lo string, bucket int, rows int, at int, hash int"
+    df = spark.createDataFrame([(*r, 1, "h", "l", 2, 3, 4, 5) for r in rows], names)
+    got = fingerprints.edited_fingerprints(df).collect()
+
+    signed = lambda t: spark_hash[t]
+    texts = sorted({t or "" for _, t in rows})
+    spark_hash = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((-(2**63) if i is None else i, signed(t or ""), t or "", i) for i, t in rows), key=lambda x: x[:3], reverse=True)
+    fps = {t: reference_votes(t) for t in texts}
+    distinct = sorted(set(fps.values()))
+    group = components(list(range(len(distinct))), distinct, fingerprints.RADIUS)
+    least = {}
+    for i, t in rows:
+        g = group[distinct.index(fps[t or ""])]
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    want = []
+    for k, (_, _, t, i) in enumerate(order):
+        n = order[(k + 1) % len(order)][2]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + n[:half]
+        own, after, beside = fps[t], reference_votes(edited), fps[n]
+        share = lambda x: 1 - (own ^ x).bit_count() / 128
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{own:032x}", f"{after:032x}", share(after), share(beside), least[group[distinct.index(own)]]))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_equal_texts_share_a_fingerprint_and_halves_stay_nearer_than_strangers(spark):
     rnd = random.Random(2)
     vocabulary = ["".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(2, 9))) for _ in range(400)]

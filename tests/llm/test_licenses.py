@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -14,6 +15,7 @@ PLANTED = [
     "Copyright (c) 2020 Acme Corp. Released under the MIT License.",
     "import x\n\n# Released\n# under the\n# MIT\n# License.\n#\ncode of the project in one file",
     "Released under\n \nthe MIT\n\nLicense.",
+    "\n".join(textwrap.wrap(max((t for name, t in licenses.TEMPLATES if name == "MIT"), key=len).replace("<year> <copyright holders>", "2021 Jane Roe"), 70)),
 ]
 
 
@@ -49,3 +51,15 @@ def test_headers_of_frequent_words_are_found_at_any_size(spark, size):
     want = brute(rows)
     assert {i: name for i, (name, _) in got.items()} == {i: name for i, (name, _) in want.items()} == {10**6 + k: "MIT" for k in range(len(PLANTED))}
     assert all(abs(got[i][1] - want[i][1]) < 2e-6 for i in want)
+
+
+def test_whole_files_headers_and_repeated_rows(spark):
+    """A file with a license's whole text or standard header names it, whatever its lines; equal rows have equal results, ties go to the first name."""
+    longest = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name, _ in licenses.TEMPLATES}
+    rows = [(k, "\n\n".join(textwrap.wrap(text, 60))) for k, text in enumerate(longest.values())]
+    rows += [(100, "// " + "\n// ".join(textwrap.wrap(longest["Apache-2.0"], 50)) + "\ncode here"), (100, None), (101, "x " * 50_000), (101, "x " * 50_000)]
+    got = {r["doc_id"]: r["license"] for r in licenses.line_scores(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, df int")).collect()}
+    assert got == {**dict(enumerate(longest)), 100: "Apache-2.0"}
+    tied = [("B", "one two three"), ("A", "one two three")]
+    df = spark.createDataFrame([(1, "p/LICENSE", "one two three"), (1, "p/LICENSE", "one two three"), (2, "p/q", None)], "doc_id long, path string, text string")
+    assert sorted((r["doc_id"], r["license"], r["basis"]) for r in licenses.scan(df, tied).collect()) == [(1, "A", "header"), (1, "A", "header"), (2, "A", "inherited")]
