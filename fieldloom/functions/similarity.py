@@ -24,6 +24,12 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y) if x and y else 0.0 for x, y in pairs])
 
 
+@F.pandas_udf(T.DoubleType())
+def exact_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratio of the values as they are."""
+    return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b)])
+
+
 @F.pandas_udf(T.DoubleType())
 def conflict_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Half the ratio, three tenths the word overlap, and a tenth where one value contains the other; equal values are 1."""
@@ -41,6 +47,11 @@ def conflict_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(str(x or ""), str(y or "")) for x, y in zip(a, b)])
 
 
+def fuzzy_match(a, b, threshold: float = 0.8):
+    """Whether the ratio of the lower-cased values reaches ``threshold``."""
+    return fuzzy_ratio(a, b) >= threshold
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_score(window: pd.Series, target: pd.Series) -> pd.Series:
     """Four fifths the ratio and one fifth the ratio of lengths."""
@@ -52,36 +63,33 @@ def sequence_score(window: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(window, target)])
 
 
-def segmenter(words: frozenset[str], longest: int = 20):
-    """A column function that splits run-together words by a dictionary.
+@F.pandas_udf(T.StringType())
+def segmented(texts: pd.Series, pieces: pd.Series) -> pd.Series:
+    """Run-together words split by the known ``pieces`` (lower-cased, at most 20 letters) that come with each.
 
     Known pieces cost nothing, unknown ones of three characters or more their length; the cheapest split wins,
     then the one with the longest last piece. A text over 20 characters that falls into at most two pieces
     stays as it was.
     """
 
-    @F.pandas_udf(T.StringType())
-    def split(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            if not text:
-                return text
-            low = text.lower()
-            best: list[tuple[float, int]] = [(0.0, 0)]
-            for end in range(1, len(low) + 1):
-                options = []
-                for start in range(max(0, end - longest), end):
-                    piece = low[start:end]
-                    cost = 0.0 if piece in words else float(end - start) if end - start >= 3 else float("inf")
-                    options.append((best[start][0] + cost, start))
-                best.append(min(options))
-            if best[-1][0] == float("inf"):
-                return text
-            cuts, at = [], len(low)
-            while at:
-                cuts.append(text[best[at][1] : at])
-                at = best[at][1]
-            return text if len(cuts) <= 2 and len(text) > 20 else " ".join(reversed(cuts))
-
-        return pd.Series([one(t) for t in texts])
-
-    return split
+    def one(text: str | None, words: set) -> str | None:
+        if not text:
+            return text
+        low = text.lower()
+        best: list[tuple[float, int]] = [(0.0, 0)]
+        for end in range(1, len(low) + 1):
+            options = []
+            for start in range(max(0, end - 20), end):
+                piece = low[start:end]
+                cost = 0.0 if piece in words else float(end - start) if end - start >= 3 else float("inf")
+                options.append((best[start][0] + cost, start))
+            best.append(min(options))
+        if best[-1][0] == float("inf"):
+            return text
+        cuts, at = [], len(low)
+        while at:
+            cuts.append(text[best[at][1] : at])
+            at = best[at][1]
+        return text if len(cuts) <= 2 and len(text) > 20 else " ".join(reversed(cuts))
+
+    return pd.Series([one(t, set(p)) for t, p in zip(texts, pieces)])

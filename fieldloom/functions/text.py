@@ -46,8 +46,8 @@ def structural_clean(x: Column, flags: dict[str, Column]) -> Column:
     """
     rules = [
         ("parentheses_both", r"^\((.*)\)$", "$1"),
-        ("parentheses_start", r"^\(+", ""),
-        ("parentheses_end", r"\)+$", ""),
+        ("parentheses_start", r"^\((?!.*\)$)", ""),
+        ("parentheses_end", r"^(?!\()(.*)\)$", "$1"),
         ("quotes", "^[\"']+|[\"']+$", ""),
         ("brackets", r"^\[(.*)\]$", "$1"),
         ("trailing_comma", r",+$", ""),
@@ -129,24 +129,59 @@ def generalise_affix(x: Column) -> Column:
     return F.regexp_replace(out, r"^[A-Z]\w+,", "[LOCATION],")
 
 
+# The default pattern of a field by the first rule that its name matches.
+DEFAULT_PATTERNS = [
+    (r"email|e_mail|surel", r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"),
+    (r"(no_hp|no_telp|telepon|phone|hp|handphone|whatsapp|wa)", r"(\+?[0-9]{1,4}?[-.\\s]?\\(?[0-9]{1,3}?\\)?[-.\\s]?[0-9]{1,4}[-.\\s]?[0-9]{1,4}[-.\\s]?[0-9]{1,9})"),
+    (r"nik|nomor_induk", r"(\d{16})"),
+    (r"(tanggal|tgl|date).*", r"(\d{2}-\d{2}-\d{4})"),
+    (r"(usia|umur|age)", r"(\d+)"),
+    (r"(nomor|no_|number|jumlah|total)", r"(\d+)"),
+    (r"(nama|name|tempat|desa|kecamatan|kabupaten|kota|provinsi|jenis_kelamin|status)", r"([a-zA-Z\s]+)"),
+    (r"alamat|address", r"(.+)"),
+]
+
+
 def default_pattern(name: Column) -> Column:
-    """A regular expression by field name, first rule wins."""
-    rules = [
-        ("date|tanggal", r"\d{1,2}[-/ ]\w+[-/ ]\d{2,4}"),
-        ("email", r"[\w.+-]+@[\w-]+\.[\w.]+"),
-        ("phone|telp", r"[+\d][\d\s()-]{6,}"),
-        ("amount|total|price|harga", r"[\d.,]+"),
-        ("number|no", r"[A-Z0-9/-]+"),
-        ("qty|quantity", r"\d+"),
-        ("percent", r"\d+(\.\d+)?%"),
-        ("name|nama", r"[A-Z][\w .'-]+"),
-    ]
+    """A regular expression by field name: the first rule of ``DEFAULT_PATTERNS`` that holds, else any text."""
     out = F
-    for key, pattern in rules:
+    for key, pattern in DEFAULT_PATTERNS:
         out = out.when(F.lower(name).rlike(key), pattern)
     return out.otherwise(".+")
 
 
+def sanitise_pattern(pattern: Column) -> Column:
+    """A pattern out of its quotes: slashes with flags, or a Python literal with or without an r."""
+    bare = F.trim(pattern)
+    bare = F.regexp_replace(bare, r"^/(.*)/[a-z]*$", "$1")
+    return F.regexp_replace(bare, r"""^r?(["'])(.*)\1$""", "$2")
+
+
+def pattern_value(text: Column, pattern: Column) -> Column:
+    """What ``pattern`` finds in ``text``: its first group if it has one, else the whole match; null without a match."""
+    groups = pattern.rlike(r"(?<!\\)\((?!\?)")
+    found = F.when(groups, F.call_function("regexp_extract", text, pattern, F.lit(1))).otherwise(F.call_function("regexp_extract", text, pattern, F.lit(0)))
+    return F.when(F.rlike(text, pattern), F.trim(found))
+
+
+def rule_confidence(value: Column, pattern: Column, words: Column, raw: Column) -> Column:
+    """How far a rule's value is trusted: half, less for what cleaning took, by how the pattern fits, by length, by words around, by the pattern's kind; 0 to 1."""
+    size, taken = F.length(value), 1 - F.length(value) / F.length(raw)
+    cleaned = F.when(raw.isNull() | (raw == value), 0.0).when(taken > 0.3, -0.2).when(taken > 0.15, -0.1).otherwise(0.0)
+    fit = F.when(F.rlike(value, F.concat(F.lit("\\A(?:"), pattern, F.lit(")\\z"))), 0.3).when(F.rlike(value, pattern), 0.15).otherwise(-0.2)
+    length = F.when(size == 1, -0.25).when(size <= 3, -0.1).when(size <= 100, 0.1).otherwise(0.05)
+    many = F.when(words >= 3, 0.15).when(words == 2, 0.1).otherwise(0.0) + F.when(words > 10, -0.15).when(words > 7, -0.1).otherwise(0.0)
+    simple = F.when(pattern.rlike(r"\\[dDwWsS]|[+*{]") & (size < 3), -0.15).otherwise(0.0)
+    full = F.lit(0.5) + cleaned + fit + length + many + simple
+    return F.when(F.coalesce(value, F.lit("")) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), full)))
+
+
+def keywords_by_length(name: Column) -> Column:
+    """``field_keywords``, the longest first, then by the alphabet."""
+    by = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    return F.array_sort(field_keywords(name), by)
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Share of b's distinct words that a has; 0 if b has none."""
     wa, wb = (F.array_distinct(F.array_remove(F.split(F.lower(x), r"\s+"), "")) for x in (a, b))
@@ -165,3 +200,15 @@ def safe_div(a: Column, b: Column) -> Column:
 
 def f1(precision: Column, recall: Column) -> Column:
     return safe_div(2 * precision * recall, precision + recall)
+
+
+# Which fields lose their parentheses, and which the date after a comma.
+WITHOUT_PARENTHESES = ("supervisor_name", "chairman_name", "recipient_name")
+WITHOUT_DATES = ("issue_place",)
+
+
+def field_clean(name: Column, value: Column) -> Column:
+    """A value by the rules of its field: parentheses go, a date after a comma goes, and named fields have single blanks only; others stay."""
+    listed = (*WITHOUT_PARENTHESES, *WITHOUT_DATES, "event_name", "event_location", "event_date", "issue_date")
+    out = F.when(name.isin(*WITHOUT_PARENTHESES), F.regexp_replace(value, r"[()]", "")).when(name.isin(*WITHOUT_DATES), F.regexp_replace(value, r",\s*\d{1,2}\s+\w+\s+\d{4}", "")).otherwise(value)
+    return F.when(name.isin(*listed), ws_collapse(out)).otherwise(out)

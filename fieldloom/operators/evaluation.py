@@ -202,6 +202,19 @@ def truth_from_json(spark: SparkSession, path: str) -> DataFrame:
     return files.select("document_id", F.explode(F.from_json("value", "map<string,string>")).alias("field_name", "truth"))
 
 
+def experiments_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """``kind``, ``template_id`` from names like ``baseline_template_2.json``, and the figures in each file."""
+    name = F.col("_metadata.file_name")
+    rows = spark.read.option("multiLine", True).json(path).select("*", F.regexp_extract(name, r"^([a-z]+)_", 1).alias("kind"), F.regexp_extract(name, r"(\d+)\.json$", 1).cast("long").alias("template_id"))
+    return rows
+
+
+def curves_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """Points of learning curves, arrays of ``batch`` and ``accuracy``, with ``template_id`` from the file's name."""
+    points = spark.read.option("multiLine", True).schema("batch long, accuracy double").json(path)
+    return points.select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).cast("long").alias("template_id"), "batch", "accuracy")
+
+
 def write_results(facts: DataFrame, path: str, kind: str = "json") -> None:
     """Facts as JSON results per document, or as CSV rows."""
     if kind == "csv":

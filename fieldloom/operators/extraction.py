@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import decisions as D
 from fieldloom.functions.similarity import conflict_similarity
-from fieldloom.functions.text import default_pattern, strict_norm
+from fieldloom.functions.text import collapse_blanks, default_pattern, generic_clean, pattern_value, rule_confidence, strict_norm
 from fieldloom.plans.registry import query
 from fieldloom.sources.relations import Relations
 
@@ -152,17 +152,58 @@ def j24_overlaps(r: Relations) -> DataFrame:
     return a.join(b, "document_id").where(hit).select("document_id", "field_a", "field_b")
 
 
-@query()
+def rule_candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``document_id``, ``field_name``, ``value``, ``confidence``, ``pattern`` for each field's text, where a rule finds something.
+
+    ``texts`` has ``document_id``, ``field_name``, ``field_config`` and ``text`` (the words right of the
+    label); ``patterns`` has ``field_config``, ``pattern`` and ``priority``. A field's own learned patterns
+    are tried from the highest priority (then in the alphabet's order): the first with a confidence of 0.7 is
+    taken at once, else the most confident, the earlier of equals. The default pattern of the field's name is
+    tried only if the field has no learned pattern or the best is under 0.3, and counts from 0.5 on. Where
+    learned patterns exist and the best is under 0.5 there is no value. Patterns are scoped by field, so a row
+    carries those of its own configuration and no others.
+    """
+    kept = patterns.groupBy("field_config", "pattern").agg(F.max("priority").alias("priority"))
+    learned = kept.groupBy("field_config").agg(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("k"), "pattern")))["pattern"].alias("learned"))
+    rows = texts.join(learned, "field_config", "left").withColumn("words", F.size(F.split(F.trim("text"), r"\s+")))
+
+    def tried(pattern: Column) -> Column:
+        raw = pattern_value(F.col("text"), pattern)
+        value = collapse_blanks(raw)
+        confidence = F.when(raw.isNotNull(), F.least(F.lit(1.0), rule_confidence(value, pattern, F.col("words"), raw) + 0.15))
+        return F.struct(F.coalesce(confidence, F.lit(0.0)).alias("confidence"), value.alias("value"), pattern.alias("pattern"))
+
+    rows = rows.withColumn("tried", F.filter(F.transform(F.coalesce("learned", F.array().cast("array<string>")), tried), lambda x: x["value"].isNotNull()))
+    best = F.aggregate("tried", F.get("tried", F.lit(0)), lambda a, x: F.when(x["confidence"] > a["confidence"], x).otherwise(a))
+    rows = rows.withColumn("own", F.coalesce(F.get(F.filter("tried", lambda x: x["confidence"] >= 0.7), F.lit(0)), best)).withColumn("base", tried(default_pattern(F.col("field_name"))))
+    none = F.col("learned").isNull()
+    use_base = (none | (F.coalesce("own.confidence", F.lit(0.0)) < 0.3)) & F.col("base.value").isNotNull() & (F.col("base.confidence") >= 0.5)
+    chosen = F.when(use_base, F.col("base")).otherwise(F.col("own"))
+    out = rows.withColumn("chosen", chosen).where(F.col("chosen").isNotNull()).where(none | (F.col("chosen.confidence") >= 0.5))
+    return out.select("document_id", "field_name", "chosen.*")
+
+
+def field_texts(r: Relations) -> DataFrame:
+    """The text right of each field's label: what was printed for it, and what stands after it."""
+    return r.lines.select(
+        F.col("l_orderkey").alias("document_id"), F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("field_name"), F.col("p_brand").alias("field_config"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"),
+    )
+
+
+E02_SQL = """, learned as (select field_config, substr(pattern, 2) as head, max(priority) as priority from patterns where is_active and match_rate >= 0.7 group by all),
+tx as (select l_orderkey as document_id, 'field_' || l_linenumber as field_name, p_brand as field_config, p_name || ' ' || p_type || ' ' || p_brand as text from lines_x),
+hit as (select document_id, field_name, head, row_number() over (partition by document_id, field_name order by priority desc, head) as rn from tx join learned l on l.field_config = tx.field_config and starts_with(text, head)),
+e02 as (select tx.document_id, tx.field_name, coalesce(trim(h.head), text) as value,
+  case when h.head is not null then least(1.0, least(1.0, 0.5 + case when trim(h.head) = h.head then 0.3 else -0.2 end + case when length(trim(h.head)) > 3 then 0.1 else -0.1 end + w) + 0.15) else least(1.0, least(1.0, 0.5 + 0.3 + 0.1 + w) + 0.15) end as confidence
+  from (select *, case when n >= 3 then 0.15 when n = 2 then 0.1 else 0 end - case when n > 10 then 0.15 when n > 7 then 0.1 else 0 end as w from (select *, len(string_split_regex(trim(text), '\\s+')) as n from tx) y) tx
+  left join hit h on h.document_id = tx.document_id and h.field_name = tx.field_name and h.rn = 1)"""
+
+
+@query(E02_SQL + " select document_id, field_name, value, round(confidence, 6) as confidence from e02")
 def e02_rule_candidates(r: Relations) -> DataFrame:
-    """Rule-based values: learned patterns by priority, the default pattern of the field's name where none matches."""
-    best = r.patterns.where("is_active and match_rate >= 0.7").groupBy("pattern").agg(F.max("priority").alias("priority"))
-    learned = best.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("k"), "pattern"))), lambda x: x["pattern"]))
-    rows = r.facts.select("document_id", "field_name", "truth").withColumn("patterns", learned.scalar())
-    hit = F.get(F.filter("patterns", lambda p: F.rlike("truth", p)), 0)
-    out = rows.withColumn("hit", hit).withColumn("base", default_pattern(F.col("field_name")))
-    value = F.when(F.col("hit").isNotNull(), F.regexp_extract("truth", r"^(\S+)", 1)).otherwise(F.regexp_substr("truth", F.col("base")))
-    full = 0.5 + F.when(F.col("hit").isNotNull(), 0.3).otherwise(0.15) - F.when(F.length(value) > 60, 0.1).otherwise(0.0)
-    return out.select("document_id", "field_name", F.coalesce(value, F.lit("")).alias("value"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), full)).alias("confidence"))
+    """Rule-based values of every field: learned patterns by priority, then the default pattern of its name (E02, E03 with one location, F12, F13, F31)."""
+    found = rule_candidates(field_texts(r), r.patterns.where("is_active and match_rate >= 0.7"))
+    return found.select("document_id", "field_name", "value", F.round("confidence", 6).alias("confidence"))
 
 
 @query(""", s as (select document_id, field_name, strategy, idx, value, confidence, count(*) over (partition by document_id, field_name) as tried,
@@ -170,31 +211,63 @@ def e02_rule_candidates(r: Relations) -> DataFrame:
 select document_id, field_name, strategy as method, value, round(case when tried = 1 then confidence else least(score, 1.0) end, 9) as confidence from s qualify row_number() over (partition by document_id, field_name order by round(score, 9) desc, idx) = 1""")
 def e06_combine(r: Relations) -> DataFrame:
     """One value per field: a lone candidate passes with its own confidence, of several the best score wins."""
+    return combined(r.attempts.where("success"))
+
+
+def combined(candidates: DataFrame) -> DataFrame:
+    """The choice among ``candidates`` (``strategy``, ``idx``, ``value``, ``confidence``) of each field, for strategies without a history."""
     weight = F.when(F.col("strategy") == "crf", 0.4).when(F.col("strategy") == "rule_based", 0.35).otherwise(0.25)
     score = D.hybrid_score(F.col("confidence"), weight, F.lit(0.5), F.lit(0))
-    s = r.attempts.where("success and confidence >= 0.3").withColumn("score", score)
+    s = candidates.where("confidence >= 0.3").withColumn("score", score)
     best = F.min(F.struct((-F.round("score", 9)).alias("k"), "idx", "strategy", "value", "confidence", "score")).alias("x")
     c = s.groupBy("document_id", "field_name").agg(best, F.count("*").alias("tried"))
     confidence = F.when(F.col("tried") == 1, F.col("x.confidence")).otherwise(F.least("x.score", F.lit(1.0)))
     return c.select("document_id", "field_name", F.col("x.strategy").alias("method"), "x.value", F.round(confidence, 9).alias("confidence"))
 
 
+def conflicts(candidates: DataFrame) -> DataFrame:
+    """Fields with two different values or more, of ``document_id``, ``field_name``, ``value``, ``confidence``.
+
+    ``similarity`` is the mean over the pairs of distinct values, ``level`` follows from it. ``resolved`` and
+    ``confidence`` are, for minor conflicts, the longest value (of equally long ones the last in the alphabet)
+    and 0.95 of the best confidence; otherwise the most confident value and its confidence. A field has at
+    most as many values as strategies or places, so its pairs are bounded.
+    """
+    keys = ["document_id", "field_name"]
+    v = candidates.where("value <> ''").groupBy(*keys, "value").agg(F.max("confidence").alias("confidence"))
+    a, b = (v.select(*keys, F.col("value").alias(f"v{s}")) for s in "ab")
+    similarity = a.join(b, keys).where("va < vb").withColumn("similarity", conflict_similarity("va", "vb")).groupBy(*keys).agg(F.avg("similarity").alias("similarity"))
+    best = v.groupBy(*keys).agg(F.max(F.struct(F.length("value"), "value"))["value"].alias("longest"), F.max(F.struct("confidence", "value")).alias("top"))
+    c = similarity.join(best, keys).withColumn("level", D.conflict_level(F.col("similarity")))
+    minor = F.col("level") == "minor"
+    confidence = F.col("top.confidence") * F.when(minor, 0.95).otherwise(1.0)
+    return c.select(*keys, "similarity", "level", F.when(minor, F.col("longest")).otherwise(F.col("top.value")).alias("resolved"), confidence.alias("confidence"), (~minor).alias("requires_validation"))
+
+
 @query()
 def e07_conflicts(r: Relations) -> DataFrame:
-    """Fields with different values from different strategies: mean similarity of the pairs, level, and the longest value where it is minor.
+    """Conflicts between the strategies' values of each field (E07; P11, F16)."""
+    return conflicts(r.attempts.where("success").select("document_id", "field_name", strict_norm(F.col("value")).alias("value"), "confidence"))
 
-    A field has at most as many values as strategies, so its pairs are bounded.
-    """
-    v = r.attempts.where("success and value <> ''").select("document_id", "field_name", strict_norm(F.col("value")).alias("value")).distinct()
-    a, b = (v.select("document_id", "field_name", F.col("value").alias(f"v{s}")) for s in "ab")
-    pairs = a.join(b, ["document_id", "field_name"]).where("va < vb").withColumn("similarity", conflict_similarity("va", "vb"))
-    c = pairs.groupBy("document_id", "field_name").agg(F.avg("similarity").alias("similarity"), F.max(F.struct(F.length("vb"), "vb"))["vb"].alias("longest"))
-    level = D.conflict_level(F.col("similarity"))
-    return c.select("document_id", "field_name", "similarity", level.alias("level"), F.when(level == "minor", F.col("longest")).alias("resolved"))
+
+@query()
+def e01_all_fields(r: Relations) -> DataFrame:
+    """Every field of every document end to end: rule candidates and the other strategies' attempts, the choice among them, conflicts, cleaning (E01 over E02, E06 to E08)."""
+    keys = ["document_id", "field_name"]
+    rules = e02_rule_candidates(r).select(*keys, F.lit("rule_based").alias("strategy"), F.lit(1).alias("idx"), "value", "confidence")
+    others = r.attempts.where("success and strategy <> 'rule_based'").select(*keys, "strategy", "idx", "value", "confidence")
+    candidates = rules.unionByName(others)
+    chosen = combined(candidates)
+    c = conflicts(candidates.select(*keys, strict_norm(F.col("value")).alias("value"), "confidence")).select(*keys, "level", "resolved", F.col("confidence").alias("resolved_confidence"))
+    out = chosen.join(c, keys, "left")
+    minor = F.coalesce(F.col("level") == "minor", F.lit(False))
+    value = F.when(minor, F.col("resolved")).otherwise(F.col("value"))
+    confidence = F.when(minor, F.col("resolved_confidence")).otherwise(F.col("confidence"))
+    return out.select(*keys, "method", collapse_blanks(generic_clean(value)).alias("value"), F.round(confidence, 9).alias("confidence"), F.coalesce("level", F.lit("none")).alias("conflict"))
 
 
 @query()
 def s07_template_markers(r: Relations) -> DataFrame:
-    """Markers in braces of each page and their order."""
-    marks = F.posexplode(F.regexp_extract_all("html", F.lit(r"\{([A-Za-z_]\w*)[:}]"), F.lit(1)))
+    """Markers in braces of each page, ``{name}``, ``{name:`` or ``${name}``, and their order."""
+    marks = F.posexplode(F.regexp_extract_all("html", F.lit(r"\$?\{([A-Za-z_]\w*)[:}]"), F.lit(1)))
     return r.table("pages").select("page_id", marks.alias("position", "field"))

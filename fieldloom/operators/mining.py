@@ -55,17 +55,33 @@ def a47_error_classes(r: Relations) -> DataFrame:
     return r.feedback.groupBy("field_name").agg(F.count_if(a > 1.5 * b).alias("too_long"), F.count_if(a < 0.5 * b).alias("too_short"), F.count("*").alias("n"))
 
 
-@query(""", x as (select field_name, lower(trim(substr(corrected_value, length(original_value) + 1))) as affix from feedback
-  where original_value <> '' and starts_with(corrected_value, original_value) and trim(substr(corrected_value, length(original_value) + 1)) <> ''),
-n as (select field_name, count(*) as total from feedback group by all), c as (select field_name, affix, count(*) as n from x group by all)
-select c.field_name, affix, n from c join n using (field_name) where n >= greatest(2, total * 0.01) qualify row_number() over (partition by c.field_name order by n desc, affix) <= 10""")
+def removed_affixes(feedback: DataFrame) -> DataFrame:
+    """``field_name``, ``kind`` (prefix or suffix), ``affix``: what corrections take off the start or the end, lower-cased."""
+    o, c = F.trim("original_value"), F.trim("corrected_value")
+    longer = (c != "") & (F.length(o) > F.length(c))
+    prefix = F.when(longer & F.endswith(o, c), F.trim(F.substr(o, F.lit(1), F.length(o) - F.length(c))))
+    suffix = F.when(longer & F.startswith(o, c), F.trim(F.substr(o, F.length(c) + 1)))
+    both = F.explode(F.array(F.struct(F.lit("prefix").alias("kind"), F.lower(prefix).alias("affix")), F.struct(F.lit("suffix").alias("kind"), F.lower(suffix).alias("affix"))))
+    return feedback.select("field_name", both.alias("x")).select("field_name", "x.*").where("affix <> ''")
+
+
+def common_affixes(feedback: DataFrame, share: float = 0.1, most: int = 10) -> DataFrame:
+    """The ``most`` commonest affixes of each field and kind, from two and that share of the field's feedback on."""
+    total = feedback.groupBy("field_name").agg(F.count("*").alias("total"))
+    c = removed_affixes(feedback).groupBy("field_name", "kind", "affix").agg(F.count("*").alias("n")).join(total, "field_name")
+    c = c.where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * share))
+    w = Window.partitionBy("field_name", "kind").orderBy(F.desc("n"), "affix")
+    return c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("field_name", "kind", "affix", "n")
+
+
+@query(""", o as (select field_name, trim(original_value) as o, trim(corrected_value) as c from feedback),
+x as (select field_name, 'prefix' as kind, lower(trim(o[:length(o) - length(c)])) as affix from o where c <> '' and length(o) > length(c) and ends_with(o, c)
+  union all select field_name, 'suffix', lower(trim(o[length(c) + 1:])) from o where c <> '' and length(o) > length(c) and starts_with(o, c)),
+n as (select field_name, count(*) as total from feedback group by all), c as (select field_name, kind, affix, count(*) as n from x where affix <> '' group by all)
+select c.field_name, kind, affix, n from c join n using (field_name) where n >= greatest(2, total * 0.1) qualify row_number() over (partition by c.field_name, kind order by n desc, affix) <= 10""")
 def a48_common_affixes(r: Relations) -> DataFrame:
-    """The ten most common texts that corrections add or remove at the end, from a share of the field's feedback on."""
-    x = r.feedback.withColumn("affix", F.lower(X.missing_suffix(F.col("original_value"), F.col("corrected_value")))).where("affix <> ''")
-    total = r.feedback.groupBy("field_name").agg(F.count("*").alias("total"))
-    c = x.groupBy("field_name", "affix").agg(F.count("*").alias("n")).join(F.broadcast(total), "field_name").where("n >= greatest(2, total * 0.01)")
-    w = Window.partitionBy("field_name").orderBy(F.desc("n"), "affix")
-    return c.withColumn("rn", F.row_number().over(w)).where("rn <= 10").select("field_name", "affix", "n")
+    """The ten commonest texts that corrections take off either end, from a tenth of the field's feedback on."""
+    return common_affixes(r.feedback)
 
 
 @query(r""" select lang, count(*) filter (regexp_matches(trim(text), '^\(.*\)$')) as parentheses, count(*) filter (starts_with(text, '(')) as opens, count(*) filter (regexp_matches(text, ',$')) as comma,
@@ -123,28 +139,25 @@ def a55_inconsistency(r: Relations) -> DataFrame:
     return r.feedback.groupBy("field_name").agg(F.count_if(o.contains(" ")).alias("before"), F.count_if(o.contains(" ") & ~c.contains(" ")).alias("removed"), F.count_if(c.endswith(" ") & ~o.endswith(" ")).alias("added"))
 
 
-@query(r""", v as (select distinct field_name, corrected_value as v from feedback), p as (select distinct pattern from patterns where is_active)
-select pattern, count(*) filter (regexp_matches(v, pattern)) as hits, count(*) as tried from p, v group by all""")
+@query(r""", v as (select distinct field_name, p_brand as field_config, corrected_value as v from feedback join lines_x on l_orderkey = document_id and field_name = 'field_' || l_linenumber), p as (select distinct field_config, pattern from patterns where is_active)
+select field_config, pattern, count(*) filter (regexp_matches(v, pattern)) as hits, count(*) as tried from p join v using (field_config) group by all""")
 def j25_pattern_validation(r: Relations) -> DataFrame:
-    """Each learned pattern against all distinct corrected values. The patterns, a stated set, go to the values as one array."""
-    v = r.feedback.select("field_name", F.col("corrected_value").alias("v")).distinct()
-    p = r.patterns.where("is_active").agg(F.collect_set("pattern"))
-    tried = v.withColumn("patterns", p.scalar()).select("v", F.explode("patterns").alias("pattern"))
-    return tried.groupBy("pattern").agg(F.count_if(F.expr("v rlike pattern")).alias("hits"), F.count("*").alias("tried"))
+    """Each learned pattern against the distinct corrected values of its own field configuration: an equi-join on the configuration."""
+    own = r.lines.select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("field_name"), F.col("p_brand").alias("field_config"))
+    v = r.feedback.join(own, ["document_id", "field_name"]).select("field_name", "field_config", F.col("corrected_value").alias("v")).distinct()
+    p = r.patterns.where("is_active").select("field_config", "pattern").distinct()
+    return v.join(p, "field_config").groupBy("field_config", "pattern").agg(F.count_if(F.expr("v rlike pattern")).alias("hits"), F.count("*").alias("tried"))
 
 
 @query()
 def f10_shape_regexes(r: Relations) -> DataFrame:
-    """The commonest shapes of each field as capturing regular expressions (F09 to F11), five a field."""
+    """The five commonest shapes of each field as capturing regular expressions."""
+    from fieldloom.operators.jobs import shape_pattern
+
     n = value_shapes(changed(r)).where("kind = 'shape'").groupBy("field_name", "item").agg(F.count("*").alias("n"))
     w = Window.partitionBy("field_name").orderBy(F.desc("n"), "item")
     top = n.withColumn("rn", F.row_number().over(w)).where("rn <= 5")
-    regex = F.regexp_replace("item", r"([.()\[\]{}*?^$|\\/-])", r"\\$1")
-    for shape, pattern in (("A\\+", "[B-Z]{2,}"), ("a\\+", "[b-z]{2,}"), ("9\\+", "[1-8]{2,}"), ("A", "[A-Z]"), ("(?<![\\[A-Z-])a", "[a-z]"), ("9", "[0-9]")):
-        regex = F.regexp_replace(regex, shape, pattern)
-    for marked, real in (("[B-Z]", "[A-Z]"), ("[b-z]", "[a-z]"), ("[1-8]", "[0-9]")):
-        regex = F.replace(regex, F.lit(marked), F.lit(real))
-    return top.select("field_name", F.col("item").alias("shape"), F.concat(F.lit("("), regex, F.lit(")")).alias("regex"), "n")
+    return top.select("field_name", F.col("item").alias("shape"), shape_pattern(F.col("item")).alias("regex"), "n")
 
 
 @query(r""" select doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') as collapsed, regexp_replace(text, ' +', ' ', 'g') as blanks from documents""")

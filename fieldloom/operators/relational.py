@@ -18,7 +18,7 @@ from fieldloom.sources.relations import Relations
 
 AS_OF = "2020-01-15 00:00:00"
 #: Relation -> its name in the SQL of checks.
-NAMES = {"templates": "templates_x", "documents": "docs_x", "facts": "facts", "feedback": "feedback", "attempts": "attempts", "patterns": "patterns", "jobs": "jobs"}
+NAMES = {"lines": "lines_x", "templates": "templates_x", "documents": "docs_x", "facts": "facts", "feedback": "feedback", "attempts": "attempts", "patterns": "patterns", "jobs": "jobs"}
 
 
 def relational(name: str, about: str, text: str) -> None:
@@ -41,10 +41,9 @@ relational("j03_documents_without_feedback", "Documents nobody corrected.", """
 select d.document_id, d.status from {documents} d anti join {feedback} f on f.document_id = d.document_id""")
 relational("j04_validated_without_field_feedback", "Validated documents without feedback on one field; null-aware, as ids are never null.", """
 select document_id from {documents} where status = 'validated' and document_id not in (select document_id from {feedback} where field_name = 'field_1')""")
-relational("j05_pattern_star", "Patterns with what their field's active patterns add up to.", """
-with c as (select field_config, count(*) as active from {patterns} where is_active group by field_config),
-     m as (select pattern_type, max(priority) as top from {patterns} group by pattern_type)
-select p.pattern_id, p.field_config, c.active, m.top from {patterns} p join c on c.field_config = p.field_config join m on m.pattern_type = p.pattern_type""")
+relational("j05_pattern_star", "Active patterns with the configuration of their field and the template it belongs to: a star of three relations.", """
+with c as (select distinct p_brand as field_config, d.template_id from {lines} l join {documents} d on d.document_id = l.l_orderkey)
+select p.pattern_id, p.field_config, t.template_id, t.name from {patterns} p join c on c.field_config = p.field_config join {templates} t on t.template_id = c.template_id where p.is_active""")
 relational("j06_active_star", "Templates with documents and distinct corrected documents; the predicate belongs to the join, so templates without stay.", """
 select t.template_id, t.name, count(distinct d.document_id) as documents, count(distinct f.document_id) as corrected, count(f.feedback_id) as feedback
 from {templates} t left join {documents} d on d.template_id = t.template_id and d.status = 'validated'
@@ -57,14 +56,14 @@ select d.document_id, l.latest, f.field_name from {documents} d left join l on l
 relational("j09_top_one_per_document", "The most confident field of each document.", """
 with k as (select document_id, field_name, confidence, row_number() over (partition by document_id order by confidence desc, position) as rn from {facts})
 select d.document_id, k.field_name, k.confidence from {documents} d left join k on k.document_id = d.document_id and k.rn = 1""")
-relational("j10_newer_than_last_job", "Feedback newer than the last that its template's training used, less a grace of 100 days, or than 2000 where there is none.", """
-with l as (select d.template_id, max(f.created_at) as done from {feedback} f join {documents} d on d.document_id = f.document_id where f.used group by d.template_id)
+relational("j10_newer_than_last_job", "Unused feedback newer than its template's last completed job, or than 2000 where there is none.", """
+with l as (select template_id, max(created_at) as done from {jobs} where status = 'completed' and type = 'purchase' group by template_id)
 select d.template_id, count(*) as fresh from {feedback} f join {documents} d on d.document_id = f.document_id left join l on l.template_id = d.template_id
-where not f.used and f.created_at > coalesce(l.done - interval '100' day, timestamp '2000-01-01 00:00:00') group by d.template_id""")
-relational("j11_fields_to_learn", "Fields with at least five corrections since they were last used.", """
+where not f.used and f.created_at > coalesce(l.done, timestamp '2000-01-01 00:00:00') group by d.template_id""")
+relational("j11_fields_to_learn", "Fields with at least five unused corrections since the last used one.", """
 with l as (select field_name, max(created_at) as done from {feedback} where used group by field_name)
 select f.field_name, count(*) as n from {feedback} f left join l on l.field_name = f.field_name
-where not f.used and f.created_at > coalesce(l.done, timestamp '2000-01-01 00:00:00') - interval '400' day group by f.field_name having count(*) >= 5""")
+where not f.used and f.created_at > coalesce(l.done, timestamp '2000-01-01 00:00:00') group by f.field_name having count(*) >= 5""")
 relational("j12_latest_by_subquery", "The newest document of each template.", """
 select document_id, template_id, status from {documents} where document_id in (select max(document_id) from {documents} group by template_id)""")
 relational("j13_nested_in", "Feedback on fields whose name is among those of one template's validated documents.", """
@@ -104,10 +103,6 @@ select pattern_id, rate, case when hit then case when rate >= 0.9 then 0.2 when
 relational("p20_problematic_fields", "Fields whose best strategy is right less than half of the time.", """
 with s as (select a.field_name, a.strategy, avg(case when a.value = f.truth then cast(1 as double) else cast(0 as double) end) as acc from {attempts} a join {facts} f on f.document_id = a.document_id and f.field_name = a.field_name where a.success group by a.field_name, a.strategy)
 select field_name, round(max(acc), 9) as best from s group by field_name having max(acc) < 0.5""")
-relational("p21_root_causes", "Four rules on what holds quality back, each with its evidence.", """
-select 'unused feedback' as issue, cast(count(*) as double) as evidence from {feedback} where not used having count(*) > 100
-union all select 'rules dominate', count(case when method = 'rule_based' then 1 end) / cast(count(*) as double) from {facts} having count(case when method = 'rule_based' then 1 end) / cast(count(*) as double) > 0.3
-union all select 'few samples', cast(count(*) as double) from (select field_name from {feedback} group by field_name having count(*) < 800) x having count(*) > 0""")
 relational("p22_changed_only", "Corrections of known fields that differ after stripping.", """
 select b.feedback_id from {feedback} b join {facts} f on f.document_id = b.document_id and f.field_name = b.field_name where trim(b.original_value) <> trim(b.corrected_value)""")
 relational("p24_low_performers", "Active patterns used often enough and right too rarely.", """
@@ -140,10 +135,11 @@ select f.document_id, f.field_name from {facts} f semi join {feedback} d on d.do
 relational("u05_distinct_values", "Distinct values per field.", """
 select field_name, count(distinct value) as n from {facts} group by field_name""")
 relational("u06_pseudo_labels", "Feedback, and confident values of documents without any until a template has 2200 samples, in a fixed order.", """
-with b as (select d.template_id, f.document_id, f.field_name, 'feedback' as origin, 0 as tier from {feedback} f join {documents} d on d.document_id = f.document_id),
-     p as (select d.template_id, f.document_id, f.field_name, 'pseudo' as origin, 1 as tier from {facts} f join {documents} d on d.document_id = f.document_id anti join {feedback} b on b.document_id = f.document_id where f.confidence >= 0.8),
-     n as (select *, row_number() over (partition by template_id order by tier, document_id, field_name) as rn from (select * from b union all select * from p) x)
-select template_id, origin, count(*) as n from n where origin = 'feedback' or rn <= 2200 group by template_id, origin""")
+with b as (select d.template_id, count(*) as n from {feedback} f join {documents} d on d.document_id = f.document_id group by d.template_id),
+     p as (select d.template_id, f.document_id, f.field_name from {facts} f join {documents} d on d.document_id = f.document_id anti join {feedback} b on b.document_id = f.document_id where f.confidence >= 0.8),
+     k as (select template_id, rn from (select template_id, row_number() over (partition by template_id order by document_id, field_name) as rn from p) x where rn <= 2200)
+select template_id, 'feedback' as origin, n from b
+union all select k.template_id, 'pseudo', count(*) from k left join b on b.template_id = k.template_id where k.rn <= 2200 - coalesce(b.n, 0) group by k.template_id""")
 relational("u07_training_union", "Documents with feedback and confident validated ones without.", """
 select document_id, 'feedback' as origin from {feedback} group by document_id
 union all select d.document_id, 'validated' from {documents} d anti join {feedback} b on b.document_id = d.document_id
@@ -153,8 +149,6 @@ with s as (select feedback_id, document_id, field_name, corrected_value, 0 as ge
            select feedback_id, document_id, field_name, corrected_value || '!', 1 from {feedback} where feedback_id % 3 = 0),
      k as (select *, row_number() over (partition by document_id, field_name order by gen desc, feedback_id desc) as rn from s)
 select document_id, field_name, corrected_value, gen = 0 as untouched from k where rn = 1""")
-relational("k04_pattern_merge", "Patterns merged by key: frequencies add up, the highest priority stays, the rate is weighted by frequency.", """
-select field_config, pattern_type, cast(sum(frequency) as bigint) as frequency, max(priority) as priority, round(sum(match_rate * frequency) / sum(frequency), 9) as match_rate, count(*) as merged from {patterns} group by field_config, pattern_type""")
 relational("k05_statistic_merge", "Statistics merged by key, the latest confidence stays.", """
 select field_config, pattern, cast(sum(frequency) as bigint) as frequency, max(usage_count) as samples, max_by(match_rate, pattern_id) as confidence from {patterns} group by field_config, pattern""")
 relational("k07_dead_letters", "Failed jobs as they are copied to the dead letters.", """
@@ -231,13 +225,19 @@ def p12_needs_validation(r: Relations) -> DataFrame:
     return s.select("document_id", ((mean < 0.5) | F.exists("c", lambda x: x < 0.1) | only).alias("needed"))
 
 
-@query(""", x as (select template_id, count(*) as n, count(distinct field_name) / count(*) as v, count(*) > 1500 as leak from feedback join docs_x using (document_id) group by all)
+@query(""", x as (select template_id, count(*) as n, count(distinct field_name) / count(*) as v from feedback join docs_x using (document_id) group by all),
+t as (select distinct template_id, value from facts join docs_x using (document_id) where document_id % 5 <> 0 and value <> ''),
+k as (select d.template_id, count(t.value) / count(*) > 0.1 as leak from facts f join docs_x d using (document_id) left join t on t.template_id = d.template_id and t.value = f.value where f.document_id % 5 = 0 and f.value <> '' group by all)
 select template_id, concat_ws('; ', case when n < 20 then 'collect more samples' when n < 50 then 'more samples help' when n < 100 then 'enough samples' end,
-  case when v < 0.3 then 'very low diversity' when v < 0.5 then 'low diversity' when v < 0.7 then 'moderate diversity' end, case when leak then 'remove leaked samples' end) as advice from x""")
+  case when v < 0.3 then 'very low diversity' when v < 0.5 then 'low diversity' when v < 0.7 then 'moderate diversity' end, case when leak then 'remove leaked samples' end) as advice from x left join k using (template_id)""")
 def p18_recommendations(r: Relations) -> DataFrame:
-    """Advice on each template's training set."""
-    x = r.feedback.join(r.documents.select("document_id", "template_id"), "document_id").groupBy("template_id").agg(F.count("*").alias("n"), (F.countDistinct("field_name") / F.count("*")).alias("v"))
-    return x.select("template_id", F.array_join(D.recommendations(F.col("n"), F.col("v"), F.col("n") > 1500), "; ").alias("advice"))
+    """Advice on each template's training set: its size, its diversity, and whether over a tenth of the test values are among its own training values."""
+    templates = r.documents.select("document_id", "template_id")
+    x = r.feedback.join(templates, "document_id").groupBy("template_id").agg(F.count("*").alias("n"), (F.countDistinct("field_name") / F.count("*")).alias("v"))
+    values = r.facts.where("value <> ''").join(templates, "document_id")
+    train = values.where("document_id % 5 <> 0").select("template_id", "value").distinct().withColumn("hit", F.lit(1))
+    leak = values.where("document_id % 5 = 0").join(train, ["template_id", "value"], "left").groupBy("template_id").agg((F.count("hit") / F.count("*") > 0.1).alias("leak"))
+    return x.join(leak, "template_id", "left").select("template_id", F.array_join(D.recommendations(F.col("n"), F.col("v"), F.coalesce("leak", F.lit(False))), "; ").alias("advice"))
 
 
 @query(""", x as (select template_id, count(*) as total, count(*) filter (not used) as unused from feedback join docs_x using (document_id) group by all)
@@ -257,13 +257,13 @@ def p08_thresholds(r: Relations) -> DataFrame:
     return x.select("strategy", "field_name", D.confidence_threshold(F.col("acc"), F.col("n")).alias("threshold"), D.scoring_weights(F.col("n"))["performance"].alias("weight"))
 
 
-WIDE = ", ".join(f"max(case when field_name = 'field_{k}' then v end) as field_{k}" for k in range(1, 5))
+WIDE = ", ".join(f"max(case when field_name = 'field_{k}' then v end) as field_{k}" for k in range(1, 8))
 
 
 @query(f""", o as (select f.document_id, f.field_name, coalesce(b.corrected_value, f.value) as v from facts f left join feedback b using (document_id, field_name))
-select document_id, {WIDE} from o where field_name in ('field_1', 'field_2', 'field_3', 'field_4') group by all""")
+select document_id, {WIDE} from o group by all""")
 def k12_wide_export(r: Relations) -> DataFrame:
     """A row per document and a column per field in a given order; corrections override. The listed fields spare a pass that finds them."""
     keys = ["document_id", "field_name"]
     o = r.facts.select(*keys, "value").join(r.feedback.select(*keys, "corrected_value"), keys, "left").withColumn("v", F.coalesce("corrected_value", "value"))
-    return o.groupBy("document_id").pivot("field_name", [f"field_{k}" for k in range(1, 5)]).agg(F.first("v")).where("coalesce(field_1, field_2, field_3, field_4) is not null")
+    return o.groupBy("document_id").pivot("field_name", [f"field_{k}" for k in range(1, 8)]).agg(F.first("v"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import decisions as D
 from fieldloom.functions import text as X
-from fieldloom.functions.similarity import fuzzy_ratio, segmenter
+from fieldloom.functions.similarity import exact_ratio, segmented
+from fieldloom.operators.evaluation import against_truth, fuzzy_confusion
 from fieldloom.operators.relational import AS_OF, page, relational
 from fieldloom.plans.registry import query
 from fieldloom.sources.relations import Relations
@@ -25,13 +28,6 @@ relational("p06_in_list", "Feedback of a list of documents, as a semi-join with
 select feedback_id, field_name from {feedback} f semi join (select document_id from {documents} where template_id = 5 and status = 'pending') d on d.document_id = f.document_id""")
 relational("p16_success_rate", "Success in percent with two decimals, zero without use.", """
 select pattern_id, case when usage_count > 0 then round(cast(100 as double) * success_count / usage_count, 2) else cast(0 as double) end as rate from {patterns}""")
-relational("p28_multiline", "Fields whose values span lines, by lengths.", """
-with v as (select field_name, count(*) as n, max(length(corrected_value)) as longest, avg(length(corrected_value)) as mean from {feedback} group by field_name)
-select field_name, case when n >= 5 and longest >= 25 and mean >= 18 then 1 else 0 end as multiline from v""")
-relational("j29_exact_and_fuzzy", "Exact and case-blind accuracy of each field side by side.", """
-with e as (select field_name, avg(case when value = truth then cast(1 as double) else cast(0 as double) end) as exact_accuracy from {facts} group by field_name),
-     l as (select field_name, avg(case when lower(truth) like lower(value) || '%' and value <> '' then cast(1 as double) else cast(0 as double) end) as loose_accuracy from {facts} group by field_name)
-select e.field_name, round(exact_accuracy, 9) as exact_accuracy, round(loose_accuracy, 9) as loose_accuracy from e join l on l.field_name = e.field_name""")
 relational("t02_top_fields_by_error", "The ten fields with most real corrections.", """
 select field_name, count(*) as n from {feedback} where trim(original_value) <> trim(corrected_value) group by field_name order by 2 desc, 1 limit 10""")
 relational("t03_last_hundred", "The last hundred feedback rows of the trend.", """
@@ -90,29 +86,111 @@ def f08_clean_values(r: Relations) -> DataFrame:
     return rows.select("document_id", "field_name", X.collapse_blanks(value).alias("value"))
 
 
+def multiline_fields(feedback: DataFrame) -> DataFrame:
+    """``field_name``, ``multiline``: 1 from five values on if one holds a line break, or if the longest tenth has 90 characters and the mean is 70."""
+    size = F.length("corrected_value")
+    # The longest length from rank 0.9 n on is the longest of all.
+    x = feedback.groupBy("field_name").agg(F.count("*").alias("n"), F.bool_or(F.col("corrected_value").contains("\n")).alias("newline"), F.max(size).alias("p90"), F.avg(size).alias("mean"))
+    return x.select("field_name", D.multiline_by_length(F.col("n"), F.col("newline"), F.col("p90"), F.col("mean"), F.lit(0)).alias("multiline"))
+
+
+@query(""" select field_name, case when count(*) >= 5 and (bool_or(contains(corrected_value, chr(10))) or max(length(corrected_value)) >= 90 and avg(length(corrected_value)) >= 70) then 1 else 0 end as multiline from feedback group by all""")
+def p28_multiline(r: Relations) -> DataFrame:
+    """Fields whose values span lines, by line breaks and lengths."""
+    return multiline_fields(r.feedback)
+
+
+def root_causes(feedback: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``template_id``, ``issue``, ``evidence``: what holds a template's quality back.
+
+    Over 100 corrections unused; rules behind more than 0.7 of the attempts; a mean accuracy of the CRF's
+    fields under 0.5; fields with fewer than 20 corrections used. ``feedback`` has ``template_id``,
+    ``field_name``, ``used``; ``attempts`` has ``template_id``, ``field_name``, ``strategy``, ``correct``.
+    """
+    unused = feedback.where("not used").groupBy("template_id").agg(F.count("*").cast("double").alias("evidence")).where("evidence > 100")
+    share = attempts.groupBy("template_id").agg((F.count_if(F.col("strategy") == "rule_based") / F.count("*")).alias("evidence")).where("evidence > 0.7")
+    fields = attempts.where("strategy = 'crf'").groupBy("template_id", "field_name").agg(F.avg(F.col("correct").cast("int")).alias("accuracy"))
+    crf = fields.groupBy("template_id").agg(F.avg("accuracy").alias("evidence")).where("evidence < 0.5")
+    few = feedback.where("used").groupBy("template_id", "field_name").agg(F.count("*").alias("n")).where("n < 20").groupBy("template_id").agg(F.count("*").cast("double").alias("evidence"))
+    issues = {"unused feedback": unused, "rules dominate": share, "weak crf": crf, "few samples": few}
+    return reduce(DataFrame.unionByName, (x.select("template_id", F.lit(name).alias("issue"), F.round("evidence", 9).alias("evidence")) for name, x in issues.items()))
+
+
+@query(""", fb as (select template_id, field_name, used from feedback join docs_x using (document_id)),
+tr as (select template_id, a.field_name, strategy, a.value = f.truth as correct from attempts a join facts f using (document_id, field_name) join docs_x using (document_id) where success),
+i as (select template_id, 'unused feedback' as issue, cast(count(*) as double) as evidence from fb where not used group by template_id having count(*) > 100
+  union all select template_id, 'rules dominate', avg(case when strategy = 'rule_based' then 1.0 else 0.0 end) from tr group by template_id having avg(case when strategy = 'rule_based' then 1.0 else 0.0 end) > 0.7
+  union all select template_id, 'weak crf', avg(k) from (select template_id, field_name, avg(case when correct then 1.0 else 0.0 end) as k from tr where strategy = 'crf' group by all) x group by template_id having avg(k) < 0.5
+  union all select template_id, 'few samples', count(*) from (select template_id, field_name from fb where used group by template_id, field_name having count(*) < 20) x group by template_id)
+select template_id, issue, round(evidence, 9) as evidence from i""")
+def p21_root_causes(r: Relations) -> DataFrame:
+    """Four rules on what holds each template's quality back, with their evidence."""
+    templates = r.documents.select("document_id", "template_id")
+    truth = r.facts.select("document_id", "field_name", "truth")
+    tried = r.attempts.where("success").join(truth, ["document_id", "field_name"]).join(templates, "document_id")
+    return root_causes(r.feedback.join(templates, "document_id"), tried.select("template_id", "field_name", "strategy", (F.col("value") == F.col("truth")).alias("correct")))
+
+
+@query()
+def j29_exact_and_fuzzy(r: Relations) -> DataFrame:
+    """Exact and fuzzy accuracy of each field side by side: an inner join of both evaluations."""
+    rows = against_truth(r)
+    exact = rows.groupBy("field_name").agg((F.count_if(F.col("extracted") == F.col("truth")) / F.count("*")).alias("exact_accuracy"))
+    fuzzy = fuzzy_confusion(rows).select("field_name", (F.col("correct") / F.col("total")).alias("fuzzy_accuracy"), "similarity")
+    return exact.join(fuzzy, "field_name").withColumn("gain", F.col("fuzzy_accuracy") - F.col("exact_accuracy"))
+
+
 @query()
 def f22_segmented_words(r: Relations) -> DataFrame:
-    """Run-together words of the documents split by the corpus' own commonest words.
+    """Run-together words of the documents split by the words of all documents (F22 to F24), and the pieces' shares of the box.
 
-    The dictionary is the two thousand commonest words of four letters or more, so what tasks receive is bounded.
+    The dictionary is every word of four letters or more that occurs five times in the corpus. The pieces of at
+    most 20 letters of each long word meet it in an equi-join, so the dictionary is gathered nowhere; a task
+    gets each long word with the known pieces of its own. ``boxes`` are start and end of each piece in
+    thousandths of the word's width, by its letters.
     """
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    common = r.table("benchmark").select(words.alias("w")).where(F.length("w") >= 4).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(2000)
-    split = segmenter(frozenset(x["w"] for x in common.collect()))
+    known = r.table("documents").select(words.alias("piece")).where(F.length("piece").between(4, 20)).groupBy("piece").agg(F.count("*").alias("n")).where("n >= 5").select("piece")
     long = r.table("documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("word")).where(F.length("word") > 25).distinct()
-    return long.select("doc_id", "word", split(X.ocr_fixes(F.col("word"))).alias("segmented"))
+    clean = long.select("word").distinct().withColumn("fixed", X.ocr_fixes(F.col("word")))
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("fixed") - 3, F.lit(1)))).alias("start")
+    cuts = clean.select("word", "fixed", starts).select("word", "fixed", F.explode(F.transform(F.sequence(F.lit(4), F.lit(20)), lambda n: F.lower(F.substr("fixed", F.col("start"), n)))).alias("piece"))
+    own = cuts.distinct().join(known, "piece").groupBy("word").agg(F.collect_set("piece").alias("pieces"))
+    split = clean.join(own, "word", "left").withColumn("segmented", segmented(F.col("fixed"), F.coalesce("pieces", F.array().cast("array<string>"))))
+    parts, whole = F.split("segmented", " "), F.length(F.replace("segmented", F.lit(" "), F.lit("")))
+    ends = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)))
+    boxes = F.transform(ends, lambda e, i: F.concat_ws("-", F.floor((e - F.length(F.get(parts, i))) * 1000 / whole), F.floor(e * 1000 / whole)))
+    return long.join(split.select("word", "segmented", F.array_join(boxes, ",").alias("boxes")), "word").select("doc_id", "word", "segmented", "boxes")
+
+
+def near_pairs(values: DataFrame, others: DataFrame, ratio: float = 0.9) -> DataFrame:
+    """``value``, ``known``, ``ratio``: pairs of different strings of both sides with a matching ratio of at least 9/10 and lengths within a tenth.
+
+    Of la and lb characters at most e = (la + lb) / 10 are unmatched, so lb is at most 11/9 of la. A block's
+    end spoils at most two trigrams of either string and an unmatched character one more, at most
+    3e <= 2 la / 3 of them; so the rarest floor(2 la / 3) + 1 trigrams of both strings share one. Candidates
+    are an equi-join on these, and the matcher decides.
+    """
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        n = F.greatest(F.length(name) - 2, F.lit(1))
+        return df.select(name).where(F.col(name) != "").distinct().withColumn("grams", F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col(name), i, F.lit(3)))))
+
+    a, b = grams(values, "value"), grams(others, "known")
+    counts = a.select(F.explode("grams").alias("gram")).unionByName(b.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.select(name, F.explode("grams").alias("gram")).join(counts, "gram").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("n", "gram")))["gram"].alias("grams"))
+        return ranked.select(name, F.explode(F.slice("grams", F.lit(1), F.floor(F.length(name) * 2 / 3).cast("int") + 1)).alias("gram"))
+
+    met = prefix(a, "value").join(prefix(b, "known"), "gram").where("value <> known and abs(length(value) - length(known)) <= 0.1 * greatest(length(value), length(known))")
+    return met.select("value", "known").distinct().withColumn("ratio", exact_ratio("value", "known")).where(F.col("ratio") >= ratio)
 
 
 @query()
 def j27_near_leakage(r: Relations) -> DataFrame:
-    """Test values close to a training value: length bands and the first three letters make the keys, a ratio of 0.9 decides."""
-    keys = lambda c: (F.expr(f"length({c}) div 4"), F.lower(F.substring(c, 1, 3)))
-    side = lambda rows, name: rows.where("value <> ''").select(F.col("value").alias(name)).distinct()
-    train, test = side(r.facts.where("document_id % 5 <> 0"), "known"), side(r.facts.where("document_id % 5 = 0"), "value")
-    a, b = train.select("known", *(k.alias(n) for k, n in zip(keys("known"), ("band", "head")))), test.select("value", *(k.alias(n) for k, n in zip(keys("value"), ("band", "head"))))
-    b = b.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    close = b.join(a, ["band", "head"]).where("known <> value").withColumn("ratio", fuzzy_ratio("value", "known")).where("ratio >= 0.9")
-    return close.groupBy("value").agg(F.count("*").alias("n"), F.max("ratio").alias("ratio"))
+    """Test values close to a training value: how many, and the closest ratio. Lossless candidates by trigrams (``near_pairs``)."""
+    train, test = r.facts.where("document_id % 5 <> 0").select(F.col("truth").alias("known")), r.facts.where("document_id % 5 = 0").select(F.col("truth").alias("value"))
+    return near_pairs(test, train).groupBy("value").agg(F.count("*").alias("n"), F.max("ratio").alias("ratio"))
 
 
 TABLE_SQL = """, cells as (select conv_id as document_id, turn as row, generate_subscripts(string_split(text, ' '), 1) as col, unnest(string_split(text, ' ')) as cell from conversations where role = 'user')"""

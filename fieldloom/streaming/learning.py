@@ -7,6 +7,7 @@ Every stage is keyed (template, field) so that state spreads over the cluster, a
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,8 +25,12 @@ TRIGGER_AT = 5
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share (a local one where none is set, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A new folder in the one that driver and executors share; a local one only where none is set and all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -86,22 +91,49 @@ def once_per_key(stream: DataFrame, keys: list[str], at: str, delay: str = "7 da
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_latest(stream: DataFrame, keys: list[str], order: list[str], target: str, state: str) -> None:
-    """Merge a stream into the table at ``target``: the newest row of each key stays. Each batch writes a new version, then a pointer."""
+def upsert_latest(stream: DataFrame, keys: list[str], order: list[str], target: str, state: str, parts: int = 16) -> None:
+    """Merge a stream into the table at ``target``: the newest row of each key stays.
+
+    The table lies in ``parts`` folders by a hash of the key. A batch rewrites the folders that its keys fall
+    in, under the batch's own number, and reads those of earlier batches only; ``upserted`` reads of each
+    folder the highest number. A batch that is tried again after a failure writes the same folders anew.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = [spark.read.parquet(f"{target}/v{number - 1}")] if number else []
-        rows = batch
-        for df in old:
-            rows = rows.unionByName(df)
-        rest = [c for c in rows.columns if c not in keys and c not in order]
-        newest = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("x")).select(*keys, *(f"x.{c}" for c in (*order, *rest)))
-        newest.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v{number}")
+        rows = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        touched = {r["part"] for r in rows.select("part").distinct().collect()}  # at most ``parts``
+        newest = newest_parts(spark, target, number)
+        old = [f"{target}/part={p}/v={newest[p]}" for p in touched if p in newest]
+        every = rows
+        for path in old:
+            part = int(re.search(r"part=(\d+)", path)[1])
+            every = every.unionByName(spark.read.schema(batch.schema).parquet(path).withColumn("part", F.lit(part)))
+        rest = [c for c in batch.columns if c not in keys and c not in order]
+        best = every.groupBy("part", *keys).agg(F.max(F.struct(*order, *rest)).alias("x")).select("part", *keys, *(f"x.{c}" for c in (*order, *rest)))
+        for p in touched:
+            best.where(F.col("part") == p).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/part={p}/v={number}")
 
     stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
 
 
+def newest_parts(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """The highest version of each part of an upserted table, below ``before`` if given."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = {}
+    for x in jvm.org.apache.hadoop.fs.Path(target).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}/part=*/v=*/_SUCCESS")) or ():
+        part, version = map(int, re.search(r"part=(\d+)/v=(\d+)", x.getPath().toString()).groups())
+        if before is None or version < before:
+            found[part] = max(version, found.get(part, -1))
+    return found
+
+
+def upserted(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The table that ``upsert_latest`` wrote."""
+    paths = [f"{target}/part={p}/v={v}" for p, v in newest_parts(spark, target).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def work_queue(jobs: DataFrame, handle, state: str) -> None:
     """Hand pending jobs to ``handle`` in order of arrival, one micro-batch at a time (R01); a failed batch is taken up again."""
 
@@ -121,9 +153,10 @@ def r03_stream_triggers(r: Relations) -> DataFrame:
 @query(" select type, time_bucket(interval '1 hour', created_at) as begins, count(*) as n from jobs group by all")
 def r08_tumbling_windows(r: Relations) -> DataFrame:
     """Events per type and hour (an extension: the loop's row batches on event time)."""
-    events = table_stream(r, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = table_stream(r, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     counts = events.groupBy(F.col("event_type").alias("type"), F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return available_now(counts.select("type", F.col("w.start").alias("begins"), "n"), "complete")
+    each = available_now(counts.select("type", F.col("w.start").alias("begins"), "n"), "update")
+    return each.groupBy("type", "begins").agg(F.max("n").alias("n"))  # counts only grow, so the last one of a window is the largest
 
 
 @query(" select field_id, job_id, created_at from jobs qualify row_number() over (partition by field_id order by created_at desc, job_id desc) = 1")
@@ -132,7 +165,13 @@ def r07_stream_upsert(r: Relations) -> DataFrame:
     rows = table_stream(r, "events").select(F.col("user_id").alias("field_id"), F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"))
     target = scratch(r.spark, "upsert")
     upsert_latest(rows, ["field_id"], ["created_at", "job_id"], target, scratch(r.spark, "upsert-state"))
-    fs = r.spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = fs.Path(target)
-    versions = [int(x.getPath().getName()[1:]) for x in path.getFileSystem(r.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
-    return r.spark.read.parquet(f"{target}/v{max(versions)}")
+    return upserted(r.spark, target, rows.schema)
+
+
+@query(""", o as (select field_id, duration, row_number() over (partition by field_id order by job_id desc) as back, count(*) over (partition by field_id) as n from jobs where duration is not null)
+select cast(field_id as varchar) as key, any_value(n) as n, round(sum(0.3 * pow(0.7, back - 1) * duration), 6) as ema from o group by all""")
+def r06_running_means(r: Relations) -> DataFrame:
+    """Counter and exponential mean of each key after all batches of a stream, in order of arrival."""
+    values = table_stream(r, "events").where("value is not null").select(F.col("user_id").cast("string").alias("key"), F.col("value").cast("double").alias("value"), F.col("event_id").alias("at"))
+    last = available_now(running_means(values), "update").groupBy("key").agg(F.max(F.struct("n", "ema")).alias("x"))
+    return last.select("key", "x.n", F.round("x.ema", 6).alias("ema"))

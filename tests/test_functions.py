@@ -1,6 +1,7 @@
 """Functions, ladders, similarities and statistics against plain Python and golden values."""
 
 import random
+import re
 import statistics
 from difflib import SequenceMatcher
 
@@ -40,7 +41,18 @@ def test_cleaners(spark):
     assert col(spark, X.row_number_of, "item_12_x_3", "name") == [3, None]
     assert col(spark, X.is_tabular, "qty_1", "qty_b", "quantity") == [True, True, False]
     assert col(spark, X.field_keywords, "total_harga_1_x") == [["total", "harga"]]
-    assert col(spark, X.default_pattern, "birth_date", "zzz") == [r"\d{1,2}[-/ ]\w+[-/ ]\d{2,4}", ".+"]
+    names = ["user_email", "no_hp", "nik", "tgl_lahir", "usia", "nomor_urut", "nama", "alamat", "zzz", "birth_date"]
+    found = col(spark, X.default_pattern, *names)
+    assert found == [next((p for key, p in X.DEFAULT_PATTERNS if re.search(key, n)), ".+") for n in names]
+    assert (found[2], found[3], found[4], found[8]) == (r"(\d{16})", r"(\d{2}-\d{2}-\d{4})", r"(\d+)", ".+")
+    start, end = {"parentheses_start": F.lit(True)}, {"parentheses_end": F.lit(True)}
+    assert col(spark, lambda c: X.structural_clean(c, start), "(a", "(a)", "((a") == ["a", "(a)", "(a"]
+    assert col(spark, lambda c: X.structural_clean(c, end), "a)", "(a)", "a))") == ["a", "(a)", "a)"]
+    assert col(spark, X.sanitise_pattern, "/ab+/gi", "r'a\\d'", '"x"', " [a-z]+ ", "r\"y'") == ["ab+", "a\\d", "x", "[a-z]+", "r\"y'"]
+    assert col(spark, X.keywords_by_length, "no_total_harga_qty_1") == [["harga", "total", "qty", "no"]]
+    assert col(spark, lambda c: X.field_clean(F.lit("chairman_name"), c), " Dr. (A) B  C", None) == ["Dr. A B C", "None"]
+    assert col(spark, lambda c: X.field_clean(F.lit("issue_place"), c), "Bandung, 3 May 2020") == ["Bandung"]
+    assert col(spark, lambda c: X.field_clean(F.lit("other"), c), "a  (b)") == ["a  (b)"]
     assert col(spark, X.should_normalise, "short", "a" * 25, "one two three four") == [False, True, False]
 
 
@@ -69,8 +81,8 @@ def test_similarities_are_difflib_s(spark):
     assert got == [SequenceMatcher(None, norm(a), norm(b)).ratio() if norm(a) and norm(b) else 0.0 for a, b in pairs]
     both = [r["x"] for r in df.select("i", S.conflict_similarity("a", "b").alias("x")).orderBy("i").collect()]
     assert both[3] == 1.0 and both[1] == 0.0 and 0 < both[0] < 1
-    split = S.segmenter(frozenset(["jalan", "raya", "kota", "baru"]))
-    assert col(spark, split, "jalanrayakota", "kotabaru", "xyz", None, "") == ["jalan raya kota", "kota baru", "xyz", None, ""]
+    pieces = F.array(*map(F.lit, ["jalan", "raya", "kota", "baru"]))
+    assert col(spark, lambda c: S.segmented(c, pieces), "jalanrayakota", "kotabaru", "xyz", None, "") == ["jalan raya kota", "kota baru", "xyz", None, ""]
 
 
 def test_paired_t_and_its_p_value(spark):
@@ -82,6 +94,26 @@ def test_paired_t_and_its_p_value(spark):
     assert evaluation.t_pvalue(0.0, 5) == 1.0 and evaluation.t_pvalue(1.32, 3) == pytest.approx(0.277, abs=0.003)
 
 
+def test_boosts_matches_and_scores(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    lit = F.lit
+    assert [one(D.usage_boost(lit(r), lit(m), lit(0.3))) for r, m in ((0.95, True), (0.8, True), (0.5, True), (0.2, False), (0.5, False))] == [0.2, 0.1, 0.0, -0.1, 0.3]
+    df = spark.createDataFrame([("Jakarta", "jakarta "), ("abcdefghij", "abcdefghix"), ("abc", "xyz"), ("", "a")], "a string, b string")
+    assert [r[0] for r in df.select(S.fuzzy_match("a", "b")).collect()] == [True, True, False, False]
+    got = [r[0] for r in df.select(S.sequence_score("a", "b")).collect()]
+    assert got[1] == pytest.approx(0.8 * 0.9 + 0.2) and got[3] == 0.0
+
+
+def test_experiments_and_curves_from_json(spark, tmp_path):
+    (tmp_path / "baseline_template_2.json").write_text('{\n "template": 2, "accuracy": 0.5\n}')
+    (tmp_path / "adaptive_template_2.json").write_text('{"template": 2, "accuracy": 0.75, "corrections": 4}')
+    got = evaluation.experiments_from_json(spark, str(tmp_path / "*_template_*.json")).collect()
+    assert sorted((r["kind"], r["template_id"], r["accuracy"], r["corrections"]) for r in got) == [("adaptive", 2, 0.75, 4), ("baseline", 2, 0.5, None)]
+    (tmp_path / "learning_curve_1.json").write_text('[{"batch": 0, "accuracy": 0.5}, {"batch": 1, "accuracy": 0.75}, {"batch": 2, "accuracy": 0.7}]')
+    curve = evaluation.learning_points(evaluation.curves_from_json(spark, str(tmp_path / "learning_curve_*.json")), "template_id", "batch", "accuracy")
+    assert [(r["template_id"], r["batch"], round(r["improvement"], 9), round(r["delta"], 9)) for r in curve.orderBy("batch").collect()] == [(1, 0, 0.0, 0.0), (1, 1, 0.25, 0.25), (1, 2, 0.2, -0.05)]
+
+
 def test_bootstrap_covers_the_mean(spark):
     rows = [(i, float(i % 10)) for i in range(200)]
     got = evaluation.bootstrap(spark.createDataFrame(rows, "id long, v double"), "v", 200).first()
