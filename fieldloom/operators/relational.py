@@ -79,10 +79,10 @@ relational("j16_fields_with_feedback", "Fields that have feedback, by key and no
 select f.document_id, f.field_name, f.method from {facts} f semi join {feedback} b on b.document_id = f.document_id and b.field_name = f.field_name""")
 relational("j17_extracted_and_true", "Extracted and corrected fields side by side, whichever has them.", """
 select coalesce(f.document_id, b.document_id) as document_id, coalesce(f.field_name, b.field_name) as field_name, coalesce(f.value, '') as extracted, coalesce(b.corrected_value, '') as truth
-from (select * from {facts} where position <> 3) f full join {feedback} b on b.document_id = f.document_id and b.field_name = f.field_name""")
+from {facts} f full join {feedback} b on b.document_id = f.document_id and b.field_name = f.field_name""")
 relational("j18_overlay", "Corrections over extracted values, fields known only from feedback included.", """
 select coalesce(f.document_id, b.document_id) as document_id, coalesce(f.field_name, b.field_name) as field_name, coalesce(b.corrected_value, f.value) as value
-from (select * from {facts} where position <> 2) f full join {feedback} b on b.document_id = f.document_id and b.field_name = f.field_name""")
+from {facts} f full join {feedback} b on b.document_id = f.document_id and b.field_name = f.field_name""")
 relational("j26_exact_leakage", "Test documents' values that training documents have too, and the first training document; a hash join on content.", """
 with t as (select lower(trim(value)) as v, min(document_id) as first_train from {facts} where document_id % 5 <> 0 and value <> '' group by lower(trim(value)))
 select f.document_id, f.field_name, t.first_train from {facts} f join t on t.v = lower(trim(f.value)) where f.document_id % 5 = 0""")
@@ -129,7 +129,7 @@ relational("u01_union_all", "Corrected values and validated values in one column
 select field_name, corrected_value as value, 'corrected' as origin from {feedback} union all
 select f.field_name, f.value, 'validated' from {facts} f join {documents} d on d.document_id = f.document_id where d.status = 'validated' and d.template_id = 1""")
 relational("u02_key_union", "Keys that either side has.", """
-select document_id, field_name from {facts} where position <= 2 union select document_id, field_name from {feedback}""")
+select document_id, field_name from {facts} union select document_id, field_name from {feedback}""")
 relational("u03_not_corrected", "Fields of corrected documents that were left alone.", """
 select f.document_id, f.field_name from {facts} f semi join {feedback} d on d.document_id = f.document_id anti join {feedback} b on b.document_id = f.document_id and b.field_name = f.field_name""")
 relational("u05_distinct_values", "Distinct values per field.", """
