@@ -181,8 +181,9 @@ def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
 def _met(posting: DataFrame) -> DataFrame:
     """``ka``, ``kb``: entries that share a key, one of them not yet found to be a repeat, where sizes, parities and positions leave room for the similarity."""
     names = {"key": "k", "doc": "d", "n": "n", **{p: p for p in PARITY}, "miss": "m", "wide": "w", "open": "open"}
-    # The shorter of two similar lines lacks at most a ninth of its words, so its key is among fewer of them. Both sides read one shuffle.
-    short = F.col("wb") | (F.col("mb") * (NUM + DEN) <= F.col("nb") * (DEN - NUM))
+    # The shorter of two similar lines lacks at most a ninth of its words, so its key is among fewer of them.
+    # (Keys of wide lines are no others' keys; a condition on one side alone would be pushed below the shuffle that both sides share.)
+    short = F.col("wa") | (F.col("mb") * (NUM + DEN) <= F.col("nb") * (DEN - NUM))
     a, b = (posting.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in names.items())) for s in "ab")
     # What is gone still counts as an earlier line of those that are not.
     once = F.expr("((opena and (openb or db <= da)) or (openb and da <= db)) and (na > nb or (na = nb and ka < kb))")
@@ -232,12 +233,15 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "line_no")
 
 
-def _with_repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, str]:
-    """``docs`` plus a column, named in the result's second part, with the numbers of each row's lines that repeat others; null: none."""
-    doc, key, gone = fresh_names(docs, "doc", "text_key", "gone")
+def _with_repeats(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, str]:
+    """``rows`` plus a column, named in the result's second part, with the numbers of each row's lines that repeat others; null: none.
+
+    ``rows`` are those of ``docs`` with what says where they stand in their last two columns, which go.
+    """
+    doc, key = rows.columns[-2:]
+    (gone,) = fresh_names(rows, "gone")
     lists = _repeats(docs, id_col, text_col, bits).groupBy(F.col("doc").alias(doc), F.col("text_key").alias(key)).agg(F.sort_array(F.collect_set("line_no")).alias(gone))
-    at, text_key = _place_of(id_col, text_col)
-    return docs.withColumns({doc: at, key: text_key}).join(lists, [doc, key], "left").drop(doc, key), gone
+    return rows.join(lists, [doc, key], "left").drop(doc, key), gone
 
 
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = TABLE_BITS) -> DataFrame:
@@ -246,7 +250,9 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Lines go from the row they stand in, also where rows share an id or have none. A text that loses all its
     lines is empty; a null text stays null.
     """
-    joined, gone = _with_repeats(docs, id_col, text_col, bits)
+    doc, key = fresh_names(docs, "doc", "text_key")
+    at, text_key = _place_of(id_col, text_col)
+    joined, gone = _with_repeats(docs.withColumns({doc: at, key: text_key}), docs, id_col, text_col, bits)
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(gone, i))
     text = F.when(F.col(gone).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
@@ -254,9 +260,8 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = TABLE_BITS) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0, ascending, joined by commas), one row per input row."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined, gone = _with_repeats(slim, "doc_id", "text", bits)
-    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    return joined.select(
-        "doc_id", n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed")
-    )
+    text = F.col(text_col)
+    n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n_lines.alias("n_lines"), *_place_of(id_col, text_col))
+    joined, gone = _with_repeats(rows, docs, id_col, text_col, bits)
+    return joined.select("doc_id", "n_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed"))
