@@ -18,7 +18,7 @@ OFTEN = 64  # occurrences from which a word may be that of a large group
 WIDE = 400  # words from which lines are keyed by neighbouring words
 CROWD = 16  # lines from which a group meets its heads first
 HEADS = 8  # parts of a group whose first lines are heads
-BROADCAST_ROWS = 400_000  # documents with lines to verify up to which their places (some 40 bytes a row) are broadcast
+BROADCAST_ROWS = 400_000  # rows (keys or places of lines, 60 bytes at most) up to which a table is broadcast
 NULL_ID = -(2**63)  # stands for a null id, before all others
 PARITY = ("odd", "odder")  # 128 bits, of which each token turns one: lines that differ in few words differ in few of them
 PLACE = ("doc", "text_key", "line_no")  # where a line stands; its order says which of two lines is earlier
@@ -99,8 +99,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFram
         gone = gone.unionByName(rest).distinct()
 
         state = entries.select("key", *(F.col(c).alias(f"first_{c}") for c in PLACE), "copies").join(gone.withColumn("gone", F.lit(True)), "key", "left")
-        state = state.where("gone or copies > 1").drop("copies")
-        found = lines_.select(*PLACE, F.xxhash64("line").alias("key")).join(state, "key").where("gone or doc <> first_doc or text_key <> first_text_key or line_no <> first_line_no")
+        state = work.keep(state.where("gone or copies > 1").drop("copies"), "line-state")
+        few = state.count() <= BROADCAST_ROWS
+        found = lines_.select(*PLACE, F.xxhash64("line").alias("key")).join(F.broadcast(state) if few else state, "key").where("gone or doc <> first_doc or text_key <> first_text_key or line_no <> first_line_no")
         return work.give(found.select(*PLACE), "line-repeats")
 
 
@@ -113,7 +114,9 @@ def _crowded(entries: DataFrame, work: Workspace) -> DataFrame:
     """
     often = F.filter(F.slice("head", F.lit(1), _lacked() + 3), lambda t: _level(t) > _steps(OFTEN))
     pair = lambda k: F.xxhash64(F.get("often", F.lit(k)), F.get("often", F.lit(k + 1)))
-    member = entries.where(F.col("n") <= WIDE).select("key", *PLACE, "n", *PARITY, "copies", often.alias("often"))
+    # Of such a group's words all but those that a copy changed are held by many lines.
+    usual = F.coalesce(_level(F.get("head", F.greatest(F.lit(3), F.expr("n div 12")))) > _steps(OFTEN), F.col("n") <= 3)
+    member = entries.where((F.col("n") <= WIDE) & usual).select("key", *PLACE, "n", *PARITY, "copies", often.alias("often"))
     member = member.select("key", *PLACE, "n", *PARITY, "copies", F.explode(F.array(*(F.when(F.size("often") >= k + 2, pair(k)) for k in (0, 2, 4)))).alias("group")).where("group is not null")
     crowds = work.keep(member.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD).select("group"), "line-crowds")
     member = work.keep(member.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds, "group"), "line-members")
