@@ -75,5 +75,6 @@ def linked_components(nodes: DataFrame, payload: tuple[str, ...], index: Callabl
 
         rooted = labelled.join(second.withColumnRenamed("node", "label"), "label", "left").select("node", "first_id", F.coalesce("root", "label").alias("root"))
         rooted = work.keep(rooted, "link-roots")
-        least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        # Written, so that the join deals both sides anew and Spark can split a large component.
+        least = work.keep(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "link-least")
         return work.give(rooted.join(least, "root").select("node", "root", "component_id"), "linked")

@@ -138,7 +138,7 @@ def without_near_copies(docs: DataFrame, radius: int = 4, shingle_words: int = 4
     with Workspace(docs.sparkSession) as work:
         fps = work.keep(fingerprints(docs, shingle_words, id_col, text_col), "fp-docs")
         rows = work.keep(fps.join(_components_of(fps, radius), "fp").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies")), "fp-rows")
-        best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("best"))
+        best = work.keep(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("best")), "fp-best")
         judged = rows.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
         judged = work.give(judged.where("not stays or copies > 1").select("doc_id", "text_key", "stays").distinct(), "fp-judged")
     names = fresh_names(docs, "id", "text_key")
