@@ -112,14 +112,13 @@ def w14_word_features(r: Relations) -> DataFrame:
     )
 
 
-@query(WORDS_SQL + """, k as (select document_id, word, idx, row_number() over (partition by document_id, word order by idx) as nth from words)
-select a.document_id, a.word, a.nth, a.idx as first_half, b.idx as again from k a join k b on b.document_id = a.document_id and b.word = a.word and b.nth = a.nth + 1""")
+@query(WORDS_SQL + """, k as (select document_id, word, idx, row_number() over w as nth, lead(idx) over w as again from words window w as (partition by document_id, word order by idx))
+select document_id, word, nth, idx as first_half, again from k where again is not null""")
 def w20_nth_occurrence(r: Relations) -> DataFrame:
-    """The k-th occurrence of a word matched with the next one, by an equi-join on the count."""
+    """The k-th occurrence of a word in a document and the one after it, in one window."""
     w = Window.partitionBy("document_id", "word").orderBy("idx")
-    k = Layout(r).words.select("document_id", "word", "idx", F.row_number().over(w).alias("nth"))
-    b = k.select("document_id", "word", (F.col("nth") - 1).alias("nth"), F.col("idx").alias("again"))
-    return k.join(b, ["document_id", "word", "nth"]).select("document_id", "word", "nth", F.col("idx").alias("first_half"), "again")
+    k = Layout(r).words.select("document_id", "word", F.row_number().over(w).alias("nth"), F.col("idx").alias("first_half"), F.lead("idx").over(w).alias("again"))
+    return k.where(F.col("again").isNotNull())
 
 
 @query(WORDS_SQL + """, h as (select document_id, x0 * 20 // 500 as bin, count(*) as n from words group by all),
