@@ -184,14 +184,15 @@ def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
 def _met(posting: DataFrame) -> DataFrame:
     """``ka``, ``kb``: entries that share a key, one of them not yet found to be a repeat, where sizes, parities and positions leave room for the similarity."""
     names = {"key": "k", "doc": "d", "n": "n", **{p: p for p in PARITY}, "miss": "m", "wide": "w", "open": "open"}
-    # The shorter of two similar lines lacks at most a ninth of its words, so its key is among fewer of them.
-    # (Keys of wide lines are no others' keys; a condition on one side alone would be pushed below the shuffle that both sides share.)
-    short = F.col("wa") | (F.col("mb") * (NUM + DEN) <= F.col("nb") * (DEN - NUM))
     a, b = (posting.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in names.items())) for s in "ab")
     # What is gone still counts as an earlier line of those that are not.
     once = F.expr("((opena and (openb or db <= da)) or (openb and da <= db)) and (na > nb or (na = nb and ka < kb))")
-    fit = F.when(F.col("wa"), F.abs(F.col("ma") - F.col("mb"))).otherwise(F.col("ma") + F.col("mb")) <= _room()
-    return a.join(b, "token").where(once & short & _alike() & fit).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
+    # Words before a key that are not shared leave room for the overlap in either line. (Every condition is on both sides: one on a
+    # single side would be pushed below the shuffle, and both sides are to read the same one.)
+    need = F.expr(f"((na + nb) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}")
+    fit = F.when(F.col("wa"), F.abs(F.col("ma") - F.col("mb")) <= _room()).otherwise((F.col("na") - F.col("ma") >= need) & (F.col("nb") - F.col("mb") >= need))
+    pairs = a.join(b, (a["token"] == b["token"]) & (F.col("wa") == F.col("wb"))).where(once & _alike() & fit)
+    return pairs.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
 
 
 def _later(pairs: DataFrame, work: Workspace, docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame:
