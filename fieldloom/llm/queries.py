@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import fingerprints, licenses, lines, mixing, neardup, packing, tokencounts, topk, toxicity, warc
+from fieldloom.llm import contentsort, fingerprints, licenses, lines, mixing, neardup, packing, tokencounts, topk, toxicity, warc
 from fieldloom.llm.common import table
 
 
@@ -73,6 +73,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the row that stays of its group of equal normalised texts."""
+    return contentsort.duplicate_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_toxicity,
         op10_token_counts,
+        op13_exact_dedup,
     )
 }
 
@@ -100,6 +106,7 @@ ORACLE: dict[str, str] = {
                    from v q join v c on q.id % 100 = 0 and c.id <> q.id),
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
+    "op13_exact_dedup": contentsort.REPORT_SQL,
     "op6_license_scan": licenses.scan_sql(),
     "op8_mixing": mixing.mix_sql(),
     "op3_warc": """
