@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import contentsort, fingerprints, licenses, lines, mixing, neardup, packing, tokencounts, topk, toxicity, warc
+from fieldloom.llm import contentsort, divergence, fingerprints, licenses, lines, mixing, neardup, negatives, packing, tokencounts, topk, toxicity, warc
 from fieldloom.llm.common import table
 
 
@@ -73,6 +73,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source diverge from the other sources and from the whole of its language."""
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every positive of the vectors whose id is divisible by 100; labels of ids divisible by 7 move on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), label=label), F.col("id") % 100 == 0)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the row that stays of its group of equal normalised texts."""
     return contentsort.duplicate_report(table(spark, sf_dir, "documents"))
@@ -92,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_toxicity,
         op10_token_counts,
+        op11_source_divergence,
+        op12_hard_negatives,
         op13_exact_dedup,
     )
 }
@@ -106,6 +119,8 @@ ORACLE: dict[str, str] = {
                    from v q join v c on q.id % 100 = 0 and c.id <> q.id),
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
+    "op11_source_divergence": divergence.AUDIT_SQL,
+    "op12_hard_negatives": negatives.MINE_SQL,
     "op13_exact_dedup": contentsort.REPORT_SQL,
     "op6_license_scan": licenses.scan_sql(),
     "op8_mixing": mixing.mix_sql(),
