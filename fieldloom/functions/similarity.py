@@ -30,21 +30,32 @@ def exact_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
+def _conflict(x: str, y: str) -> float:
+    x, y = x.strip().lower(), y.strip().lower()
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    wx, wy = set(x.split()), set(y.split())
+    overlap = len(wx & wy) / max(len(wx | wy), 1)
+    return 0.5 * _ratio(x, y) + 0.3 * overlap + 0.2 * (0.5 if x in y or y in x else 0.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def conflict_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Half the ratio, three tenths the word overlap, and a tenth where one value contains the other; equal values are 1."""
+    return pd.Series([_conflict(str(x or ""), str(y or "")) for x, y in zip(a, b)])
 
-    def one(x: str, y: str) -> float:
-        x, y = x.strip().lower(), y.strip().lower()
-        if not x or not y:
-            return 0.0
-        if x == y:
-            return 1.0
-        wx, wy = set(x.split()), set(y.split())
-        overlap = len(wx & wy) / max(len(wx | wy), 1)
-        return 0.5 * _ratio(x, y) + 0.3 * overlap + 0.2 * (0.5 if x in y or y in x else 0.0)
-
-    return pd.Series([one(str(x or ""), str(y or "")) for x, y in zip(a, b)])
+
+@F.pandas_udf(T.DoubleType())
+def mean_conflict_similarity(values: pd.Series) -> pd.Series:
+    """Mean of ``conflict_similarity`` over the pairs of an array of distinct values; null for less than two. Pairs that a batch repeats are compared once."""
+    from functools import lru_cache
+    from itertools import combinations
+
+    one = lru_cache(maxsize=100_000)(_conflict)
+    pairs = ([one(x, y) for x, y in combinations(v, 2)] if v is not None else [] for v in values)
+    return pd.Series([sum(p) / len(p) if p else None for p in pairs], dtype="float64")
 
 
 def fuzzy_match(a, b, threshold: float = 0.8):

@@ -129,10 +129,11 @@ def generalise_affix(x: Column) -> Column:
     return F.regexp_replace(out, r"^[A-Z]\w+,", "[LOCATION],")
 
 
-# The default pattern of a field by the first rule that its name matches.
+# The default pattern of a field by the first rule that its name matches. The phone rule is mended: as it stands where
+# it comes from it is no valid expression, so that such fields never had a default.
 DEFAULT_PATTERNS = [
     (r"email|e_mail|surel", r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"),
-    (r"(no_hp|no_telp|telepon|phone|hp|handphone|whatsapp|wa)", r"(\+?[0-9]{1,4}?[-.\\s]?\\(?[0-9]{1,3}?\\)?[-.\\s]?[0-9]{1,4}[-.\\s]?[0-9]{1,4}[-.\\s]?[0-9]{1,9})"),
+    (r"(no_hp|no_telp|telepon|phone|hp|handphone|whatsapp|wa)", r"(\+?[0-9]{1,4}?[-.\s]?\(?[0-9]{1,3}?\)?[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{1,9})"),
     (r"nik|nomor_induk", r"(\d{16})"),
     (r"(tanggal|tgl|date).*", r"(\d{2}-\d{2}-\d{4})"),
     (r"(usia|umur|age)", r"(\d+)"),
@@ -150,6 +151,14 @@ def default_pattern(name: Column) -> Column:
     return out.otherwise(".+")
 
 
+def default_choice(name: Column, of: Callable[[str], Column]) -> Column:
+    """``of`` the default pattern of a field name, given as a plain string so that it is compiled once."""
+    out = F
+    for key, pattern in DEFAULT_PATTERNS:
+        out = out.when(F.lower(name).rlike(key), of(pattern))
+    return out.otherwise(of(".+"))
+
+
 def sanitise_pattern(pattern: Column) -> Column:
     """A pattern out of its quotes: slashes with flags, or a Python literal with or without an r."""
     bare = F.trim(pattern)
@@ -157,10 +166,16 @@ def sanitise_pattern(pattern: Column) -> Column:
     return F.regexp_replace(bare, r"""^r?(["'])(.*)\1$""", "$2")
 
 
+def has_group(pattern: Column) -> Column:
+    """Whether a valid pattern has a group that captures: a parenthesis that is neither escaped, nor in a class, nor special."""
+    bare = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\[\^?\]?[^\]]*\]", "")
+    return bare.rlike(r"\((?!\?)|\(\?P?<(?![=!])")
+
+
 def pattern_value(text: Column, pattern: Column) -> Column:
-    """What ``pattern`` finds in ``text``: its first group if it has one, else the whole match; null without a match."""
-    groups = pattern.rlike(r"(?<!\\)\((?!\?)")
-    found = F.when(groups, F.call_function("regexp_extract", text, pattern, F.lit(1))).otherwise(F.call_function("regexp_extract", text, pattern, F.lit(0)))
+    """What a valid ``pattern`` finds in ``text``: its first group if it has one, else the whole match; null without a match."""
+    first = F.call_function("regexp_extract", text, F.concat(F.lit("(?:"), pattern, F.lit(")()")), F.lit(1))
+    found = F.when(has_group(pattern), first).otherwise(F.call_function("regexp_extract", text, pattern, F.lit(0)))
     return F.when(F.rlike(text, pattern), F.trim(found))
 
 

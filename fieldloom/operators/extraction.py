@@ -6,14 +6,17 @@ a hash or merge join with a residual filter, never a product of all words and fi
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import decisions as D
-from fieldloom.functions.similarity import conflict_similarity
-from fieldloom.functions.text import collapse_blanks, default_pattern, generic_clean, pattern_value, rule_confidence, strict_norm
+from fieldloom.functions.binding import let
+from fieldloom.functions.patterns import found_value, pattern_index, pattern_matches
+from fieldloom.functions.similarity import mean_conflict_similarity
+from fieldloom.functions.text import collapse_blanks, default_choice, generic_clean, rule_confidence, strict_norm
 from fieldloom.plans.registry import query
 from fieldloom.sources.relations import Relations
 
@@ -151,35 +154,89 @@ def j24_overlaps(r: Relations) -> DataFrame:
     return a.join(b, "document_id").where(hit).select("document_id", "field_a", "field_b")
 
 
-def rule_candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``document_id``, ``field_name``, ``value``, ``confidence``, ``pattern`` for each field's text, where a rule finds something.
-
-    ``texts`` has ``document_id``, ``field_name``, ``field_config`` and ``text`` (the words right of the
-    label); ``patterns`` has ``field_config``, ``pattern`` and ``priority``. A field's own learned patterns
-    are tried from the highest priority (then in the alphabet's order): the first with a confidence of 0.7 is
-    taken at once, else the most confident, the earlier of equals. The default pattern of the field's name is
-    tried only if the field has no learned pattern or the best is under 0.3, and counts from 0.5 on. Where
-    learned patterns exist and the best is under 0.5 there is no value. Patterns are scoped by field, so a row
-    carries those of its own configuration and no others.
-    """
-    kept = patterns.groupBy("field_config", "pattern").agg(F.max("priority").alias("priority"))
-    learned = kept.groupBy("field_config").agg(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("k"), "pattern")))["pattern"].alias("learned"))
-    rows = texts.join(learned, "field_config", "left").withColumn("words", F.size(F.split(F.trim("text"), r"\s+")))
+def _tried(text: Column, words: Column, regex: Column, raw: Column) -> Column:
+    """``confidence`` and ``value`` of what a pattern found (``raw``); null where it found nothing."""
 
-    def tried(pattern: Column) -> Column:
-        raw = pattern_value(F.col("text"), pattern)
+    def of(raw: Column) -> Column:
         value = collapse_blanks(raw)
-        confidence = F.when(raw.isNotNull(), F.least(F.lit(1.0), rule_confidence(value, pattern, F.col("words"), raw) + 0.15))
-        return F.struct(F.coalesce(confidence, F.lit(0.0)).alias("confidence"), value.alias("value"), pattern.alias("pattern"))
+        rated = let(value, lambda v: F.struct(F.least(F.lit(1.0), rule_confidence(v, regex, words, raw) + 0.15).alias("confidence"), v.alias("value")))
+        return F.when(raw.isNotNull(), rated)
+
+    return let(raw, of)
+
 
-    rows = rows.withColumn("tried", F.filter(F.transform(F.coalesce("learned", F.array().cast("array<string>")), tried), lambda x: x["value"].isNotNull()))
-    best = F.aggregate("tried", F.get("tried", F.lit(0)), lambda a, x: F.when(x["confidence"] > a["confidence"], x).otherwise(a))
-    rows = rows.withColumn("own", F.coalesce(F.get(F.filter("tried", lambda x: x["confidence"] >= 0.7), F.lit(0)), best)).withColumn("base", tried(default_pattern(F.col("field_name"))))
-    none = F.col("learned").isNull()
-    use_base = (none | (F.coalesce("own.confidence", F.lit(0.0)) < 0.3)) & F.col("base.value").isNotNull() & (F.col("base.confidence") >= 0.5)
-    chosen = F.when(use_base, F.col("base")).otherwise(F.col("own"))
-    out = rows.withColumn("chosen", chosen).where(F.col("chosen").isNotNull()).where(none | (F.col("chosen.confidence") >= 0.5))
-    return out.select("document_id", "field_name", "chosen.*")
+def _default_tried(name: Column, text: Column, words: Column) -> Column:
+    """``_tried`` of the default pattern of a field's name."""
+
+    def of(pattern: str) -> Column:
+        raw = F.trim(F.regexp_extract(text, pattern, min(1, re.compile(pattern).groups)))
+        return _tried(text, words, F.lit(pattern), F.when(F.rlike(text, F.lit(pattern)), raw))
+
+    return default_choice(name, of)
+
+
+def _word_count(text: Column) -> Column:
+    return F.size(F.split(F.trim(text), r"\s+"))
+
+
+def rule_candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``document_id``, ``field_name``, ``value``, ``confidence``, ``pattern``, ``place`` for each field, where a rule finds something.
+
+    ``texts`` has ``document_id``, ``field_name``, ``field_config``, ``text`` (the words right of the label) and,
+    where a field has several places, ``place`` (int); ``patterns`` has ``field_config``, ``pattern`` and
+    ``priority``. Places are visited in order. At each the field's learned patterns come from the highest
+    priority (then in the alphabet's order): the first that beats what was found before with a confidence of 0.7
+    ends the search, else the most confident is held, the earlier of equals. The default pattern of the
+    field's name is tried at a place if the field has no learned pattern or the best so far is under 0.3, and
+    counts from 0.5 on (None as pattern tells that it was taken). Where learned patterns exist and the best is
+    under 0.5 there is no value. Invalid patterns find nothing, but count as learned.
+
+    Equal texts of a configuration are searched once, through the index of required literals
+    (``patterns.pattern_matches``). Of a text's matches only the first of each confidence can matter, and
+    confidences are few, so what a row carries is bounded however many patterns match.
+    """
+    keys, many = ["document_id", "field_name"], "place" in texts.columns
+    kept = patterns.groupBy("field_config", "pattern").agg(F.max("priority").alias("priority"))
+    asked = texts.select("field_config", "text").where("text is not null").distinct()
+    met = pattern_matches(asked, pattern_index(kept, "field_config"), "field_config").join(kept, ["field_config", "pattern"])
+    rated = _tried(F.col("text"), _word_count(F.col("text")), F.col("regex"), found_value(F.col("text"), F.col("regex"), F.col("groups")))
+    met = met.select("field_config", "text", (-F.col("priority")).alias("k"), "pattern", rated.alias("x"))
+    first = met.groupBy("field_config", "text", F.col("x.confidence").alias("confidence")).agg(F.min(F.struct("k", "pattern", F.col("x.value").alias("value"))).alias("x"))
+    found = first.groupBy("field_config", "text").agg(F.sort_array(F.collect_list(F.struct("x.k", "x.pattern", "confidence", "x.value"))).alias("found"))
+    learned = kept.select("field_config").distinct().withColumn("learned", F.lit(True))
+    told = asked.join(learned, "field_config", "left").join(found, ["field_config", "text"], "left")
+    rows = texts.join(told, ["field_config", "text"], "left")
+
+    shape = "struct<k:bigint,pattern:string,confidence:double,value:string>"
+    own = F.transform(F.coalesce("found", F.array().cast(f"array<{shape}>")), lambda x: F.struct(x["confidence"].alias("confidence"), x["value"].alias("value"), x["pattern"].alias("pattern")))
+    weak = F.coalesce("learned", F.lit(False)) == F.lit(False)
+    needed = weak | (F.coalesce(F.array_max(own["confidence"]), F.lit(0.0)) < 0.3)
+    base = F.when(needed, _default_tried(F.col("field_name"), F.col("text"), _word_count(F.col("text"))))
+    here = F.struct((F.col("place").cast("int") if many else F.lit(0)).alias("place"), own.alias("own"), base.alias("base"), F.coalesce("learned", F.lit(False)).alias("learned"))
+    # The written-out array of places keeps the fold below from repeating what it is made of.
+    places = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(here)).alias("places")) if many else rows.select(*keys, F.array(here).alias("places"))
+
+    def state(confidence: Column, value: Column, pattern: Column, place: Column, done: Column) -> Column:
+        return F.struct(confidence.alias("confidence"), value.alias("value"), pattern.alias("pattern"), place.alias("place"), done.alias("done"))
+
+    none = F.lit(None).cast("string")
+
+    def visit(s: Column, p: Column) -> Column:
+        step = lambda s, x: F.when(~s["done"] & (x["confidence"] > s["confidence"]), state(x["confidence"], x["value"], x["pattern"], p["place"], x["confidence"] >= 0.7)).otherwise(s)
+        base = p["base"]
+        taken = lambda s: ~s["done"] & (~p["learned"] | (s["confidence"] < 0.3)) & F.coalesce((base["confidence"] >= 0.5) & (base["confidence"] > s["confidence"]), F.lit(False))
+        return let(F.aggregate(p["own"], s, step), lambda s: F.when(taken(s), state(base["confidence"], base["value"], none, p["place"], F.lit(False))).otherwise(s))
+
+    start = state(F.lit(0.0), none, none, F.lit(0), F.lit(False))
+    fold = let(F.col("places"), lambda ps: F.struct(F.aggregate(ps, start, visit).alias("s"), F.exists(ps, lambda p: p["learned"]).alias("learned")))
+    out = places.select(*keys, F.explode(F.array(fold)).alias("x")).where("x.s.confidence > 0 and (not x.learned or x.s.confidence >= 0.5)")
+    return out.select(*keys, "x.s.value", "x.s.confidence", "x.s.pattern", "x.s.place")
+
+
+def all_places(texts: DataFrame) -> DataFrame:
+    """What the default pattern of each field finds at each of its places: ``document_id``, ``field_name``, ``place``, ``value``, ``confidence``."""
+    x = _default_tried(F.col("field_name"), F.col("text"), _word_count(F.col("text")))
+    return texts.select("document_id", "field_name", "place", F.explode(F.array(x)).alias("x")).where("x is not null").select("document_id", "field_name", "place", "x.value", "x.confidence")
 
 
 def field_texts(r: Relations) -> DataFrame:
@@ -189,6 +246,15 @@ def field_texts(r: Relations) -> DataFrame:
     )
 
 
+def field_places(r: Relations) -> DataFrame:
+    """The texts at each place of a field: the first as in ``field_texts``, for every third part a second one, on the next page, in which words stand the other way round."""
+    first = r.lines.select(
+        F.col("l_orderkey").alias("document_id"), F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("field_name"), F.col("p_brand").alias("field_config"),
+        F.array(F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.when(F.col("l_partkey") % 3 == 0, F.concat_ws(" ", "p_type", F.when(F.col("l_partkey") % 2 == 0, F.col("p_name"))))).alias("texts"),
+    )
+    return first.select("document_id", "field_name", "field_config", F.posexplode("texts").alias("place", "text")).where("text is not null")
+
+
 E02_SQL = """, learned as (select field_config, substr(pattern, 2) as head, max(priority) as priority from patterns where is_active and match_rate >= 0.7 group by all),
 tx as (select l_orderkey as document_id, 'field_' || l_linenumber as field_name, p_brand as field_config, p_name || ' ' || p_type || ' ' || p_brand as text from lines_x),
 hit as (select document_id, field_name, head, row_number() over (partition by document_id, field_name order by priority desc, head) as rn from tx join learned l on l.field_config = tx.field_config and starts_with(text, head)),
@@ -200,11 +266,37 @@ e02 as (select tx.document_id, tx.field_name, coalesce(trim(h.head), text) as va
 
 @query(E02_SQL + " select document_id, field_name, value, round(confidence, 6) as confidence from e02")
 def e02_rule_candidates(r: Relations) -> DataFrame:
-    """Rule-based values of every field: learned patterns by priority, then the default pattern of its name (E02, E03 with one location, F12, F13, F31)."""
+    """Rule-based values of every field: learned patterns by priority, then the default pattern of its name."""
     found = rule_candidates(field_texts(r), r.patterns.where("is_active and match_rate >= 0.7"))
     return found.select("document_id", "field_name", "value", F.round("confidence", 6).alias("confidence"))
 
 
+PLACES_SQL = """, pl as (select l_orderkey as document_id, 'field_' || l_linenumber as field_name, p_brand as field_config, unnest([0, 1]) as place,
+  unnest([p_name || ' ' || p_type || ' ' || p_brand, case when l_partkey % 3 = 0 then p_type || case when l_partkey % 2 = 0 then ' ' || p_name else '' end end]) as text from lines_x),
+pw as (select *, len(string_split_regex(trim(text), '\\s+')) as n from pl where text is not null),
+pc as (select *, case when n >= 3 then 0.15 when n = 2 then 0.1 else 0 end - case when n > 10 then 0.15 when n > 7 then 0.1 else 0 end as w from pw)"""
+
+
+@query(PLACES_SQL + """ select document_id, field_name, place, text as value, round(least(1.0, least(1.0, 0.5 + 0.3 + 0.1 + w) + 0.15), 6) as confidence from pc""")
+def e03_all_places(r: Relations) -> DataFrame:
+    """The default rule's value at every place of every field, which conflicts are sought between."""
+    return all_places(field_places(r)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(PLACES_SQL + """, learned as (select field_config, substr(pattern, 2) as head, max(priority) as priority from patterns where is_active and match_rate >= 0.7 group by all),
+hit as (select document_id, field_name, place, head, priority, least(1.0, least(1.0, 0.5 + case when trim(head) = head then 0.3 else -0.2 end + case when length(trim(head)) > 3 then 0.1 else -0.1 end + w) + 0.15) as confidence
+  from pc join learned l on l.field_config = pc.field_config and starts_with(text, head)),
+best as (select *, row_number() over (partition by document_id, field_name order by case when confidence >= 0.7 then 0 else 1 end, case when confidence < 0.7 then -confidence end, place, priority desc, head) as rn from hit),
+own as (select document_id, field_name, place, trim(head) as value, confidence from best where rn = 1),
+base as (select document_id, field_name, place, text as value, least(1.0, least(1.0, 0.5 + 0.3 + 0.1 + w) + 0.15) as confidence from pc where place = 0)
+select b.document_id, b.field_name, coalesce(o.place, b.place) as place, coalesce(o.value, b.value) as value, round(coalesce(o.confidence, b.confidence), 6) as confidence
+from base b left join own o on o.document_id = b.document_id and o.field_name = b.field_name and (o.place = 0 or o.confidence > b.confidence)""")
+def e03_rule_places(r: Relations) -> DataFrame:
+    """The rule ladder over all places of a field, in order, with its early stop."""
+    found = rule_candidates(field_places(r), r.patterns.where("is_active and match_rate >= 0.7"))
+    return found.select("document_id", "field_name", "place", "value", F.round("confidence", 6).alias("confidence"))
+
+
 @query(""", s as (select document_id, field_name, strategy, idx, value, confidence, count(*) over (partition by document_id, field_name) as tried,
   confidence * 0.35 + case strategy when 'crf' then 0.4 when 'rule_based' then 0.35 else 0.25 end * 0.25 + 0.5 * 0.4 as score from attempts where success and confidence >= 0.3)
 select document_id, field_name, strategy as method, value, round(case when tried = 1 then confidence else least(score, 1.0) end, 9) as confidence from s qualify row_number() over (partition by document_id, field_name order by round(score, 9) desc, idx) = 1""")
@@ -213,34 +305,47 @@ def e06_combine(r: Relations) -> DataFrame:
     return combined(r.attempts.where("success"))
 
 
+def _untold_score(strategy: Column, confidence: Column) -> Column:
+    """The hybrid score of a strategy that has no history."""
+    weight = F.when(strategy == "crf", 0.4).when(strategy == "rule_based", 0.35).otherwise(0.25)
+    return D.hybrid_score(confidence, weight, F.lit(0.5), F.lit(0))
+
+
 def combined(candidates: DataFrame) -> DataFrame:
     """The choice among ``candidates`` (``strategy``, ``idx``, ``value``, ``confidence``) of each field, for strategies without a history."""
-    weight = F.when(F.col("strategy") == "crf", 0.4).when(F.col("strategy") == "rule_based", 0.35).otherwise(0.25)
-    score = D.hybrid_score(F.col("confidence"), weight, F.lit(0.5), F.lit(0))
-    s = candidates.where("confidence >= 0.3").withColumn("score", score)
+    s = candidates.where("confidence >= 0.3").withColumn("score", _untold_score(F.col("strategy"), F.col("confidence")))
     best = F.min(F.struct((-F.round("score", 9)).alias("k"), "idx", "strategy", "value", "confidence", "score")).alias("x")
     c = s.groupBy("document_id", "field_name").agg(best, F.count("*").alias("tried"))
     confidence = F.when(F.col("tried") == 1, F.col("x.confidence")).otherwise(F.least("x.score", F.lit(1.0)))
     return c.select("document_id", "field_name", F.col("x.strategy").alias("method"), "x.value", F.round(confidence, 9).alias("confidence"))
 
 
+def _resolved(fields: DataFrame) -> DataFrame:
+    """``fields`` (with ``candidates``: value and confidence) plus ``values`` (distinct non-empty ones, each with its best confidence), ``similarity``, ``level``, ``resolved``, ``resolved_confidence``; null without a conflict."""
+    said = F.filter("candidates", lambda x: x["value"] != "")
+    best = let(said, lambda c: F.transform(F.array_sort(F.array_distinct(c["value"])), lambda v: F.struct(F.array_max(F.filter(c, lambda x: x["value"] == v)["confidence"]).alias("confidence"), v.alias("value"))))
+    rated = fields.withColumn("values", best).withColumn("similarity", mean_conflict_similarity("values.value"))
+    level = F.when(F.col("similarity").isNotNull(), D.conflict_level(F.col("similarity")))
+    longest = F.array_max(F.transform("values", lambda v: F.struct(F.length(v["value"]).alias("n"), v["value"].alias("value"))))["value"]
+    top = F.array_max("values")
+    minor = F.col("level") == "minor"
+    return rated.withColumn("level", level).withColumns({
+        "resolved": F.when(minor, longest).when(~minor, top["value"]), "resolved_confidence": F.when(minor, top["confidence"] * 0.95).when(~minor, top["confidence"]),
+    })
+
+
 def conflicts(candidates: DataFrame) -> DataFrame:
     """Fields with two different values or more, of ``document_id``, ``field_name``, ``value``, ``confidence``.
 
     ``similarity`` is the mean over the pairs of distinct values, ``level`` follows from it. ``resolved`` and
     ``confidence`` are, for minor conflicts, the longest value (of equally long ones the last in the alphabet)
     and 0.95 of the best confidence; otherwise the most confident value and its confidence. A field has at
-    most as many values as strategies or places, so its pairs are bounded.
+    most as many values as strategies and places, so its values make one bounded array and one shuffle does.
     """
     keys = ["document_id", "field_name"]
-    v = candidates.where("value <> ''").groupBy(*keys, "value").agg(F.max("confidence").alias("confidence"))
-    a, b = (v.select(*keys, F.col("value").alias(f"v{s}")) for s in "ab")
-    similarity = a.join(b, keys).where("va < vb").withColumn("similarity", conflict_similarity("va", "vb")).groupBy(*keys).agg(F.avg("similarity").alias("similarity"))
-    best = v.groupBy(*keys).agg(F.max(F.struct(F.length("value"), "value"))["value"].alias("longest"), F.max(F.struct("confidence", "value")).alias("top"))
-    c = similarity.join(best, keys).withColumn("level", D.conflict_level(F.col("similarity")))
-    minor = F.col("level") == "minor"
-    confidence = F.col("top.confidence") * F.when(minor, 0.95).otherwise(1.0)
-    return c.select(*keys, "similarity", "level", F.when(minor, F.col("longest")).otherwise(F.col("top.value")).alias("resolved"), confidence.alias("confidence"), (~minor).alias("requires_validation"))
+    fields = candidates.groupBy(*keys).agg(F.collect_list(F.struct("value", "confidence")).alias("candidates"))
+    c = _resolved(fields).where(F.size("values") > 1)
+    return c.select(*keys, "similarity", "level", "resolved", F.col("resolved_confidence").alias("confidence"), (F.col("level") != "minor").alias("requires_validation"))
 
 
 @query()
@@ -249,20 +354,38 @@ def e07_conflicts(r: Relations) -> DataFrame:
     return conflicts(r.attempts.where("success").select("document_id", "field_name", strict_norm(F.col("value")).alias("value"), "confidence"))
 
 
+@query()
+def e07_place_conflicts(r: Relations) -> DataFrame:
+    """Conflicts between the values at a field's places (E03 with E07)."""
+    return conflicts(all_places(field_places(r)).select("document_id", "field_name", strict_norm(F.col("value")).alias("value"), "confidence"))
+
+
 @query()
 def e01_all_fields(r: Relations) -> DataFrame:
     """Every field of every document end to end: rule candidates and the other strategies' attempts, the choice among them, conflicts, cleaning (E01 over E02, E06 to E08)."""
     keys = ["document_id", "field_name"]
-    rules = e02_rule_candidates(r).select(*keys, F.lit("rule_based").alias("strategy"), F.lit(1).alias("idx"), "value", "confidence")
+    found = rule_candidates(field_texts(r), r.patterns.where("is_active and match_rate >= 0.7"))
+    rules = found.select(*keys, F.lit("rule_based").alias("strategy"), F.lit(1).alias("idx"), "value", F.round("confidence", 6).alias("confidence"))
     others = r.attempts.where("success and strategy <> 'rule_based'").select(*keys, "strategy", "idx", "value", "confidence")
-    candidates = rules.unionByName(others)
-    chosen = combined(candidates)
-    c = conflicts(candidates.select(*keys, strict_norm(F.col("value")).alias("value"), "confidence")).select(*keys, "level", "resolved", F.col("confidence").alias("resolved_confidence"))
-    out = chosen.join(c, keys, "left")
+    return extracted(rules.unionByName(others))
+
+
+def extracted(candidates: DataFrame) -> DataFrame:
+    """``document_id``, ``field_name``, ``method``, ``value``, ``confidence``, ``conflict`` of each field that a candidate can fill.
+
+    ``candidates`` has ``document_id``, ``field_name``, ``strategy``, ``idx``, ``value``, ``confidence``. They are
+    brought together once, as a field's array (bounded by strategies and places); the choice, the conflict
+    between values and what it makes of value and confidence all read that array.
+    """
+    keys = ["document_id", "field_name"]
+    fields = candidates.groupBy(*keys).agg(F.collect_list(F.struct("idx", "strategy", "value", "confidence")).alias("all"))
+    scored = F.transform(F.filter("all", lambda x: x["confidence"] >= 0.3), lambda x: F.struct((-F.round(_untold_score(x["strategy"], x["confidence"]), 9)).alias("k"), x["idx"].alias("idx"), x["strategy"].alias("strategy"), x["value"].alias("value"), x["confidence"].alias("confidence"), _untold_score(x["strategy"], x["confidence"]).alias("score")))
+    fields = fields.select(*keys, let(scored, lambda s: F.struct(F.array_min(s).alias("best"), F.size(s).alias("tried"))).alias("c"), F.transform("all", lambda x: F.struct(strict_norm(x["value"]).alias("value"), x["confidence"].alias("confidence"))).alias("candidates"))
+    out = _resolved(fields.where("c.tried > 0"))
     minor = F.coalesce(F.col("level") == "minor", F.lit(False))
-    value = F.when(minor, F.col("resolved")).otherwise(F.col("value"))
-    confidence = F.when(minor, F.col("resolved_confidence")).otherwise(F.col("confidence"))
-    return out.select(*keys, "method", collapse_blanks(generic_clean(value)).alias("value"), F.round(confidence, 9).alias("confidence"), F.coalesce("level", F.lit("none")).alias("conflict"))
+    own = F.when(F.col("c.tried") == 1, F.col("c.best.confidence")).otherwise(F.least("c.best.score", F.lit(1.0)))
+    value, confidence = F.when(minor, F.col("resolved")).otherwise(F.col("c.best.value")), F.when(minor, F.col("resolved_confidence")).otherwise(own)
+    return out.select(*keys, F.col("c.best.strategy").alias("method"), collapse_blanks(generic_clean(value)).alias("value"), F.round(confidence, 9).alias("confidence"), F.coalesce("level", F.lit("none")).alias("conflict"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as X
+from fieldloom.functions.patterns import checked, pattern_index, pattern_matches
 from fieldloom.operators.metrics import changed
 from fieldloom.plans.registry import query
 from fieldloom.sources.relations import Relations
@@ -142,11 +143,27 @@ def a55_inconsistency(r: Relations) -> DataFrame:
 @query(r""", v as (select distinct field_name, p_brand as field_config, corrected_value as v from feedback join lines_x on l_orderkey = document_id and field_name = 'field_' || l_linenumber), p as (select distinct field_config, pattern from patterns where is_active)
 select field_config, pattern, count(*) filter (regexp_matches(v, pattern)) as hits, count(*) as tried from p join v using (field_config) group by all""")
 def j25_pattern_validation(r: Relations) -> DataFrame:
-    """Each learned pattern against the distinct corrected values of its own field configuration: an equi-join on the configuration."""
+    """Each learned pattern against the distinct corrected values of its own field configuration, through the index of the literals that patterns require."""
     own = r.lines.select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("field_name"), F.col("p_brand").alias("field_config"))
     v = r.feedback.join(own, ["document_id", "field_name"]).select("field_name", "field_config", F.col("corrected_value").alias("v")).distinct()
     p = r.patterns.where("is_active").select("field_config", "pattern").distinct()
-    return v.join(p, "field_config").groupBy("field_config", "pattern").agg(F.count_if(F.expr("v rlike pattern")).alias("hits"), F.count("*").alias("tried"))
+    counted = v.groupBy("field_config", "v").agg(F.count("*").alias("n"))
+    met = pattern_matches(counted.select("field_config", "v"), pattern_index(p, "field_config"), "field_config", "v").join(counted, ["field_config", "v"])
+    hits = met.groupBy("field_config", "pattern").agg(F.sum("n").alias("hits"))
+    tried = counted.groupBy("field_config").agg(F.sum("n").alias("tried"))
+    return p.join(tried, "field_config").join(hits, ["field_config", "pattern"], "left").select("field_config", "pattern", F.coalesce("hits", F.lit(0)).alias("hits"), "tried")
+
+
+@query(r""", p as (select pattern_id, field_config, case pattern_id % 6 when 0 then '/' || pattern || '/gi' when 1 then 'r' || chr(39) || pattern || chr(39) when 2 then '"' || pattern || '"' when 3 then ' (' || pattern || ' ' when 4 then '' else pattern end as given from patterns where is_active)
+select pattern_id, field_config, given, case pattern_id % 6 when 4 then null when 3 then null when 5 then trim(given) else '^' || substr(given, instr(given, '^') + 1, 4) end as pattern, pattern_id % 6 not in (3, 4) as valid from p""")
+def f32_pattern_checks(r: Relations) -> DataFrame:
+    """Patterns as people type them, between slashes, as literals or broken, out of their delimiters and checked (F32)."""
+    k, p = F.col("pattern_id") % 6, F.col("pattern")
+    q = F.lit("'")
+    given = F.when(k == 0, F.concat(F.lit("/"), p, F.lit("/gi"))).when(k == 1, F.concat(F.lit("r"), q, p, q)).when(k == 2, F.concat(F.lit('"'), p, F.lit('"'))).when(k == 3, F.concat(F.lit(" ("), p, F.lit(" "))).when(k == 4, "").otherwise(p)
+    typed = r.patterns.where("is_active").select("pattern_id", "field_config", given.alias("given")).withColumn("bare", X.sanitise_pattern(F.col("given")))
+    looked = checked(typed, "bare").select(F.col("pattern").alias("bare"), F.col("error").isNull().alias("valid"))
+    return typed.join(looked, "bare").select("pattern_id", "field_config", "given", F.when(F.col("valid"), F.col("bare")).alias("pattern"), "valid")
 
 
 @query()
