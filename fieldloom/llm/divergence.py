@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import Workspace
 
 SLICE_TERMS = 32_768  # about so many terms of a language are compared in one task
+SLICE_PARTS = 256  # parts of a slice in which its terms are numbered
 BLOCK_GROUPS = 8  # groups that stay in one task while the others pass by
 PENDING = 400_000  # entries a task counts before it hands them on
 UNIT = 1_000_000_000  # shares are counted in billionths
@@ -98,9 +99,13 @@ def divergence_audit(docs: DataFrame, min_docs: int = 30, top_terms: int = 50, s
         langs = langs.select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
         langs = work.keep(langs.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("v") / slice_terms)).cast("int")), "langs")
 
-        place = Window.partitionBy("lang", "slice").orderBy("term")
-        terms = kept.join(langs, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int"))
-        terms = terms.select("lang", "term", "slice", (F.row_number().over(place) - 1).alias("idx"), F.expr(_share("lang_n", "lang_total", "v")).alias("q"))
+        # Terms are numbered within parts of a slice, each from where the parts before it end.
+        part = ["lang", "slice", "part"]
+        place, before = Window.partitionBy(*part).orderBy("term"), Window.partitionBy("lang", "slice").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        terms = kept.join(langs, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int")).withColumn("part", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(SLICE_PARTS)).cast("int"))
+        begins = terms.groupBy(*part).agg(F.count("*").alias("n")).select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+        numbered = terms.withColumn("nth", F.row_number().over(place) - 1).join(begins, part)
+        terms = numbered.select("lang", "term", "slice", (F.col("begin") + F.col("nth")).alias("idx"), F.expr(_share("lang_n", "lang_total", "v")).alias("q"))
         entries = work.keep(counts.where("n > 0").join(terms, ["lang", "term"]).select("lang", "source", "term", "n", "slice", "idx", "q"), "term-entries")
         sizes = entries.groupBy("lang", "slice").agg((F.max("idx") + 1).alias("size"))
 
