@@ -15,7 +15,7 @@ SAMPLE_ROWS = 4096  # rows, by hash of their id, that pivots are fitted on
 PIVOTS = 64
 PAGE_ROWS = 1024  # neighbours in the order of keys that are read together
 BLOCK_QUERIES = 64  # queries near the same pivot that share the reading of pages
-FIRST_GROWTH = 0.1  # where a query has found too few, its radius grows by half, from this share of the longest norm on
+FIRST_GROWTH = 0.25  # where nothing bounds a query that has found too few, its radius doubles, from this share of the longest norm on
 _SAFE = 2**52
 
 
@@ -71,7 +71,8 @@ class Index:
 
     ``longest`` is the largest squared norm: every vector gets one component more, which lifts its squared norm
     to it, so that the nearest vectors of a query (whose own such component is 0) are those of the largest
-    inner product. ``centres`` are the pivots, in the lifted space.
+    inner product. ``centres`` are the pivots, in the lifted space. ``sample`` are the ids, labels and vectors
+    that they were fitted on: rows of the index too, so that their scores bound those of the best.
     """
 
     rows: DataFrame
@@ -79,6 +80,7 @@ class Index:
     centres: object
     longest: float
     width: int
+    sample: tuple
 
 
 def _fit(sample, longest: float, pivots: int):
@@ -106,8 +108,9 @@ def build_index(vectors: DataFrame, work: Workspace, pivots: int = PIVOTS, page_
     if size[0] is None:
         return None
     longest, width = float(size[0]), max(1, int(size[1]))
-    sample = vectors.select("weights", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE_ROWS).collect()
-    centres = _fit(_padded([np.array(r["weights"], np.int64) for r in sample], width), longest, pivots)
+    rows = vectors.select("weights", "label", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE_ROWS).collect()
+    sample = (np.array([r["id"] for r in rows]), np.array([r["label"] for r in rows]), _padded([np.array(r["weights"], np.int64) for r in rows], width))
+    centres = _fit(sample[2], longest, pivots)
 
     def assign(batches: Iterator) -> Iterator:
         import numpy as np
@@ -141,7 +144,7 @@ def build_index(vectors: DataFrame, work: Workspace, pivots: int = PIVOTS, page_
 
     rows = work.keep(stored.mapInArrow(number, "id long, label long, weights array<bigint>, pivot int, distance double, page long"), "index")
     pages = work.keep(rows.groupBy("page").agg(F.first("pivot").alias("pivot"), F.min("distance").alias("near"), F.max("distance").alias("far")), "index-pages")
-    return Index(rows.select("page", "id", "label", "weights"), pages, centres, longest, width)
+    return Index(rows.select("page", "id", "label", "weights"), pages, centres, longest, width, sample)
 
 
 def search(index: Index, queries: DataFrame, k: int, same_label: bool) -> DataFrame:
@@ -152,12 +155,14 @@ def search(index: Index, queries: DataFrame, k: int, same_label: bool) -> DataFr
 
     Queries near the same pivot form blocks. A page whose keys lie ``gap`` from the block's own distances to
     the pivot holds nothing nearer than ``gap`` (triangle inequality). So a block first reads the pages
-    around its own keys at every pivot, then, with the radius that its k-th best distances or lowest scores
-    demand, the pages between the last radius and the new one, until no page within it is unread. Pages that
-    lie too near for the highest window are skipped. All bounds have a margin for rounding; scores are exact
-    integers, so the result is that of an exhaustive search.
+    around its own keys at every pivot, then, with the radius that its k-th best distances demand, the pages
+    between the last radius and the new one, until no page within it is unread. Where less than k are found,
+    the k-th best of the index's sample or the lowest score of the window bounds the radius; where nothing
+    does, it doubles. Pages that lie too near for the highest window are skipped. All bounds have a margin for
+    rounding; scores are exact integers, so the result is that of an exhaustive search.
     """
     centres, longest, width = index.centres, index.longest, index.width
+    known_ids, known_labels, known = index.sample
     margin = 1e-6 * (1 + math.sqrt(longest))
     shape = "id long, label long, weights array<bigint>, windows array<struct<lo:bigint,hi:bigint>>"
 
@@ -169,17 +174,29 @@ def search(index: Index, queries: DataFrame, k: int, same_label: bool) -> DataFr
             x = _padded(_vectors(batch.column(2)), width).astype(float)
             d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * x @ centres[:, :width].T))
             own = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(list(d), pa.list_(pa.float64()))], names=["id", "label", "weights", "windows", "own", "distances"])
+            scores = _scores(_padded(_vectors(batch.column(2)), width), known)
+            bounds = [bound(*x) for x in zip(scores, *(batch.column(c).to_pylist() for c in (0, 1, 3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(list(d), pa.list_(pa.float64())), pa.array(bounds, pa.int64())], names=["id", "label", "weights", "windows", "own", "distances", "bound"])
+
+    def bound(line, key, label, windows):
+        """A score that the k-th best of every window reaches, by the sample alone; None if it has too few."""
+        import numpy as np
+
+        line = line[((known_labels == label) == same_label) & (known_ids != key)]
+        inside = [line[(line >= w["lo"]) & (line <= w["hi"])] for w in windows]
+        return min((int(np.partition(x, len(x) - k)[len(x) - k]) for x in inside), default=None) if all(len(x) >= k for x in inside) else None
 
     def reach(score: Column) -> Column:
         """Distance of a query to the vectors of a score."""
         return F.sqrt(F.greatest(F.lit(0.0), _square("weights") + longest - 2 * score.cast("double")))
 
     with Workspace(queries.sparkSession) as work:
-        placed = queries.select("id", "label", "weights", "windows").mapInArrow(place, shape + ", own int, distances array<double>")
+        placed = queries.select("id", "label", "weights", "windows").mapInArrow(place, shape + ", own int, distances array<double>, bound long")
         asked = placed.withColumn("nth", F.row_number().over(Window.partitionBy("own", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")))
         asked = asked.withColumn("block", F.xxhash64("own", F.pmod(F.xxhash64("id"), F.lit(256)), F.expr(f"nth div {BLOCK_QUERIES}"))).drop("nth", "own")
-        ends = asked.withColumns({"inner": reach(F.array_max(F.transform("windows", lambda w: w["hi"]))) - margin, "outer": F.least(reach(F.array_min(F.transform("windows", lambda w: w["lo"]))), F.sqrt(_square("weights")) + math.sqrt(longest)) + margin})
+        low = F.array_min(F.transform("windows", lambda w: w["lo"]))
+        farthest = F.least(reach(low), F.sqrt(_square("weights")) + math.sqrt(longest), F.when(F.col("bound").isNotNull(), reach(F.col("bound"))).otherwise(math.inf)) + margin
+        ends = asked.withColumns({"inner": reach(F.array_max(F.transform("windows", lambda w: w["hi"]))) - margin, "outer": farthest, "sure": F.col("bound").isNotNull() | (low > -(2**63))})
         asked = work.keep(ends.withColumns({"inner": F.greatest("inner", F.lit(0.0)), "want": F.size("windows")}), "queries")
         spans = asked.select("block", "inner", F.posexplode("distances").alias("pivot", "d")).groupBy("block", "pivot").agg(F.min("d").alias("dmin"), F.max("d").alias("dmax"), F.min("inner").alias("inner"))
         spans = work.keep(spans, "spans")
@@ -197,7 +214,7 @@ def search(index: Index, queries: DataFrame, k: int, same_label: bool) -> DataFr
             best = work.keep(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
             full = best.groupBy("id", "window").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).groupBy("id").agg(F.count("*").alias("full"), F.min("least").alias("least"))
             need = asked.join(full, "id", "left").join(radii, "block")
-            grown = F.greatest(F.col("radius") * 1.5, F.lit(FIRST_GROWTH * math.sqrt(longest) + margin))
+            grown = F.when(F.col("sure"), F.col("outer")).otherwise(F.greatest(F.col("radius") * 2, F.lit(FIRST_GROWTH * math.sqrt(longest) + margin)))
             need = need.withColumn("need", F.least("outer", F.when(F.col("full") >= F.col("want"), reach(F.col("least")) + margin).otherwise(grown)))
             radii = work.keep(need.groupBy("block").agg(F.first("radius").alias("done"), F.max("need").alias("radius")), "radii")
             work.drop(old)

@@ -42,6 +42,7 @@ def test_results_equal_an_exhaustive_search(spark, monkeypatch, dims, pivots, pa
     monkeypatch.setattr(negatives, "BLOCK_QUERIES", block)
     rnd = random.Random(dims)
     rows = clustered(rnd, 900, dims, 20) + odd_rows(rnd, dims)
+    monkeypatch.setattr(negatives, "SAMPLE_ROWS", {3: 40, 8: 4096, 2: 300}[dims])
     rnd.shuffle(rows)
     df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, label int, embedding array<double>, page string, distance double").repartition(5)
     vectors = negatives.labelled_vectors(df)
