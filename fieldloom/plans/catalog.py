@@ -1,7 +1,7 @@
 """All registered queries: importing the operator modules fills the registry."""
 
-from fieldloom.operators import evaluation, extraction, jobs, metrics, mining, relational, sequence, services, windows  # noqa: F401
+from fieldloom.operators import evaluation, extraction, jobs, metrics, mining, relational, sequence, services, walk, windows  # noqa: F401
 from fieldloom.plans.registry import ORACLE, QUERIES
-from fieldloom.streaming import learning  # noqa: F401
+from fieldloom.streaming import learning, worker  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -142,7 +142,7 @@ def adapter_sql(query: str) -> str:
     """``query`` over the relations, in SQL that DuckDB runs on the tables."""
     order = ", ".join(LINE_ORDER)
     return f"""
-with templates_x as (select row_number() over (order by name) as template_id, name from (select distinct c_mktsegment as name from customer)),
+with recursive templates_x as (select row_number() over (order by name) as template_id, name from (select distinct c_mktsegment as name from customer)),
 docs_x as (
   select o_orderkey as document_id, template_id, name as template_name, o_orderdate as created_at,
          case o_orderstatus when 'F' then 'validated' when 'O' then 'extracted' else 'pending' end as status,
