@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,30 +126,73 @@ def a40_paired_t(r: Relations) -> DataFrame:
     return paired_t(p, "b", "a").select("n", "df", F.round("t", 6).alias("t"), F.round("d", 6).alias("d"))
 
 
-def bootstrap(values: DataFrame, column: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """``low`` and ``high``: percentiles 2.5 and 97.5 of the mean over Poisson resamples.
+def bootstrap(values: DataFrame, column: str, by: list[str] | None = None, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """``n``, ``mean``, ``std``, ``least``, ``most``, ``low``, ``high`` of the means of ``replicates`` resamples of all rows, for each group of ``by``.
+
+    A row's weight in a resample is a Poisson(1) number, so rows need not know each other (Poisson bootstrap).
+    Rows of equal value are drawn together: n of them have a Poisson(n) weight. Draws are seeded by value, group
+    and ``seed`` and so are the same on every run and in any partitioning. ``low`` and ``high`` are percentiles 2.5
+    and 97.5 with linear interpolation; ``std`` is that of the population. Nulls and NaN take no part; a group
+    without values has no row.
 
-    A row's weight in a replicate is a Poisson(1) number drawn by a hash of row id, replicate and seed, so
-    replicates need no global shuffle of rows and come out the same on every run. ``values`` has ``id``.
-    Rows are counted by value first: a metric with few values makes few rows to resample.
+    Rows are counted by value first. A task then keeps two arrays of ``replicates`` sums for the group at hand and hands
+    on one row per group, so what is shuffled is groups x tasks x replicates numbers, whatever the rows.
     """
-    u = (F.shiftrightunsigned(F.xxhash64("id", "rep", F.lit(seed)), 11)).cast("double") / F.lit(float(1 << 53))
-    cuts, total, p = [], 0.0, 2.718281828459045**-1
-    for k in range(12):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
-    rows = values.select("id", F.col(column).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", weight)
-    means = rows.groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"))
+    if not by:  # all rows are one group
+        return bootstrap(values.select(F.lit(1).alias("all"), column), column, ["all"], replicates, seed).drop("all")
+    x = F.col(column).cast("double")
+    counted = values.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias("v")).agg(F.count("*").alias("n"))
+    keyed = counted.select(F.to_json(F.struct(F.lit(1).alias("_"), *by)).alias("g"), F.struct(F.lit(1).alias("_"), *by).alias("group"), "v", "n", F.xxhash64("v", *by).alias("h"))
+    keyed = keyed.sortWithinPartitions("g", "v")
+    shape = T.StructType([keyed.schema["group"], T.StructField("n", T.LongType()), T.StructField("totals", T.ArrayType(T.DoubleType())), T.StructField("weights", T.ArrayType(T.LongType()))])
+
+    def draw(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def row(group, n, totals, weights):
+            return pa.RecordBatch.from_arrays([group, pa.array([n]), pa.array([totals], pa.list_(pa.float64())), pa.array([weights], pa.list_(pa.int64()))], names=["group", "n", "totals", "weights"])
+
+        now, group, n, totals, weights = None, None, 0, None, None
+        for batch in batches:
+            for k, (g, v, count, h) in enumerate(zip(batch.column(0).to_pylist(), *(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+                if g != now:
+                    if now is not None:
+                        yield row(group, n, totals, weights)
+                    now, group, n, totals, weights = g, batch.column(1).slice(k, 1), 0, np.zeros(replicates), np.zeros(replicates, np.int64)
+                w = poisson_weights(h, count, replicates, seed)
+                n += count
+                totals += w * v
+                weights += w
+        if now is not None:
+            yield row(group, n, totals, weights)
+
+    sums = keyed.mapInArrow(draw, shape)
+    keys = [F.col(f"group.{c}").alias(c) for c in by]
+    each = sums.select(*keys, "n", F.posexplode(F.arrays_zip("totals", "weights")).alias("rep", "x")).groupBy(*by, "rep").agg(F.sum("n").alias("n"), F.try_divide(F.sum("x.totals"), F.sum("x.weights")).alias("m"))
+    return each.where("m is not null").groupBy(*by).agg(
+        F.max("n").alias("n"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.min("m").alias("least"), F.max("m").alias("most"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")
+    )
+
+
+def poisson_weights(h: int, n: int, replicates: int, seed: int):
+    """The weights of ``n`` equal rows in every resample."""
+    import numpy as np
+
+    return np.random.Generator(np.random.Philox(key=[h & (2**64 - 1), seed])).poisson(n, replicates)
 
 
 @query()
 def a41_bootstrap(r: Relations) -> DataFrame:
-    """Confidence interval of the mean confidence over fields."""
-    per = r.facts.groupBy("field_name").agg(F.avg("confidence").alias("c")).select(F.xxhash64("field_name").alias("id"), "c")
-    return bootstrap(per, "c")
+    """Confidence intervals of each field's mean confidence over all facts."""
+    return bootstrap(r.facts, "confidence", ["field_name"])
+
+
+@query()
+def a41_bootstrap_accuracy(r: Relations) -> DataFrame:
+    """Confidence intervals of accuracy by template, resampling the documents' fields, and of all together."""
+    hits = against_truth(r).join(r.documents.select("document_id", "template_name"), "document_id").select("template_name", (F.col("extracted") == F.col("truth")).cast("double").alias("hit"))
+    return bootstrap(hits, "hit", ["template_name"])
 
 
 @query(TRUTH + """, x as (select count(*) as n, count(*) filter (extracted <> truth) as wrong, count(*) filter (extracted = truth) as correct from g)

@@ -5,6 +5,7 @@ import re
 import statistics
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,10 +115,31 @@ def test_experiments_and_curves_from_json(spark, tmp_path):
     assert [(r["template_id"], r["batch"], round(r["improvement"], 9), round(r["delta"], 9)) for r in curve.orderBy("batch").collect()] == [(1, 0, 0.0, 0.0), (1, 1, 0.25, 0.25), (1, 2, 0.2, -0.05)]
 
 
+def test_bootstrap_equals_a_plain_loop(spark):
+    rows = [("a" if i % 3 else "b", float(i % 7), "x") for i in range(210)] + [("c", 2.5, "x"), ("c", None, "x"), ("d", None, "x"), ("a", float("nan"), "x"), (None, 1.0, "x"), (None, 3.0, "x")]
+    df = spark.createDataFrame(rows, "g string, v double, n string").repartition(3)
+    got = {r["g"]: r for r in evaluation.bootstrap(df, "v", ["g"], replicates=150).collect()}
+    keys = {(r["g"], r["v"]): (r["n"], r["h"]) for r in df.where("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("v", "g")).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in got:
+        means = []
+        drawn = {v: evaluation.poisson_weights(h, n, 150, 42) for (k, v), (n, h) in keys.items() if k == g}
+        for rep in range(150):
+            weight = sum(int(w[rep]) for w in drawn.values())
+            if weight:
+                means.append(sum(float(v) * int(w[rep]) for v, w in drawn.items()) / weight)
+        want = (np.mean(means), np.std(means), min(means), max(means), np.percentile(means, 2.5), np.percentile(means, 97.5))
+        assert got[g]["n"] == sum(n for (k, _), (n, _) in keys.items() if k == g)
+        assert np.allclose([got[g][c] for c in ("mean", "std", "least", "most", "low", "high")], want)
+    again = {r["g"]: r["low"] for r in evaluation.bootstrap(df.repartition(7), "v", ["g"], replicates=150).collect()}
+    assert all(abs(again[g] - got[g]["low"]) < 1e-12 for g in got)
+
+
 def test_bootstrap_covers_the_mean(spark):
     rows = [(i, float(i % 10)) for i in range(200)]
-    got = evaluation.bootstrap(spark.createDataFrame(rows, "id long, v double"), "v", 200).first()
-    assert got["low"] < 4.5 < got["high"] and got["high"] - got["low"] < 1.2
+    got = evaluation.bootstrap(spark.createDataFrame(rows, "id long, v double"), "v", replicates=200).first()
+    assert got["low"] < 4.5 < got["high"] and 0.4 < got["high"] - got["low"] < 1.2 and got["n"] == 200
+    assert evaluation.bootstrap(spark.createDataFrame([], "v double"), "v").count() == 0
 
 
 def test_results_round_trip_through_json(spark, tmp_path):
