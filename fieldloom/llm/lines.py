@@ -15,7 +15,7 @@ STEPS = 2  # of rarity in each doubling of a word's count
 HASH = (1 << 56) - 1  # a token is a word's rarity above these bits of its hash
 LIST = 512  # lines that a posting list is expected to have at most; a key takes more words beyond it
 OFTEN = 64  # occurrences from which a word may be that of a large group
-WIDE = 400  # words from which lines are keyed by neighbouring words
+WIDE = 64  # words up to which common words are keyed by choices of them, and from 4/5 of which by neighbours
 CROWD = 16  # lines from which a group meets its heads first
 HEADS = 8  # parts of a group whose first lines are heads
 BROADCAST_ROWS = 400_000  # rows (keys or places of lines, 60 bytes at most) up to which a table is broadcast
@@ -88,7 +88,8 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFram
         rows = _with_tokens(lines_, rarity, bits)
         parity = [F.expr(f"aggregate(tokens, 0L, (bits, t) -> if(t & 64 = {half}, bits ^ shiftleft(1L, cast(t & 63 as int)), bits))").alias(p) for p, half in zip(PARITY, (0, 64))]
         rows = rows.select(*PLACE, F.xxhash64("line").alias("key"), n.alias("n"), *parity, "tokens")
-        head = F.greatest(F.when(F.col("n") <= WIDE, _lacked() + 3).otherwise(0), F.when(F.col("n") * DEN >= WIDE * NUM, _differ() * 2 + 2).otherwise(0))
+        light = F.coalesce(_level(F.get("tokens", _lacked())) <= _steps(LIST), F.lit(True))
+        head = F.greatest(F.when(F.col("n") <= WIDE, _lacked() + 3).otherwise(_lacked() + 1), F.when((F.col("n") * DEN >= WIDE * NUM) & ~light, _differ() * 3 + 3).otherwise(0))
         rows = rows.select(*PLACE, "key", "n", *PARITY, F.slice("tokens", F.lit(1), head).alias("head"))
         entries = rows.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", *PARITY, "head")))
         entries = work.keep(entries.select("key", "place.*", "copies", "n", *PARITY, "head"), "line-entries")
@@ -114,7 +115,7 @@ def _crowded(entries: DataFrame, work: Workspace) -> DataFrame:
     """
     often = F.filter(F.slice("head", F.lit(1), _lacked() + 3), lambda t: _level(t) > _steps(OFTEN))
     pair = lambda k: F.xxhash64(F.get("often", F.lit(k)), F.get("often", F.lit(k + 1)))
-    member = entries.where(F.col("n") <= WIDE).select("key", *PLACE, "n", *PARITY, "copies", often.alias("often"))
+    member = entries.select("key", *PLACE, "n", *PARITY, "copies", often.alias("often"))
     member = member.select("key", *PLACE, "n", *PARITY, "copies", F.explode(F.array(*(F.when(F.size("often") >= k + 2, pair(k)) for k in (0, 2, 4)))).alias("group")).where("group is not null")
     crowds = work.keep(member.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD).select("group"), "line-crowds")
     member = work.keep(member.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds, "group"), "line-members")
@@ -148,16 +149,19 @@ def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
     """``token`` and what the join asks of a line: ``key``, ``doc``, ``n``, ``odd``, ``odder``, ``miss``, ``wide``, ``open``.
 
     Similar lines x and y share at least k of the first lacked + k words of both, words by rarity, for every
-    k up to their overlap. A posting's key is their first shared word, if few lines have it; the first two,
-    if few lines are expected to have both; else the first three (lines of two words, which match only such
-    lines, stop at two, those of one word at one). So each line emits every choice of that many of its first
-    words, most of them single rare ones. A word that occurs once in the corpus can't be shared. ``miss`` is
-    how many words before the key's last one are not in the key: none of them is shared.
-
-    Lines of ``WIDE`` words or more, and of at least 4/5 of that for each other's sake, are keyed by
-    neighbours instead, as choices would grow with the square of their words: if x and y differ in D words,
-    then among the first 2D + 2 words of both together at least D + 2 are shared, so two of these are
-    neighbours in both. ``miss`` is then the place of the first of the two.
+    k up to their overlap. If few lines have their first shared word, it is their key: it is among the first
+    lacked + 1 words of both. Else all that they share is common, and so are words among the first lacked + 1 of
+    either. Then the key is a choice of more words, in lines of ``WIDE`` words at most: the first two that they
+    share, if few lines are expected to have both; else the first three (lines of two words, which match only
+    such lines, stop at two, those of one word at one). ``miss`` is how many words before the key's last one are
+    not in the key: none of them is shared.
+
+    In lines of more words, and of at least 4/5 of ``WIDE`` for each other's sake, it is a run of neighbours, as
+    choices grow with a power of the line: if x and y differ in D words, two neighbours are shared among the
+    first 2D + 2 words of both together, and three among the first 3D + 3. The first such two are the key if few
+    lines are expected to have both; else later ones are commoner still, and the first three are. So a word
+    begins one key at most, and a line has fewer keys than words. ``miss`` is then the place of the first of them.
+    A word that occurs once in the corpus can't be shared.
     """
     lines_ = max(1, entries.count())
     often, paired = _steps(LIST), _steps(LIST * lines_)
@@ -166,17 +170,19 @@ def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
     base = open_.select("key", "doc", "n", *PARITY, F.col("gone").isNull().alias("open"), "head")
     kept = ("key", "doc", "n", *PARITY, "open")
     no = F.array(F.lit(-1).cast("long"))
-    one = base.where(F.col("n") <= WIDE).select(*kept, "head", _lacked().alias("d"), F.posexplode(F.slice("head", F.lit(1), _lacked() + 1)).alias("i", "t")).where(_level(F.col("t")) > 0)
+    one = base.select(*kept, "head", _lacked().alias("d"), F.posexplode(F.slice("head", F.lit(1), _lacked() + 1)).alias("i", "t")).where(_level(F.col("t")) > 0)
     few = (_level(F.col("t")) <= often) | (F.col("n") == 1)
-    two = one.select(*kept, "head", "d", "i", "t", F.posexplode(F.when(few, no).otherwise(F.slice("head", F.col("i") + 2, F.col("d") + 1 - F.col("i")))).alias("j", "u"))
+    two = one.where(few | (F.col("n") <= WIDE)).select(*kept, "head", "d", "i", "t", F.posexplode(F.when(few, no).otherwise(F.slice("head", F.col("i") + 2, F.col("d") + 1 - F.col("i")))).alias("j", "u"))
     few = (F.col("u") < 0) | (_level(F.col("t")) + _level(F.col("u")) <= paired) | (F.col("n") == 2)
     at = F.col("i") + F.col("j") + 1
     three = two.select(*kept, "i", "j", "t", "u", F.posexplode(F.when(few, no).otherwise(F.slice("head", at + 2, F.col("d") + 2 - at))).alias("k", "v"))
-    narrow = three.select(F.xxhash64("t", "u", "v").alias("token"), *kept, (F.col("i") + F.col("j") + F.col("k")).alias("miss"), F.lit(False).alias("wide"))
+    chosen = three.select(F.xxhash64("t", "u", "v").alias("token"), *kept, (F.col("i") + F.col("j") + F.col("k")).alias("miss"), F.lit(False).alias("wide"))
 
-    wide = base.where(F.col("n") * DEN >= WIDE * NUM).select(*kept, "head", F.posexplode(F.slice("head", F.lit(1), _differ() * 2 + 1)).alias("miss", "t"))
-    wide = wide.withColumn("u", F.get("head", F.col("miss") + 1)).where(F.col("u").isNotNull() & (_level(F.col("t")) > 0) & (_level(F.col("u")) > 0))
-    return narrow.unionByName(wide.select(F.xxhash64("t", "u", F.lit(-2).cast("long")).alias("token"), *kept, "miss", F.lit(True).alias("wide")))
+    run = base.where(F.col("n") * DEN >= WIDE * NUM).select(*kept, "head", _differ().alias("most"), F.posexplode(F.slice("head", F.lit(1), _differ() * 3 + 1)).alias("miss", "t")).where(_level(F.col("t")) > often)
+    run = run.withColumns({"u": F.get("head", F.col("miss") + 1), "v": F.get("head", F.col("miss") + 2)})
+    few = _level(F.col("t")) + _level(F.col("u")) <= paired
+    token = F.when(few, F.when(F.col("miss") <= F.col("most") * 2, F.xxhash64("t", "u", F.lit(-2).cast("long")))).when(F.col("v").isNotNull(), F.xxhash64("t", "u", "v", F.lit(-3).cast("long")))
+    return chosen.unionByName(run.select(token.alias("token"), *kept, "miss", F.lit(True).alias("wide")).where("token is not null"))
 
 
 def _met(posting: DataFrame) -> DataFrame:

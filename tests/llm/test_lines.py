@@ -44,7 +44,7 @@ def made_lines(rnd, sizes, vocabulary, groups, change):
     return made
 
 
-@pytest.mark.parametrize("seed,expected,wide,crowd", [(1, 64, 400, 16), (2, 2, 400, 2), (3, 1, 9, 1), (4, 0.01, 400, 3), (5, 4, 6, 2)])
+@pytest.mark.parametrize("seed,expected,wide,crowd", [(1, 64, 400, 16), (2, 2, 400, 2), (3, 1, 9, 1), (4, 0.01, 400, 3), (5, 4, 6, 2), (6, 0.01, 6, 400), (7, 1, 7, 400)])
 def test_line_dedup_is_exact(spark, monkeypatch, seed, expected, wide, crowd):
     """Keys of one, two and three words, neighbours of wide lines and crowds of any size find the same repeats as all pairs."""
     for name, value in (("LIST", expected), ("WIDE", wide), ("CROWD", crowd)):
@@ -56,7 +56,7 @@ def test_line_dedup_is_exact(spark, monkeypatch, seed, expected, wide, crowd):
     assert removed(spark, rows) == brute_lines(rows)
 
 
-@pytest.mark.parametrize("expected,wide", [(64, 400), (1, 400), (1, 30)])
+@pytest.mark.parametrize("expected,wide", [(64, 400), (1, 400), (1, 30), (0.01, 64)])
 def test_long_lines_are_exact(spark, monkeypatch, expected, wide):
     monkeypatch.setattr(lines, "LIST", expected)
     monkeypatch.setattr(lines, "WIDE", wide)
@@ -67,6 +67,27 @@ def test_long_lines_are_exact(spark, monkeypatch, expected, wide):
     assert want and removed(spark, rows) == want
 
 
+@pytest.mark.parametrize("size", [60, 100, 200, 300])
+def test_long_lines_of_common_words_are_exact(spark, monkeypatch, size):
+    """All words are in many lines, so that every key is a run of neighbours (or a choice in the shortest)."""
+    monkeypatch.setattr(lines, "LIST", 2)
+    rnd = random.Random(size)
+    made = made_lines(rnd, [size, size + 3, size + size // 5], [f"w{i}" for i in range(size * 3 // 2)], 25, 0.08)
+    rows = list(enumerate(made))
+    want = brute_lines(rows)
+    assert want and removed(spark, rows) == want
+
+
+def test_a_line_has_fewer_keys_than_words(spark):
+    """Entries whose words all have the rarity of a word in half of 4,000 lines."""
+    level = lines._steps(2000)
+    entries = [(n, n, 0, 0, n, 0, 0, [(level << 56) + k for k in range(n)]) for n in (52, 64, 65, 100, 200, 300)]
+    df = spark.createDataFrame(entries, "key long, doc long, text_key long, line_no int, n int, odd long, odder long, head array<long>")
+    df = df.unionByName(spark.range(4000).select((F.col("id") + 1000).alias("key"), *(F.lit(0).cast(t).alias(c) for c, t in (("doc", "long"), ("text_key", "long"), ("line_no", "int"), ("n", "int"), ("odd", "long"), ("odder", "long"))), F.array().cast("array<long>").alias("head")))
+    got = {r["key"]: r["count"] for r in lines.postings(df, spark.createDataFrame([], "key long")).groupBy("key").count().collect()}
+    assert all(got[n] < n for n in (65, 100, 200, 300)) and got[52] < 700 and got[64] < 700
+
+
 def test_a_crowd_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(lines, "LIST", 4)
     rnd = random.Random(9)
