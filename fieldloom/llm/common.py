@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,24 +59,26 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_OPEN: ContextVar[tuple[Workspace, ...]] = ContextVar("open workspaces", default=())
+
+
 class Workspace:
     """Intermediate tables that go when the ``with`` block that made them ends, whether it succeeds or not.
 
     ``materialize`` writes for the innermost open block; ``give`` writes for the block around it, so a result
-    outlives the tables it was made of. Outside all blocks tables stay until the folder is cleared.
+    outlives the tables it was made of. Outside all blocks tables stay until the folder is cleared. Blocks are
+    those of the thread (or context) at hand: operators that run side by side do not see each other's.
     """
 
-    _open: list[Workspace] = []
-
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Workspace:
-        self._open.append(self)
+        _OPEN.set((*_OPEN.get(), self))
         return self
 
     def __exit__(self, *_) -> None:
-        self._open.remove(self)
+        _OPEN.set(tuple(w for w in _OPEN.get() if w is not self))
         self.clear()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -87,7 +90,7 @@ class Workspace:
 
     def give(self, df: DataFrame, name: str) -> DataFrame:
         """As ``materialize``, for the block around this one."""
-        around = self._open[: self._open.index(self)]
+        around = _OPEN.get()[: _OPEN.get().index(self)]
         return (around[-1] if around else Workspace(self.spark)).keep(df, name)
 
     def drop(self, paths: list[str]) -> None:
@@ -108,5 +111,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The lineage ends at files that outlive any executor, and what was computed once is read, not computed
     again, by every later use.
     """
-    open_ = Workspace._open
+    open_ = _OPEN.get()
     return (open_[-1] if open_ else Workspace(df.sparkSession)).keep(df, name)

@@ -146,7 +146,7 @@ def _alike() -> Column:
 
 
 def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
-    """``token`` and what the join asks of a line: ``key``, ``doc``, ``n``, ``odd``, ``odder``, ``miss``, ``wide``, ``open``.
+    """``token`` and what the join asks of a line: ``key``, ``doc``, ``n``, ``odd``, ``odder``, ``open``, ``miss``, ``wide``, ``prev``.
 
     Similar lines x and y share at least k of the first lacked + k words of both, words by rarity, for every
     k up to their overlap. If few lines have their first shared word, it is their key: it is among the first
@@ -160,7 +160,8 @@ def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
     choices grow with a power of the line: if x and y differ in D words, two neighbours are shared among the
     first 2D + 2 words of both together, and three among the first 3D + 3. The first such two are the key if few
     lines are expected to have both; else later ones are commoner still, and the first three are. So a word
-    begins one key at most, and a line has fewer keys than words. ``miss`` is then the place of the first of them.
+    begins one key at most, and a line has fewer keys than words. ``miss`` is then the place of the first of them
+    and ``prev`` the word before it (-1: none): where two lines agree in that too, an earlier run is shared.
     A word that occurs once in the corpus can't be shared.
     """
     lines_ = max(1, entries.count())
@@ -176,25 +177,28 @@ def postings(entries: DataFrame, gone: DataFrame) -> DataFrame:
     few = (F.col("u") < 0) | (_level(F.col("t")) + _level(F.col("u")) <= paired) | (F.col("n") == 2)
     at = F.col("i") + F.col("j") + 1
     three = two.select(*kept, "i", "j", "t", "u", F.posexplode(F.when(few, no).otherwise(F.slice("head", at + 2, F.col("d") + 2 - at))).alias("k", "v"))
-    chosen = three.select(F.xxhash64("t", "u", "v").alias("token"), *kept, (F.col("i") + F.col("j") + F.col("k")).alias("miss"), F.lit(False).alias("wide"))
+    chosen = three.select(F.xxhash64("t", "u", "v").alias("token"), *kept, (F.col("i") + F.col("j") + F.col("k")).alias("miss"), F.lit(False).alias("wide"), F.lit(-1).cast("long").alias("prev"))
 
     run = base.where(F.col("n") * DEN >= WIDE * NUM).select(*kept, "head", _differ().alias("most"), F.posexplode(F.slice("head", F.lit(1), _differ() * 3 + 1)).alias("miss", "t")).where(_level(F.col("t")) > often)
-    run = run.withColumns({"u": F.get("head", F.col("miss") + 1), "v": F.get("head", F.col("miss") + 2)})
+    prev = F.when(F.col("miss") > 0, F.get("head", F.col("miss") - 1)).otherwise(F.lit(-1).cast("long"))
+    run = run.withColumns({"u": F.get("head", F.col("miss") + 1), "v": F.get("head", F.col("miss") + 2), "prev": prev})
     few = _level(F.col("t")) + _level(F.col("u")) <= paired
     token = F.when(few, F.when(F.col("miss") <= F.col("most") * 2, F.xxhash64("t", "u", F.lit(-2).cast("long")))).when(F.col("v").isNotNull(), F.xxhash64("t", "u", "v", F.lit(-3).cast("long")))
-    return chosen.unionByName(run.select(token.alias("token"), *kept, "miss", F.lit(True).alias("wide")).where("token is not null"))
+    return chosen.unionByName(run.select(token.alias("token"), *kept, "miss", F.lit(True).alias("wide"), "prev").where("token is not null"))
 
 
 def _met(posting: DataFrame) -> DataFrame:
     """``ka``, ``kb``: entries that share a key, one of them not yet found to be a repeat, where sizes, parities and positions leave room for the similarity."""
-    names = {"key": "k", "doc": "d", "n": "n", **{p: p for p in PARITY}, "miss": "m", "wide": "w", "open": "open"}
+    names = {"key": "k", "doc": "d", "n": "n", **{p: p for p in PARITY}, "miss": "m", "wide": "w", "prev": "p", "open": "open"}
     a, b = (posting.select("token", *(F.col(c).alias(f"{x}{s}") for c, x in names.items())) for s in "ab")
     # What is gone still counts as an earlier line of those that are not.
     once = F.expr("((opena and (openb or db <= da)) or (openb and da <= db)) and (na > nb or (na = nb and ka < kb))")
     # Words before a key that are not shared leave room for the overlap in either line. (Every condition is on both sides: one on a
     # single side would be pushed below the shuffle, and both sides are to read the same one.)
     need = F.expr(f"((na + nb) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}")
-    fit = F.when(F.col("wa"), F.abs(F.col("ma") - F.col("mb")) <= _room()).otherwise((F.col("na") - F.col("ma") >= need) & (F.col("nb") - F.col("mb") >= need))
+    # Of a run of shared neighbours only the beginning counts: near copies share most of their words, and would meet at each.
+    begins = (F.col("pa") != F.col("pb")) | ((F.col("pa") == -1) & (F.col("pb") == -1))
+    fit = F.when(F.col("wa"), begins & (F.abs(F.col("ma") - F.col("mb")) <= _room())).otherwise((F.col("na") - F.col("ma") >= need) & (F.col("nb") - F.col("mb") >= need))
     pairs = a.join(b, (a["token"] == b["token"]) & (F.col("wa") == F.col("wb"))).where(once & _alike() & fit)
     return pairs.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
 

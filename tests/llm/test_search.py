@@ -67,3 +67,30 @@ def test_a_full_trie_begins_anew_with_the_same_counts(monkeypatch):
     monkeypatch.setattr(tokencounts, "MAX_NODES", 2)
     small = tokencounts.ForwardTrie(scores)
     assert [small.insert(w) for w in words] == want
+
+
+def test_workspaces_of_threads_are_apart(spark):
+    from threading import Event, Thread
+
+    from fieldloom.llm.common import Workspace, materialize
+
+    entered, done, read = Event(), Event(), []
+
+    def other():
+        with Workspace(spark):
+            entered.set()
+            done.wait(60)
+
+    side = Thread(target=other)
+    side.start()
+    entered.wait(60)
+    with Workspace(spark) as mine:
+        table = materialize(spark.range(3), "mine")
+        assert len(mine.paths) == 1
+        done.set()
+        side.join()
+        read.append(table.count())  # the other block's end left it alone
+        with Workspace(spark) as inner:
+            kept = inner.give(spark.range(2), "kept")
+        read.append(kept.count())
+    assert read == [3, 2] and not mine.paths
