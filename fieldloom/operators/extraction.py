@@ -204,8 +204,7 @@ def rule_candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     first = met.groupBy("field_config", "text", F.col("x.confidence").alias("confidence")).agg(F.min(F.struct("k", "pattern", F.col("x.value").alias("value"))).alias("x"))
     found = first.groupBy("field_config", "text").agg(F.sort_array(F.collect_list(F.struct("x.k", "x.pattern", "confidence", "x.value"))).alias("found"))
     learned = kept.select("field_config").distinct().withColumn("learned", F.lit(True))
-    told = asked.join(learned, "field_config", "left").join(found, ["field_config", "text"], "left")
-    rows = texts.join(told, ["field_config", "text"], "left")
+    rows = texts.join(learned, "field_config", "left").join(found, ["field_config", "text"], "left")
 
     shape = "struct<k:bigint,pattern:string,confidence:double,value:string>"
     own = F.transform(F.coalesce("found", F.array().cast(f"array<{shape}>")), lambda x: F.struct(x["confidence"].alias("confidence"), x["value"].alias("value"), x["pattern"].alias("pattern")))

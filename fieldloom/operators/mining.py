@@ -105,7 +105,7 @@ def a50_pattern_statistics(r: Relations) -> DataFrame:
     total = rows.groupBy("template_id").agg(F.count("*").alias("total"))
     x = rows.withColumn("suffix", X.generalise_affix(X.missing_suffix(F.col("original_value"), F.col("corrected_value")))).where("suffix <> ''")
     c = x.groupBy("template_id", "field_name", "suffix").agg(F.count("*").alias("frequency")).where("frequency >= 3")
-    return c.join(F.broadcast(total), "template_id").select("template_id", "field_name", "suffix", "frequency", F.round(F.col("frequency") / F.col("total"), 9).alias("confidence"))
+    return c.join(total, "template_id").select("template_id", "field_name", "suffix", "frequency", F.round(F.col("frequency") / F.col("total"), 9).alias("confidence"))
 
 
 @query(""" select field_config, string_agg(distinct case when is_active then pattern end, ',' order by case when is_active then pattern end) as active, count(distinct pattern) as patterns, max(usage_count) as samples from patterns group by all""")

@@ -183,11 +183,11 @@ def label(sequences: DataFrame, models: DataFrame, salts: int = 8) -> DataFrame:
 
 def labelled_sequences(r: Relations) -> DataFrame:
     """Sentences with a field in them, as corrections would label them: the true value is B- then I-, the rest O."""
-    rows = r.facts.where("position = 1").join(r.documents.select("document_id", "template_id"), "document_id")
+    rows = r.facts.join(r.documents.select("document_id", "template_id"), "document_id")
     value = F.split("truth", " ")
     words = F.concat(F.array(F.lit("Item"), F.lit(":")), value, F.array(F.lit("from"), F.col("method"), F.lit("end")))
     labels = F.concat(F.array(F.lit("O"), F.lit("O")), F.transform(value, lambda x, i: F.when(i == 0, "B-ITEM").otherwise("I-ITEM")), F.array(F.lit("O"), F.lit("O"), F.lit("O")))
-    return rows.select("template_id", F.col("document_id").alias("sequence_id"), words.alias("words"), labels.alias("labels"))
+    return rows.select("template_id", (F.col("document_id") * 100 + F.col("position")).alias("sequence_id"), words.alias("words"), labels.alias("labels"))
 
 
 @query()

@@ -79,7 +79,7 @@ def f08_clean_values(r: Relations) -> DataFrame:
     n = r.feedback.withColumn("affix", X.missing_suffix(F.col("original_value"), F.col("corrected_value"))).where("affix <> ''").groupBy("field_name", "affix").agg(F.count("*").alias("n"))
     w = Window.partitionBy("field_name").orderBy(F.desc("n"), "affix")
     affixes = n.withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("field_name").agg(F.sort_array(F.collect_list(F.concat(F.lit(" "), "affix"))).alias("suffixes"))
-    rows = r.facts.join(F.broadcast(marks), "field_name", "left").join(F.broadcast(affixes), "field_name", "left")
+    rows = r.facts.join(marks, "field_name", "left").join(affixes, "field_name", "left")
     flags: dict[str, Column] = {"trailing_comma": F.coalesce("comma", F.lit(False)), "parentheses_start": F.coalesce("open", F.lit(False))}
     none = F.array().cast("array<string>")
     value = X.affix_clean(X.structural_clean(X.generic_clean(F.col("truth")), flags), none, F.coalesce("suffixes", none))

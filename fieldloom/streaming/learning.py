@@ -35,17 +35,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run ``stream`` over all input there is, into Parquet, and read the result; in complete mode the last batch is the result."""
+    """Run ``stream`` over all input there is, into Parquet, and read the result; in complete mode the last batch is the result.
+
+    A batch is written under its number, so one that is tried again after a failure replaces its own rows.
+    """
     spark = stream.sparkSession
     out, state = scratch(spark, "stream"), scratch(spark, "stream-state")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/number={number}")
 
     schema = stream.schema
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     try:
-        return spark.read.schema(schema).parquet(out)
+        return spark.read.schema(schema).parquet(out if mode == "complete" else f"{out}/number=*")
     except AnalysisException:  # no batch was written: the input is empty
         return spark.createDataFrame([], schema)
 
