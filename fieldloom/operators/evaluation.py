@@ -214,10 +214,11 @@ def a62_sequence_scores(r: Relations) -> DataFrame:
     return weighted_scores(y)
 
 
-def weighted_scores(y: DataFrame) -> DataFrame:
-    """Scores of ``gold`` against ``pred``, labels weighted by support."""
-    gold = y.groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("support"), F.count_if(F.col("gold") == F.col("pred")).alias("tp"))
-    m = gold.join(y.groupBy(F.col("pred").alias("label")).agg(F.count("*").alias("n")), "label", "left")
+def weighted_scores(y: DataFrame, times: Column | None = None) -> DataFrame:
+    """Scores of ``gold`` against ``pred``, labels weighted by support; a row counts ``times`` (default: once)."""
+    y = y.groupBy("gold", "pred").agg((F.count("*") if times is None else F.sum(times)).alias("n"))
+    gold = y.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("support"), F.coalesce(F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n"))), F.lit(0)).alias("tp"))
+    m = gold.join(y.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("n")), "label", "left")
     p, q, s = F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)), F.col("tp") / F.col("support"), F.col("support")
     mean = lambda x: F.round(F.sum(s * x) / F.sum(s), 9)
     return m.agg(mean(p).alias("precision"), mean(q).alias("recall"), mean(f1(p, q)).alias("f1"))
