@@ -111,7 +111,8 @@ def line_scores(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
 
     Terms are lower-cased runs of letters and digits; weights are counts times ln((1 + rows) / (1 + df)) + 1
     with df over all rows, of every word. Only units with an anchor term are scored: without one of a
-    template's anchors, its heaviest terms, no cosine reaches the threshold, whatever else the unit holds.
+    template's anchors, no cosine reaches the threshold, whatever else the unit holds. A template's commonest
+    terms are left out of its anchors as long as that holds, so the words of all prose ("the", "of") anchor no unit.
     Frequencies of common words are broadcast, those of the others meet the units' words in an equi-join, so
     no key of that join holds more than a small share of the rows. Null texts have no unit; null ids take part
     as one document.
@@ -126,7 +127,7 @@ def line_scores(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
         vector = {t: n * idf[t] for t, n in bag.items()}
         norm = math.sqrt(sum(x * x for x in vector.values()))
         rest = norm * norm
-        for t in sorted(vector, key=lambda t: (-vector[t], t)):
+        for t in sorted(vector, key=lambda t: (df.get(t, 0), -vector[t], t)):
             if math.sqrt(max(rest, 0.0)) < 0.999 * threshold * norm:
                 break
             anchors.add(t)

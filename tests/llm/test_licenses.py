@@ -63,3 +63,17 @@ def test_whole_files_headers_and_repeated_rows(spark):
     tied = [("B", "one two three"), ("A", "one two three")]
     df = spark.createDataFrame([(1, "p/LICENSE", "one two three"), (1, "p/LICENSE", "one two three"), (2, "p/q", None)], "doc_id long, path string, text string")
     assert sorted((r["doc_id"], r["license"], r["basis"]) for r in licenses.scan(df, tied).collect()) == [(1, "A", "header"), (1, "A", "header"), (2, "A", "inherited")]
+
+
+def test_words_of_all_prose_anchor_no_unit(spark, monkeypatch):
+    """Long templates repeat "the", "of" and "or": units that hold no rarer word of theirs are not scored, and the result is that of all units."""
+    rnd = random.Random(6)
+    usual = "the of or and to in any for be is as it with".split()
+    rows = [(i, " ".join(rnd.choices(usual, k=30)) + f" w{i % 97}") for i in range(400)] + [(1000 + k, text) for k, text in enumerate(PLANTED)]
+    kept, write = {}, licenses.materialize
+    monkeypatch.setattr(licenses, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = {r["doc_id"]: (r["license"], r["score"]) for r in licenses.line_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()} and len(want) == len(PLANTED)
+    assert all(abs(got[i][1] - want[i][1]) < 2e-6 for i in want)
+    assert kept["license-units"].where("doc_id < 1000").count() == 0
