@@ -1,7 +1,7 @@
 """What the layout reads from arrays of words against windows over rows; no shuffle in either word query."""
 
 from fieldloom.operators.extraction import Layout, w14_word_features
-from fieldloom.operators.features import e11_sequence_features, neighbours
+from fieldloom.operators.features import e11_sequence_features, e11_spatial_features, neighbours, page_labels, page_words, spatial_features
 from fieldloom.operators.services import f22_segmented_words
 
 
@@ -36,3 +36,19 @@ def test_pieces_are_counted_by_no_aggregate(spark):
     assert {x["segmented"] for x in df.collect()} >= {"steel plum forest maroon honeydew"}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Aggregate [" in x and "fixed#" in x and "piece#" in x]
+
+
+def test_nearest_labels_are_sought_once_a_place(spark):
+    """Neither a sort nor a shuffle of words; the same rows by a window for the width, by a join that isn't broadcast, and by a comparison with every label."""
+    r = Tables(spark, ROWS + [(k, " ".join("y" * (13 * k % 400))) for k in range(7, 30)])
+    df = e11_spatial_features(r)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "[document_id" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x or "Window [" in x)
+    got = sorted(map(repr, df.collect()))
+    words = page_words(r)
+    assert got == sorted(map(repr, spatial_features(words.drop("widest"), page_labels(r), few=0).collect()))
+    labels = {}
+    for x in page_labels(r).collect():
+        labels.setdefault(x["layout"], []).append(x)
+    least = {(w["document_id"], w["idx"]): min(((w["x0"] - n["x1"]) ** 2 + (w["top"] - n["y0"]) ** 2, n["field"]) for n in labels[w["layout"]])[1] for w in words.collect()}
+    assert {(x["document_id"], x["idx"]): x["label"] for x in df.collect()} == least and len(least) == len(got) > 1000
