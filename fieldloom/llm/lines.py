@@ -21,6 +21,7 @@ HEADS = 8  # parts of a group whose first lines are heads
 BROADCAST_ROWS = 400_000  # rows (keys or places of lines, 60 bytes at most) up to which a table is broadcast
 NULL_ID = -(2**63)  # stands for a null id, before all others
 PARITY = ("odd", "odder")  # 128 bits, of which each token turns one: lines that differ in few words differ in few of them
+GROUPS = ("first_pair", "second_pair", "third_pair")  # of neighbours among the words of a line that many lines hold
 PLACE = ("doc", "text_key", "line_no")  # where a line stands; its order says which of two lines is earlier
 
 
@@ -38,11 +39,13 @@ def word_rarity(docs: DataFrame, text_col: str = "text", bits: int = TABLE_BITS,
     """
     word = docs.select(F.explode(_words(F.lower(F.replace(F.col(text_col), F.lit("\n"), F.lit(" "))))).alias("word"))
     counts = word.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - bits).alias("bucket")).agg(F.count("*").alias("n"))
-    level = F.coalesce(F.floor(F.log2("n") * STEPS), F.lit(0)).cast("tinyint")
-    part = F.struct(F.col("bucket").bitwiseAND(63).cast("int").alias("at"), level.alias("level"))
-    pieces = counts.groupBy(F.shiftright("bucket", 6).alias("piece")).agg(F.map_from_entries(F.collect_list(part)).alias("levels"))
+    at, level = F.col("bucket").bitwiseAND(63).cast("int"), F.coalesce(F.floor(F.log2("n") * STEPS), F.lit(0)).cast("long")
+    # Eight bytes of a piece are one long, so that numbers are added up and no piece needs a map.
+    byte = F.expr("shiftleft(level, (at & 7) * 8)")
+    longs = (F.sum(F.when(F.shiftright("at", 3) == k, byte).otherwise(F.lit(0).cast("long"))).alias(f"l{k}") for k in range(8))
+    pieces = counts.select(F.shiftright("bucket", 6).alias("piece"), at.alias("at"), level.alias("level")).groupBy("piece").agg(*longs)
     every = docs.sparkSession.range(1 << bits - 6).join(pieces, F.col("id") == F.col("piece"), "left")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda at: F.coalesce(F.try_element_at("levels", at), F.lit(0).cast("tinyint")))
+    dense = F.array(*(F.coalesce(F.shiftright(f"l{k}", 8 * m).bitwiseAND(127), F.lit(0)).cast("tinyint") for k in range(8) for m in range(8)))
     table = every.select("id", dense.alias("levels")).agg(F.flatten(F.sort_array(F.collect_list(F.struct("id", "levels")))["levels"]).alias("rarity"))
     return keep(table, "rarity")
 
@@ -53,14 +56,16 @@ def _level(token: Column) -> Column:
 
 def _with_tokens(lines: DataFrame, rarity: DataFrame, bits: int) -> DataFrame:
     """``lines`` plus ``tokens``: distinct words as longs, rarest first. The table is a scalar subquery, so rows never carry it."""
-    level = lambda h: F.coalesce(F.get("rarity", F.shiftrightunsigned(h, 64 - bits).cast("int")), F.lit(0).cast("tinyint"))
+    level = lambda h: F.coalesce(F.col("rarity")[F.shiftrightunsigned(h, 64 - bits)], F.lit(0).cast("tinyint"))
     token = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
     hashes = F.array_remove(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
     return lines.withColumn("rarity", rarity.scalar()).select(*lines.columns, F.sort_array(F.array_distinct(F.transform(hashes, token))).alias("tokens"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(*_place_of(id_col, text_col), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line_no", "line"))
+    # What a select computes beside an explode, it computes for each row made. So the text is hashed and cut below it.
+    cut = docs.select(*_place_of(id_col, text_col), F.split(F.lower(text_col), "\n").alias("lines"))
+    return cut.select("doc", "text_key", F.posexplode_outer("lines").alias("line_no", "line"))
 
 
 def _place_of(id_col: str, text_col: str) -> list[Column]:
@@ -92,7 +97,10 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFram
         head = F.greatest(F.when(F.col("n") <= WIDE, _lacked() + 3).otherwise(_lacked() + 1), F.when((F.col("n") * DEN >= WIDE * NUM) & ~light, _differ() * 3 + 3).otherwise(0))
         rows = rows.select(*PLACE, "key", "n", *PARITY, F.slice("tokens", F.lit(1), head).alias("head"))
         entries = rows.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", *PARITY, "head")))
-        entries = work.keep(entries.select("key", "place.*", "copies", "n", *PARITY, "head"), "line-entries")
+        often = F.filter(F.slice("head", F.lit(1), _lacked() + 3), lambda t: _level(t) > _steps(OFTEN))
+        pair = lambda k: F.when(F.size("often") >= k + 2, F.xxhash64(F.get("often", F.lit(k)), F.get("often", F.lit(k + 1))))
+        entries = entries.select("key", "place.*", "copies", "n", *PARITY, "head", often.alias("often"))
+        entries = work.keep(entries.select("key", *PLACE, "copies", "n", *PARITY, "head", *(pair(k).alias(g) for g, k in zip(GROUPS, (0, 2, 4)))), "line-entries")
 
         check = [work, docs, entries, id_col, text_col]
         gone = work.keep(_later(_crowded(entries, work), *check), "line-gone")
@@ -113,10 +121,7 @@ def _crowded(entries: DataFrame, work: Workspace) -> DataFrame:
     little else. What is settled here need not be met by others of its group again; what is not is met as
     any other line. Nothing depends on which groups these are.
     """
-    often = F.filter(F.slice("head", F.lit(1), _lacked() + 3), lambda t: _level(t) > _steps(OFTEN))
-    pair = lambda k: F.xxhash64(F.get("often", F.lit(k)), F.get("often", F.lit(k + 1)))
-    member = entries.select("key", *PLACE, "n", *PARITY, "copies", often.alias("often"))
-    member = member.select("key", *PLACE, "n", *PARITY, "copies", F.explode(F.array(*(F.when(F.size("often") >= k + 2, pair(k)) for k in (0, 2, 4)))).alias("group")).where("group is not null")
+    member = entries.select("key", *PLACE, "n", *PARITY, "copies", F.explode(F.array(*GROUPS)).alias("group")).where("group is not null")
     crowds = work.keep(member.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD).select("group"), "line-crowds")
     member = work.keep(member.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds, "group"), "line-members")
     fields = {"kb": "key", "nb": "n", **{f"{p}b": p for p in PARITY}}
@@ -198,8 +203,10 @@ def _met(posting: DataFrame) -> DataFrame:
     need = F.expr(f"((na + nb) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}")
     # Of a run of shared neighbours only the beginning counts: near copies share most of their words, and would meet at each.
     begins = (F.col("pa") != F.col("pb")) | ((F.col("pa") == -1) & (F.col("pb") == -1))
-    fit = F.when(F.col("wa"), begins & (F.abs(F.col("ma") - F.col("mb")) <= _room())).otherwise((F.col("na") - F.col("ma") >= need) & (F.col("nb") - F.col("mb") >= need))
-    pairs = a.join(b, (a["token"] == b["token"]) & (F.col("wa") == F.col("wb"))).where(once & _alike() & fit)
+    # Runs and choices are hashed apart, so tokens alone join them: a single long is sorted by its digits.
+    runs = F.when(F.col("wa") & F.col("wb"), begins & (F.abs(F.col("ma") - F.col("mb")) <= _room()))
+    fit = runs.when(~(F.col("wa") | F.col("wb")), (F.col("na") - F.col("ma") >= need) & (F.col("nb") - F.col("mb") >= need))
+    pairs = a.join(b, a["token"] == b["token"]).where(once & _alike() & fit)
     return pairs.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
 
 
@@ -214,8 +221,10 @@ def _later(pairs: DataFrame, work: Workspace, docs: DataFrame, entries: DataFram
     wanted = work.keep(lines_.groupBy("doc", "text_key").agg(F.collect_list(F.struct("line_no", "key")).alias("wanted")), "line-wanted")
     few = wanted.count() <= BROADCAST_ROWS
     text = docs.select(*_place_of(id_col, text_col), F.col(text_col).alias("text")).where("text is not null")
-    found = text.join(F.broadcast(wanted) if few else wanted, ["doc", "text_key"]).select("doc", "text_key", F.split(F.lower("text"), "\n").alias("lines"), F.explode("wanted").alias("w"))
-    found = found.select(F.col("w.key").alias("key"), F.struct("doc", "text_key", "w.line_no").alias("place"), F.get("lines", F.col("w.line_no")).alias("line")).where(F.xxhash64("line") == F.col("key"))
+    cut = text.join(F.broadcast(wanted) if few else wanted, ["doc", "text_key"]).select("doc", "text_key", F.split(F.lower("text"), "\n").alias("lines"), "wanted")
+    line = lambda w: F.struct(w["key"].alias("key"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line"))
+    found = cut.select("doc", "text_key", F.explode_outer(F.transform("wanted", line)).alias("w"))
+    found = found.select(F.col("w.key").alias("key"), F.struct("doc", "text_key", "w.line_no").alias("place"), F.col("w.line").alias("line")).where(F.xxhash64("line") == F.col("key"))
     words = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     sets = work.keep(found.select("key", "place", words.alias("words")).dropDuplicates(["key"]), "line-sets")
     a, b = (sets.select(F.col("key").alias(f"k{s}"), F.col("place").alias(f"p{s}"), F.col("words").alias(f"w{s}")) for s in "ab")
