@@ -20,7 +20,8 @@ CROWD = 16  # lines from which a group meets its heads first
 HEADS = 8  # parts of a group whose first lines are heads
 BROADCAST_ROWS = 400_000  # rows (keys or places of lines, 60 bytes at most) up to which a table is broadcast
 NULL_ID = -(2**63)  # stands for a null id, before all others
-PARITY = ("odd", "odder")  # 128 bits, of which each token turns one: lines that differ in few words differ in few of them
+PARITY = ("odd", "odder")  # 64 bits, of which each token turns one, and what half of the tokens turn of them: lines that differ in few words differ in few bits
+BRIEF = 96  # words up to which the 64 bits tell lines apart, so that nothing is made of the halves
 GROUPS = ("first_pair", "second_pair", "third_pair")  # of neighbours among the words of a line that many lines hold
 PLACE = ("doc", "text_key", "line_no")  # where a line stands; its order says which of two lines is earlier
 
@@ -91,7 +92,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFram
         # A condition on the tokens would have them made twice.
         lines_ = _lines(docs, id_col, text_col).where(F.trim("line") != "")
         rows = _with_tokens(lines_, rarity, bits)
-        parity = [F.expr(f"aggregate(tokens, 0L, (bits, t) -> if(t & 64 = {half}, bits ^ shiftleft(1L, cast(t & 63 as int)), bits))").alias(p) for p, half in zip(PARITY, (0, 64))]
+        odd = F.expr("aggregate(tokens, 0L, (bits, t) -> bits ^ shiftleft(1L, cast(t & 63 as int)))")
+        odder = F.expr("aggregate(tokens, 0L, (bits, t) -> if(t & 64 = 64, bits ^ shiftleft(1L, cast(t & 63 as int)), bits))")
+        parity = [odd.alias("odd"), F.when(n > BRIEF, odder).otherwise(F.lit(0).cast("long")).alias("odder")]
         rows = rows.select(*PLACE, F.xxhash64("line").alias("key"), n.alias("n"), *parity, "tokens")
         light = F.coalesce(_level(F.get("tokens", _lacked())) <= _steps(LIST), F.lit(True))
         head = F.greatest(F.when(F.col("n") <= WIDE, _lacked() + 3).otherwise(_lacked() + 1), F.when((F.col("n") * DEN >= WIDE * NUM) & ~light, _differ() * 3 + 3).otherwise(0))
@@ -146,7 +149,9 @@ def _room() -> Column:
 
 def _alike() -> Column:
     """What sizes and parities of two similar lines satisfy: the length filter, and no more odd bits than words may differ."""
-    odd = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in PARITY), F.lit(0))
+    turned, half = (F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b")) for p in PARITY)
+    halves = F.bit_count(half) + F.bit_count(turned.bitwiseXOR(half))
+    odd = F.when(F.least("na", "nb") > BRIEF, halves).otherwise(F.bit_count(turned))
     return (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (odd <= _room())
 
 

@@ -27,3 +27,21 @@ def test_every_level_of_the_rarity_table_fits_its_byte(spark):
     table = lines.word_rarity(spark.createDataFrame(rows, "text string"), bits=6).first()["rarity"]
     counts = spark.createDataFrame(rows, "text string").selectExpr("explode(split(text, ' ')) w").selectExpr("shiftrightunsigned(xxhash64(w), 58) b").groupBy("b").count()
     assert table == [r["l"] for r in counts.selectExpr("b", "cast(floor(log2(count) * 2) as int) l").orderBy("b").collect()]
+
+
+def test_halves_of_the_bits_are_made_of_long_lines_only(spark, monkeypatch):
+    """Whatever lines count as brief, similar ones pass the filter; those of few words need one half less."""
+    kept = {}
+    keep = lines.Workspace.keep
+
+    def note(self, df, name):
+        kept[name] = keep(self, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(lines.Workspace, "keep", note)
+    monkeypatch.setattr(lines.Workspace, "clear", lambda self: None)
+    near = [f"w{i}" for i in range(lines.BRIEF + 2)]
+    rows = [(1, " ".join(near)), (2, " ".join(near[: lines.BRIEF])), (3, " ".join(near[:20])), (4, " ".join(near[:24]))]
+    got = {r["doc_id"]: r["removed"] for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string"), bits=10).collect()}
+    assert got == {1: "", 2: "0", 3: "", 4: "0"}
+    assert {r["n"]: r["odder"] != 0 for r in kept["line-entries"].collect()} == {lines.BRIEF + 2: True, lines.BRIEF: False, 20: False, 24: False}
