@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm import graph
-from fieldloom.llm.common import Workspace, materialize
+from fieldloom.llm.common import Workspace, materialize, sized
 
 WORDS = ("hi", "lo")  # a fingerprint is two longs
 BITS = 64 * len(WORDS)
@@ -112,13 +112,13 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS, spare: int = 2, part
     distinct = materialize(fps.select(*WORDS).where("hi is not null and lo is not null").distinct(), "simhash-distinct")
     masks = [mask for tables in _masks(radius, spare, parts) for mask in tables]
     every = F.from_json(F.lit(json.dumps([{"t": t, "h": h, "l": low} for t, (h, low) in enumerate(masks)])), "array<struct<t:int,h:bigint,l:bigint>>")
-    found, t = [], 0
+    found, t, rows = [], 0, distinct.count()
     for tables in _masks(radius, spare, parts):
         entry = distinct.select(*WORDS, F.explode(F.slice(every, t + 1, len(tables))).alias("m"))
         key = F.xxhash64("m.t", F.col("hi").bitwiseAND(F.col("m.h")), F.col("lo").bitwiseAND(F.col("m.l")))
         a, b = (entry.select(F.col("hi").alias(f"hi_{s}"), F.col("lo").alias(f"lo_{s}"), key.alias("key"), F.col("m.t").alias("t")) for s in "ab")
         dh, dl = F.col("hi_a").bitwiseXOR(F.col("hi_b")), F.col("lo_a").bitwiseXOR(F.col("lo_b"))
-        pairs = a.join(b, ["key", "t"]).where("hi_a < hi_b or (hi_a = hi_b and lo_a < lo_b)").withColumn("distance", F.bit_count(dh) + F.bit_count(dl)).where(F.col("distance") <= radius)
+        pairs = a.join(sized(b, rows * len(tables)), ["key", "t"]).where("hi_a < hi_b or (hi_a = hi_b and lo_a < lo_b)").withColumn("distance", F.bit_count(dh) + F.bit_count(dl)).where(F.col("distance") <= radius)
         met = F.exists(every, lambda m: (m["t"] < F.col("t")) & (dh.bitwiseAND(m["h"]) == 0) & (dl.bitwiseAND(m["l"]) == 0))
         found.append(materialize(pairs.where(~met).select("hi_a", "lo_a", "hi_b", "lo_b", "distance"), "simhash-near"))
         t += len(tables)
@@ -145,7 +145,8 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, parts: int = 2) -> DataFra
     with Workspace(fps.sparkSession) as work:
         nodes = fps.groupBy(*WORDS).agg(F.min("doc_id").alias("first_id")).select(*WORDS, F.xxhash64(*WORDS).alias("node"), "first_id")
         nodes = work.keep(nodes, "simhash-distinct")
-        masks = [mask for tables in _masks(radius, table_sizes(nodes.count(), radius, parts), parts) for mask in tables]
+        rows = nodes.count()
+        masks = [mask for tables in _masks(radius, table_sizes(rows, radius, parts), parts) for mask in tables]
         every = F.from_json(F.lit(json.dumps([{"t": t, "h": h, "l": low} for t, (h, low) in enumerate(masks)])), "array<struct<t:int,h:bigint,l:bigint>>")
 
         def index(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -159,7 +160,7 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, parts: int = 2) -> DataFra
             return sum((F.bit_count(F.col(f"{w}{a}").bitwiseXOR(F.col(f"{w}{b}"))) for w in WORDS), F.lit(0)) <= radius
 
         groups = graph.linked_components(nodes, WORDS, index, near)
-        return work.give(nodes.join(groups, "node").select(*WORDS, F.col("component_id").alias("near_group")), "simhash-groups")
+        return work.give(nodes.join(sized(groups, rows), "node").select(*WORDS, F.col("component_id").alias("near_group")), "simhash-groups")
 
 
 def _bucket_of(value: Column, bounds: list[int]) -> Column:
@@ -230,11 +231,12 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, shingle_words: in
         at = lambda c: F.coalesce(c, F.lit(-(2**63)))
         same = F.col("next_id").eqNullSafe(F.col("doc_id")) & (F.col("beside") == F.col("own"))
         known = slim.select(at("doc_id").alias("at"), F.col("own").alias("text_of"), *(F.col(f"own_{w}").alias(f"next_{w}") for w in WORDS)).distinct()
-        out = slim.withColumns({"at": F.when(~same, at("next_id")), "text_of": F.when(~same, F.col("beside"))}).join(known, ["at", "text_of"], "left")
+        out = slim.withColumns({"at": F.when(~same, at("next_id")), "text_of": F.when(~same, F.col("beside"))}).join(sized(known, slim.count()), ["at", "text_of"], "left")
         out = work.keep(out.select(*slim.columns, *(F.when(same, F.col(f"own_{w}")).otherwise(F.col(f"next_{w}")).alias(f"next_{w}") for w in WORDS)), "simhash-next")
 
         groups = near_groups(slim.select("doc_id", *(F.col(f"own_{w}").alias(w) for w in WORDS)), radius)
-        out = out.join(groups.select(*(F.col(w).alias(f"own_{w}") for w in WORDS), "near_group"), [f"own_{w}" for w in WORDS])
+        groups = groups.select(*(F.col(w).alias(f"own_{w}") for w in WORDS), "near_group")
+        out = out.join(sized(groups, groups.count()), [f"own_{w}" for w in WORDS])
         fp = {name: tuple(F.col(f"{name}_{w}") for w in WORDS) for name in ("own", "edited", "next")}
         out = out.select(
             "doc_id",
