@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import graph
-from fieldloom.llm.common import Workspace, fresh_names, materialize
+from fieldloom.llm.common import Workspace, fresh_names, materialize, sized
 
 SEED = 42  # of the shingle hash
 BYTES = 8  # of a fingerprint
@@ -119,7 +119,8 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle_words: int = 4,
     gives an empty table. Columns other than id and text are not read.
     """
     fps = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fp-docs")
-    return fps.join(_components_of(fps, radius), "fp").select("doc_id", "fp", "component_id")
+    found = _components_of(fps, radius)
+    return fps.join(sized(found, found.count()), "fp").select("doc_id", "fp", "component_id")
 
 
 def _components_of(fps: DataFrame, radius: int) -> DataFrame:
@@ -137,9 +138,10 @@ def without_near_copies(docs: DataFrame, radius: int = 4, shingle_words: int = 4
     """
     with Workspace(docs.sparkSession) as work:
         fps = work.keep(fingerprints(docs, shingle_words, id_col, text_col), "fp-docs")
-        rows = work.keep(fps.join(_components_of(fps, radius), "fp").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies")), "fp-rows")
+        found = _components_of(fps, radius)
+        rows = work.keep(fps.join(sized(found, found.count()), "fp").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies")), "fp-rows")
         best = work.keep(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("best")), "fp-best")
-        judged = rows.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
+        judged = rows.join(sized(best, best.count()), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
         judged = work.give(judged.where("not stays or copies > 1").select("doc_id", "text_key", "stays").distinct(), "fp-judged")
     names = fresh_names(docs, "id", "text_key")
     keyed = docs.withColumns({names[0]: F.col(id_col).cast("long"), names[1]: F.xxhash64(text_col)})
@@ -147,7 +149,7 @@ def without_near_copies(docs: DataFrame, radius: int = 4, shingle_words: int = 4
     def listed(stays: bool) -> tuple[DataFrame, object]:
         some = judged.where(F.col("stays") == stays).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
         few = some.count() <= BROADCAST_ROWS
-        return (F.broadcast(some) if few else some), F.col(names[0]).eqNullSafe(F.col("gone_id")) & (F.col(names[1]) == F.col("gone_key"))
+        return (F.broadcast(some) if few else some.hint("merge")), F.col(names[0]).eqNullSafe(F.col("gone_id")) & (F.col(names[1]) == F.col("gone_key"))
 
     kept = keyed.join(*listed(False), "left_anti")
     if judged.where("stays").limit(1).count():  # rows equal in id and text, of which one stays
