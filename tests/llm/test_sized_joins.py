@@ -52,7 +52,7 @@ def signed(x):
 
 
 def test_nothing_is_broadcast_that_was_not_counted(spark, plans, monkeypatch):
-    small, large = common.sized(spark.range(5), 100_000), common.sized(spark.range(5), 100_001)
+    small, large = common.sized(spark.range(5), common.FEW_ROWS), common.sized(spark.range(5), common.FEW_ROWS + 1)
     assert all((x in spark.range(9).join(side, "id")._jdf.queryExecution().executedPlan().toString()) for x, side in (("BroadcastHashJoin", small), ("SortMergeJoin", large)))
 
     monkeypatch.setattr(common, "FEW_ROWS", 0)
